@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from runledger.plans import registry
-from runledger.plans import graph_queries, lineage_queries, timeline_queries  # noqa: F401
+from runledger.plans import graph_queries, ingest_queries, lineage_queries, timeline_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
