@@ -38,34 +38,34 @@ DATA_FLOW_PAIRS = [
     ("tool.call.end", "prompt.input", "Tool output fed back as prompt"),
 ]
 
-EVENT_SCHEMA = (
+EVENT_DDL = (
     "id STRING, run_id STRING, tenant_id STRING, type STRING, sequence INT, "
     "parent_event_id STRING, source_agent STRING, source_framework STRING, payload STRING, "
     "raw_meta STRING, tags ARRAY<STRING>, schema_version STRING, timestamp TIMESTAMP, "
     "received_at TIMESTAMP, ingestion_order BIGINT"
 )
-RUN_SCHEMA = (
+RUN_DDL = (
     "id STRING, tenant_id STRING, agent_id STRING, run_name STRING, trigger_source STRING, "
     "parent_run_id STRING, status STRING, started_at TIMESTAMP, ended_at TIMESTAMP, "
     "tags ARRAY<STRING>, metadata STRING, schema_version STRING, created_at TIMESTAMP, "
     "updated_at TIMESTAMP"
 )
 # The event as clients send it: camelCase names, times as ISO text, objects as JSON text.
-WIRE_EVENT_SCHEMA = (
+WIRE_EVENT_DDL = (
     "id STRING, runId STRING, type STRING, timestamp STRING, sequence STRING, "
     "parentEventId STRING, tenantId STRING, sourceAgent STRING, sourceFramework STRING, "
     "payload STRING, rawMeta STRING, tags ARRAY<STRING>, schemaVersion STRING"
 )
-RAW_EVENT_SCHEMA = (
+RAW_EVENT_DDL = (
     "vendor STRING, data STRING, receivedAt STRING, tenantId STRING, runId STRING"
 )
 
-_ANY_VALUE = (
+ANY_VALUE_DDL = (
     "STRUCT<stringValue: STRING, intValue: STRING, doubleValue: DOUBLE, boolValue: BOOLEAN, "
     "bytesValue: STRING, arrayValue: STRING, kvlistValue: STRING>"
 )
-_ATTRIBUTES = f"ARRAY<STRUCT<key: STRING, value: {_ANY_VALUE}>>"
-OTLP_SCHEMA = (
+_ATTRIBUTES = f"ARRAY<STRUCT<key: STRING, value: {ANY_VALUE_DDL}>>"
+OTLP_DDL = (
     f"""resourceSpans ARRAY<STRUCT<
       resource: STRUCT<attributes: {_ATTRIBUTES}>,
       scopeSpans: ARRAY<STRUCT<

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 
@@ -37,7 +38,10 @@ def difference(spark_df, con, sql: str) -> str | None:
     wrong = {n: t for n, t in types.items() if t[0] != t[1] and "null" not in t}
     if len(rows) != len(other_rows):
         return f"rows {len(rows)} / {len(other_rows)}"
-    for a, b in zip(rows, other_rows):
-        if a != b:
-            return f"values {dict(zip(names, a))} / {dict(zip(names, b))}"
+    if rows != other_rows:
+        ours_only = Counter(map(repr, rows)) - Counter(map(repr, other_rows))
+        theirs_only = Counter(map(repr, other_rows)) - Counter(map(repr, rows))
+        if ours_only or theirs_only:
+            show = [sorted(x)[:2] for x in (ours_only, theirs_only)]
+            return f"values {names} {ours_only.total()} {show[0]} / {show[1]}"
     return f"types {wrong}" if wrong else None
