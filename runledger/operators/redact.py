@@ -106,7 +106,7 @@ def flatten_payload(ev: DataFrame) -> DataFrame:
         "run_id", "id", "position", "n.*")
 
 
-def _first_match(rules: list[dict], kind: str, text: Column) -> Column:
+def first_match(rules: list[dict], kind: str, text: Column) -> Column:
     """Place in the rule list of the first rule that matches."""
     out = F.lit(None).cast("int")
     for n, rule in reversed(list(enumerate(rules))):
@@ -122,15 +122,15 @@ def _dotted(path: Column) -> Column:
 
 def match_path_rules(nodes: DataFrame, rules: list[dict]) -> DataFrame:
     """Adds `path_hit`, the first path rule for an object member that is not inside another hit."""
-    covered = F.exists("above", lambda p: _first_match(rules, "path", _dotted(p)).isNotNull())
-    hit = F.when(F.col("is_key"), _first_match(rules, "path", _dotted(F.col("path"))))
+    covered = F.exists("above", lambda p: first_match(rules, "path", _dotted(p)).isNotNull())
+    hit = F.when(F.col("is_key"), first_match(rules, "path", _dotted(F.col("path"))))
     return nodes.withColumns({"covered": covered, "path_hit": F.when(~covered, hit)})
 
 
 def match_value_rules(nodes: DataFrame, rules: list[dict]) -> DataFrame:
     """Adds `value_hit`, the first value rule found in a string that no path rule took."""
     free = (F.col("kind") == "string") & ~F.col("covered") & F.col("path_hit").isNull()
-    return nodes.withColumn("value_hit", F.when(free, _first_match(rules, "value", F.col("text"))))
+    return nodes.withColumn("value_hit", F.when(free, first_match(rules, "value", F.col("text"))))
 
 
 def redaction_hits(ev: DataFrame, rules: list[dict] | None = None) -> DataFrame:
@@ -206,7 +206,7 @@ def redact_text(df: DataFrame, column: str, rules: list[dict] | None = None) ->
     """Value rules on a plain text column: the new text and the rule that hit."""
     rules = load_rules() if rules is None else rules
     text = F.col(column)
-    hit = _first_match(rules, "value", text)
+    hit = first_match(rules, "value", text)
     new = text
     for n, rule in enumerate(rules):
         if rule["value"]:
