@@ -29,10 +29,10 @@ FINDINGS_SQL = f"""{TL_SQL},
 for _name, _build, _n in [("check_failure_rate", C.check_failure_rate, 1), ("check_token_use", C.check_token_use, 2), ("check_idle_gap", C.check_idle_gap, 3),
                           ("check_repeated_calls", C.check_repeated_calls, 4), ("check_error_cascade", C.check_error_cascade, 5)]:
     on_events(_name, f"WITH {FINDINGS_SQL} SELECT * FROM c{_n}")(_build)
-on_events("anomalies", f"WITH {FINDINGS_SQL} SELECT * FROM anom")(C.anomalies)
+on_events("anomalies", f"WITH {FINDINGS_SQL} SELECT * FROM anom", stored=True)(C.anomalies)
 
 
-@on_events("overall_risk", f"""WITH {FINDINGS_SQL} SELECT run_id, count(*) AS finding_count, CASE max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS overall_risk FROM anom GROUP BY run_id""")
+@on_events("overall_risk", f"""WITH {FINDINGS_SQL} SELECT run_id, count(*) AS finding_count, CASE max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS overall_risk FROM anom GROUP BY run_id""", stored=True)
 def _(ev):
     return C.overall_risk(C.anomalies(ev))
 
@@ -49,11 +49,11 @@ COMPLIANCE_SQL = f"""{TL_SQL},
 for _name, _build, _n in [("check_sensitive_data", C.check_sensitive_data, 1), ("check_missing_approval", C.check_missing_approval, 2),
                           ("check_read_then_send", C.check_read_then_send, 3), ("check_injection_marks", C.check_injection_marks, 4)]:
     on_events(_name, f"WITH {COMPLIANCE_SQL} SELECT * FROM v{_n}")(_build)
-on_events("compliance", f"WITH {COMPLIANCE_SQL} SELECT * FROM viol")(C.compliance)
+on_events("compliance", f"WITH {COMPLIANCE_SQL} SELECT * FROM viol", stored=True)(C.compliance)
 
 
 @on_events("compliance_score", f"""WITH {COMPLIANCE_SQL} SELECT r.run_id, count(finding) AS violation_count, greatest(0, 100 - coalesce(sum(CASE severity WHEN 'high' THEN 20 WHEN 'critical' THEN 40 END), 0))::BIGINT AS score
-   FROM (SELECT DISTINCT run_id FROM ev) r LEFT JOIN viol USING (run_id) GROUP BY r.run_id""")
+   FROM (SELECT DISTINCT run_id FROM ev) r LEFT JOIN viol USING (run_id) GROUP BY r.run_id""", stored=True)
 def _(ev):
     return C.compliance_score(ev)
 
@@ -77,7 +77,7 @@ def _(ev):
 
 
 @on_events("annotations_from_checks", f"""WITH {FINDINGS_SQL} SELECT run_id, min(e.tenant_id) AS tenant_id, 'annotation' AS type, 'check,' || finding AS tags, finding AS key, severity, description FROM anom JOIN ev e USING (run_id)
-   GROUP BY run_id, finding, severity, description, first_event_id""")
+   GROUP BY run_id, finding, severity, description, first_event_id""", stored=True)
 def _(ev):
     rows = C.annotations_from_checks(C.anomalies(ev), ev)
     at = lambda path: F.get_json_object("payload", path)
@@ -127,7 +127,7 @@ def _(ev):
     return S.search_match(S.build_search_index(ev), all_of=["55"], phrases=[["long", "tail"], ["goes"], ["well", "past"]])
 
 
-@on_events("search_rank", f"WITH {MATCH_SQL} SELECT * FROM rk")
+@on_events("search_rank", f"WITH {MATCH_SQL} SELECT * FROM rk", stored=True)
 def _(ev):
     index, ids = _matched(ev)
     return S.search_rank(index, ids, ["tool", "start", "error"])
@@ -145,7 +145,7 @@ def _(ev):
     return S.search_headline(rows, S.headline_text(), ["user", "plan"]).select("id", "headline")
 
 
-@on_events("search_page", f"WITH {MATCH_SQL} SELECT id, rank, (SELECT count(*) FROM rk)>25 AS has_more FROM rk ORDER BY rank DESC, id LIMIT 25")
+@on_events("search_page", f"WITH {MATCH_SQL} SELECT id, rank, (SELECT count(*) FROM rk)>25 AS has_more FROM rk ORDER BY rank DESC, id LIMIT 25", stored=True)
 def _(ev):
     index, ids = _matched(ev)
     return S.search_page(S.search_rank(index, ids, ["tool", "start", "error"]), 25)

@@ -9,38 +9,39 @@ from runledger.operators import lineage as L
 from runledger.plans.lineage_queries import EDGES_SQL, GRAPH_SQL, j
 from runledger.plans.registry import on_events, query
 from runledger.plans.testbed import events_table
+from runledger.session import cut_to_table
 
 
 def _starts(ev, kind: str):
     return ev.where(F.col("type") == kind).select(F.concat(F.lit("event:"), "id").alias("node_id"))
 
 
-@on_events("nodes_by_type", f"WITH {GRAPH_SQL} SELECT node_id FROM nodes WHERE node_type='side_effect'")
+@on_events("nodes_by_type", f"WITH {GRAPH_SQL} SELECT node_id FROM nodes WHERE node_type='side_effect'", stored=True)
 def _(ev):
     return G.nodes_by(L.graph_nodes(ev), node_type="side_effect").select("node_id")
 
 
-@on_events("nodes_by_event_type", "SELECT 'event:' || id AS node_id FROM ev WHERE type='tool.call.error'")
+@on_events("nodes_by_event_type", "SELECT 'event:' || id AS node_id FROM ev WHERE type='tool.call.error'", stored=True)
 def _(ev):
     return G.nodes_by(L.graph_nodes(ev), event_type="tool.call.error").select("node_id")
 
 
-@on_events("nodes_by_ids", "SELECT 'event:' || id AS node_id FROM ev WHERE type='run.error'")
+@on_events("nodes_by_ids", "SELECT 'event:' || id AS node_id FROM ev WHERE type='run.error'", stored=True)
 def _(ev):
     return G.nodes_by(L.graph_nodes(ev), ids=_starts(ev, "run.error")).select("node_id")
 
 
-@on_events("edges_out", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE source IN (SELECT 'event:' || id FROM ev WHERE type='run.error')")
+@on_events("edges_out", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE source IN (SELECT 'event:' || id FROM ev WHERE type='run.error')", stored=True)
 def _(ev):
     return G.edges_of(L.graph_edges(ev), _starts(ev, "run.error"), "out").select("edge_id")
 
 
-@on_events("edges_in", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE target IN (SELECT 'event:' || id FROM ev WHERE type='run.error')")
+@on_events("edges_in", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE target IN (SELECT 'event:' || id FROM ev WHERE type='run.error')", stored=True)
 def _(ev):
     return G.edges_of(L.graph_edges(ev), _starts(ev, "run.error"), "in").select("edge_id")
 
 
-@on_events("edges_by_type", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE edge_type='data_flow'")
+@on_events("edges_by_type", f"WITH {EDGES_SQL} SELECT edge_id FROM edges WHERE edge_type='data_flow'", stored=True)
 def _(ev):
     return G.edges_by_type(L.graph_edges(ev), "data_flow").select("edge_id")
 
@@ -55,12 +56,12 @@ def _walk(kind: str, types: str, forward: bool) -> str:
     return _WALK.format(types=types, kind=kind, here=here, there=there)
 
 
-@on_events("ancestors", f"WITH RECURSIVE {EDGES_SQL}, {_walk('run.error', repr('causal') + ',' + repr('data_flow'), False)} SELECT start_id, node_id FROM wk")
+@on_events("ancestors", f"WITH RECURSIVE {EDGES_SQL}, {_walk('run.error', repr('causal') + ',' + repr('data_flow'), False)} SELECT start_id, node_id FROM wk", stored=True)
 def _(ev):
     return G.ancestors(L.graph_edges(ev), _starts(ev, "run.error"), ["causal", "data_flow"])
 
 
-@on_events("descendants", f"WITH RECURSIVE {EDGES_SQL}, {_walk('prompt.output', repr('causal') + ',' + repr('produces'), True)} SELECT start_id, node_id FROM wk")
+@on_events("descendants", f"WITH RECURSIVE {EDGES_SQL}, {_walk('prompt.output', repr('causal') + ',' + repr('produces'), True)} SELECT start_id, node_id FROM wk", stored=True)
 def _(ev):
     return G.descendants(L.graph_edges(ev), _starts(ev, "prompt.output"), ["causal", "produces"])
 
@@ -70,25 +71,25 @@ _CHAIN = """cp AS (SELECT source, target FROM edges WHERE edge_type='causal'),
 
 
 @on_events("causal_chain", f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT 'event:' || id AS node_id FROM ev WHERE type='run.error'), {_CHAIN}
-  SELECT start_id, CAST(max(up) OVER (PARTITION BY start_id) - up AS BIGINT) AS position, node_id FROM up""")
+  SELECT start_id, CAST(max(up) OVER (PARTITION BY start_id) - up AS BIGINT) AS position, node_id FROM up""", stored=True)
 def _(ev):
     nodes, edges = L.build_graph(ev)
     return G.causal_chain(nodes, edges, _starts(ev, "run.error"))
 
 
-@on_events("side_effects_by_system", f"SELECT 'side_effect:' || id AS node_id, run_id FROM ev WHERE type LIKE 'side_effect.%' AND {j('targetSystem')}='sys-2'")
+@on_events("side_effects_by_system", f"SELECT 'side_effect:' || id AS node_id, run_id FROM ev WHERE type LIKE 'side_effect.%' AND {j('targetSystem')}='sys-2'", stored=True)
 def _(ev):
     return G.side_effects(L.graph_nodes(ev), system="sys-2").select("node_id", "run_id")
 
 
-@on_events("side_effects_by_run", "SELECT 'side_effect:' || id AS node_id FROM ev WHERE type LIKE 'side_effect.%' AND run_id='run-8-1'")
+@on_events("side_effects_by_run", "SELECT 'side_effect:' || id AS node_id FROM ev WHERE type LIKE 'side_effect.%' AND run_id='run-8-1'", stored=True)
 def _(ev):
     return G.side_effects(L.graph_nodes(ev), run_id="run-8-1").select("node_id")
 
 
 @on_events("impact", f"""WITH RECURSIVE {GRAPH_SQL}, {_walk('tool.call.start', repr('causal') + ',' + repr('produces'), True)}
   SELECT start_id, count(*) FILTER (WHERE node_type='event') AS event_count, count(*) FILTER (WHERE node_type='side_effect') AS side_effect_count,
-   count(*) FILTER (WHERE node_type='external_system') AS external_system_count FROM wk JOIN nodes USING (node_id) GROUP BY start_id""")
+   count(*) FILTER (WHERE node_type='external_system') AS external_system_count FROM wk JOIN nodes USING (node_id) GROUP BY start_id""", stored=True)
 def _(ev):
     nodes, edges = L.build_graph(ev)
     return G.impact_counts(G.impact(nodes, edges, _starts(ev, "tool.call.start")))
@@ -96,7 +97,7 @@ def _(ev):
 
 @on_events("subgraph", f"""WITH {EDGES_SQL}, ids AS (SELECT 'event:' || id AS node_id FROM ev WHERE tenant_id='tenant-1')
   SELECT edge_type, count(*) AS n FROM edges WHERE source IN (SELECT node_id FROM ids) AND target IN (SELECT node_id FROM ids) GROUP BY edge_type
-  UNION ALL SELECT 'nodes', count(*) FROM ids""")
+  UNION ALL SELECT 'nodes', count(*) FROM ids""", stored=True)
 def _(ev):
     ids = ev.where(F.col("tenant_id") == "tenant-1").select(F.concat(F.lit("event:"), "id").alias("node_id"))
     nodes, edges = G.subgraph(*L.build_graph(ev), ids)
@@ -109,7 +110,7 @@ def _(ev):
     UNION ALL SELECT cp.target, dp.depth+1 FROM dp JOIN cp ON cp.source=dp.node_id),
   starts AS (SELECT run_id, 'event:' || id AS node_id FROM ev JOIN dp ON dp.node_id='event:' || id QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY depth DESC, "timestamp", 'event:' || id)=1),
   up AS (SELECT run_id, node_id, 0 AS up FROM starts UNION ALL SELECT up.run_id, cp.source, up.up+1 FROM up JOIN cp ON cp.target=up.node_id)
-  SELECT run_id, CAST(max(up) OVER (PARTITION BY run_id) - up AS BIGINT) AS position, node_id FROM up""")
+  SELECT run_id, CAST(max(up) OVER (PARTITION BY run_id) - up AS BIGINT) AS position, node_id FROM up""", stored=True)
 def _(ev):
     return G.critical_path(*L.build_graph(ev))
 
@@ -125,7 +126,7 @@ def _broken(ev):
     copies = edges.where(F.col("edge_type") == "data_flow").withColumn("edge_id", F.concat("edge_id", F.lit("+copy")))
     loops = edges.where(F.col("edge_type") == "delegation").withColumns(
         {"edge_id": F.concat("edge_id", F.lit("+loop")), "target": F.col("source")})
-    return nodes, edges.unionByName(copies).unionByName(loops)
+    return cut_to_table(nodes), cut_to_table(edges.unionByName(copies).unionByName(loops))
 
 
 BROKEN_SQL = f"""{GRAPH_SQL}, bn AS (SELECT * FROM nodes WHERE node_id NOT IN (SELECT 'event:' || id FROM ev WHERE type IN ('custom','annotation','policy.violated'))
@@ -158,7 +159,7 @@ for _name, _build, _table in [
     ("integrity_orphan", lambda n, e: G.integrity_orphan(n, e), "i5"),
     ("graph_integrity", lambda n, e: G.graph_integrity(n, e), "allissues"),
 ]:
-    on_events(_name, f"WITH {BROKEN_SQL} SELECT * FROM {_table}")(lambda ev, build=_build: _flat(build(*_broken(ev))))
+    on_events(_name, f"WITH {BROKEN_SQL} SELECT * FROM {_table}", stored=True)(lambda ev, build=_build: _flat(build(*_broken(ev))))
 
 
 # Parent of a part inside its block of ten keys; two cycles, a self-loop, tails, an open end.

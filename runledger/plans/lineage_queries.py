@@ -126,10 +126,10 @@ GRAPH_SQL = f"{EDGES_SQL}, {NODES_SQL}"
 for _name, _build, _table in [("produces_edges", L.produces_edges, "pe"), ("causal_edges", L.causal_edges, "ce"),
                               ("temporal_edges", L.temporal_edges, "te"), ("delegation_edges", L.delegation_edges, "de"),
                               ("data_flow_edges", L.data_flow_edges, "fe"), ("graph_edges", L.graph_edges, "edges")]:
-    on_events(_name, f"WITH {EDGES_SQL} SELECT * FROM {_table}")(_build)
+    on_events(_name, f"WITH {EDGES_SQL} SELECT * FROM {_table}", stored=_name == "graph_edges")(_build)
 
 
-@on_events("graph_nodes", f"WITH {GRAPH_SQL} SELECT * FROM nodes")
+@on_events("graph_nodes", f"WITH {GRAPH_SQL} SELECT * FROM nodes", stored=True)
 def _(ev):
     return L.graph_nodes(ev).drop("meta")
 
@@ -150,7 +150,7 @@ def _sums(kind: str, table: str, names: list[str]) -> str:
     run_nodes+event_nodes+side_effect_nodes+coalesce(external_system_nodes,0) AS node_count,
     coalesce(causal_edges+temporal_edges+produces_edges+delegation_edges+data_flow_edges,0) AS edge_count, coalesce(delegation_edges,0)>0 AS has_delegation, max_depth
   FROM n2 LEFT JOIN e2 ON n2.level=e2.level AND n2.tenant_id IS NOT DISTINCT FROM e2.tenant_id AND n2.run_id IS NOT DISTINCT FROM e2.run_id
-  LEFT JOIN d2 ON n2.level=d2.level AND n2.tenant_id IS NOT DISTINCT FROM d2.tenant_id AND n2.run_id IS NOT DISTINCT FROM d2.run_id""")
+  LEFT JOIN d2 ON n2.level=d2.level AND n2.tenant_id IS NOT DISTINCT FROM d2.tenant_id AND n2.run_id IS NOT DISTINCT FROM d2.run_id""", stored=True)
 def _(ev):
     nodes, edges = L.build_graph(ev)
     return L.graph_summary(nodes, edges, L.event_depths(ev))
@@ -166,13 +166,13 @@ RUN_GRAPH_SQL = EDGES_SQL.replace("tenant_id || '/'", "run_id || '/'") + ", " +
 
 @on_events("serialize_graph", f"""WITH {RUN_GRAPH_SQL}, a AS (SELECT run_id, string_agg(node_id, ',' ORDER BY coalesce("timestamp", TIMESTAMP '1970-01-01'), node_id) AS node_ids FROM nodes GROUP BY run_id),
   b AS (SELECT run_id, string_agg(edge_id, ',' ORDER BY "timestamp", edge_id) AS edge_ids FROM edges GROUP BY run_id)
-  SELECT run_id, 0::BIGINT AS part, node_ids, edge_ids FROM a FULL JOIN b USING (run_id)""")
+  SELECT run_id, 0::BIGINT AS part, node_ids, edge_ids FROM a FULL JOIN b USING (run_id)""", stored=True)
 def _(ev):
     graphs = L.serialize_graph(*L.build_graph(ev, owner="run_id"))
     return graphs.select("run_id", "part", _ids("nodes", "node_id").alias("node_ids"), _ids("edges", "edge_id").alias("edge_ids"))
 
 
-@on_events("deserialize_graph", f"""WITH {RUN_GRAPH_SQL} SELECT run_id, node_id AS element_id, node_type AS element_type FROM nodes UNION ALL SELECT run_id, edge_id, edge_type FROM edges""")
+@on_events("deserialize_graph", f"""WITH {RUN_GRAPH_SQL} SELECT run_id, node_id AS element_id, node_type AS element_type FROM nodes UNION ALL SELECT run_id, edge_id, edge_type FROM edges""", stored=True)
 def _(ev):
     nodes, edges = L.deserialize_graph(L.serialize_graph(*L.build_graph(ev, owner="run_id")))
     return nodes.select("run_id", F.col("node_id").alias("element_id"), F.col("node_type").alias("element_type")).unionByName(
@@ -180,19 +180,19 @@ def _(ev):
 
 
 @on_events("adjacency", f"""WITH {EDGES_SQL}, x AS (SELECT source AS node_id, 'out' AS direction, edge_id, "timestamp" FROM edges UNION ALL SELECT target, 'in', edge_id, "timestamp" FROM edges)
-  SELECT node_id, direction, 0::BIGINT AS part, string_agg(edge_id, ',' ORDER BY "timestamp", edge_id) AS edge_ids FROM x GROUP BY node_id, direction""")
+  SELECT node_id, direction, 0::BIGINT AS part, string_agg(edge_id, ',' ORDER BY "timestamp", edge_id) AS edge_ids FROM x GROUP BY node_id, direction""", stored=True)
 def _(ev):
     return L.adjacency(L.graph_edges(ev)).withColumn("edge_ids", F.array_join("edge_ids", ","))
 
 
-@on_events("filter_edges", f"WITH {EDGES_SQL} SELECT edge_id, edge_type FROM edges WHERE edge_type<>'temporal'")
+@on_events("filter_edges", f"WITH {EDGES_SQL} SELECT edge_id, edge_type FROM edges WHERE edge_type<>'temporal'", stored=True)
 def _(ev):
     return L.filter_edges(L.graph_edges(ev)).select("edge_id", "edge_type")
 
 
 @on_events("validate_graph", f"""WITH {GRAPH_SQL} SELECT 'node' AS element, node_id AS element_id, 'type' AS path, 'invalid_enum_value' AS code FROM nodes WHERE source_event_id IN (SELECT id FROM ev WHERE type='custom')
   UNION ALL SELECT 'node', node_id, 'meta.effectCount', 'too_small' FROM nodes WHERE node_type='external_system'
-  UNION ALL SELECT 'edge', edge_id, 'source', 'too_small' FROM edges WHERE edge_type='delegation'""")
+  UNION ALL SELECT 'edge', edge_id, 'source', 'too_small' FROM edges WHERE edge_type='delegation'""", stored=True)
 def _(ev):
     nodes, edges = L.build_graph(ev)
     # Break the rules in a known way: unknown node types, negative counts, empty sources.
@@ -210,6 +210,6 @@ def _(ev):
   ly AS (SELECT node_id, max(layer)::BIGINT AS layer FROM wk GROUP BY node_id),
   al AS (SELECT n.*, coalesce(layer,0) AS layer, coalesce(run_id, tenant_id) AS graph_key FROM nodes n LEFT JOIN ly USING (node_id))
   SELECT node_id, node_type, graph_key, layer, row_number() OVER (PARTITION BY graph_key, layer ORDER BY CASE node_type WHEN 'run' THEN 0 WHEN 'external_system' THEN 2 ELSE 1 END,
-    CASE WHEN node_type='event' THEN "timestamp" ELSE TIMESTAMP '1970-01-01' END, node_id)-1 AS "row" FROM al""")
+    CASE WHEN node_type='event' THEN "timestamp" ELSE TIMESTAMP '1970-01-01' END, node_id)-1 AS "row" FROM al""", stored=True)
 def _(ev):
     return L.layer_graph(*L.build_graph(ev))

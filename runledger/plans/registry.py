@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.plans.testbed import canonical_events, canonical_sql
+from runledger.session import cut_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,11 +33,18 @@ def query(name: str, sql: str | None = None, raw: bool = False):
     return keep
 
 
-def on_events(name: str, sql: str | None = None):
-    """Register a query that is a function of the canonical events."""
+def on_events(name: str, sql: str | None = None, stored: bool = False):
+    """Register a query that is a function of the canonical events.
+
+    `stored` writes the events to a table first, for queries that read them many times.
+    """
 
     def keep(build):
-        query(name, sql)(lambda spark, sf_dir: plain_times(build(canonical_events(spark, sf_dir))))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ev = canonical_events(spark, sf_dir)
+            return plain_times(build(cut_to_table(ev) if stored else ev))
+
+        query(name, sql)(run)
         return build
 
     return keep

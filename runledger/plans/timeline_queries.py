@@ -101,7 +101,7 @@ def _(ev):
     return TL.gaps_by_index(TL.timeline_gaps(TL.timeline_index(ev))).withColumn("gap_types", _joined("gap_types"))
 
 
-@on_events("run_summary", f"WITH {CALLS_SQL}, {GAPS_SQL.strip()}, {SUMMARY_SQL} SELECT * FROM sums")
+@on_events("run_summary", f"WITH {CALLS_SQL}, {GAPS_SQL.strip()}, {SUMMARY_SQL} SELECT * FROM sums", stored=True)
 def run_summary_query(ev):
     return TL.run_summary(TL.timeline_index(ev))
 
@@ -122,7 +122,7 @@ def _(ev):
 @on_events("timeline", f"""WITH RECURSIVE {CALLS_SQL}, {DURATIONS_SQL}, {DEPTH_SQL},
   ch AS (SELECT run_id, parent_event_id AS id, count(*) AS child_count FROM tl WHERE parent_event_id IS NOT NULL GROUP BY ALL)
   SELECT tl.run_id, tl.id, tl.type, tl."timestamp", tl.idx, dr.depth::BIGINT AS depth, coalesce(child_count,0) AS child_count, duration_ms
-  FROM tl LEFT JOIN dr USING (run_id, id) LEFT JOIN ch USING (run_id, id) LEFT JOIN durs USING (run_id, id)""")
+  FROM tl LEFT JOIN dr USING (run_id, id) LEFT JOIN ch USING (run_id, id) LEFT JOIN durs USING (run_id, id)""", stored=True)
 def _(ev):
     return TL.timeline(ev).drop("slice")
 
@@ -198,7 +198,7 @@ def _(ev):
    (SELECT count(*) FROM ev WHERE ev.run_id=r.id) AS event_count, epoch_ms(r.ended_at)-epoch_ms(r.started_at) AS duration_ms,
    (SELECT count(*) FROM runs c WHERE c.parent_run_id=r.id) AS child_count,
    (SELECT arg_min(c.id, (c.started_at, c.id)) FROM runs c WHERE c.parent_run_id=r.id) AS first_child_id,
-   p.id AS parent_run_id, p.status AS parent_status FROM runs r LEFT JOIN runs p ON r.parent_run_id=p.id""")
+   p.id AS parent_run_id, p.status AS parent_status FROM runs r LEFT JOIN runs p ON r.parent_run_id=p.id""", stored=True)
 def _(ev):
     return R.run_details(R.build_runs(ev), ev)
 

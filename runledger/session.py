@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +69,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """Like `cut_lineage`, but as a Parquet table: for rows that are read several times by different columns."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
