@@ -10,6 +10,7 @@ from runledger.operators import otlp as O
 from runledger.plans.registry import query
 from runledger.plans.testbed import BASE_COLUMNS, events_table
 from runledger.schemas import OTLP_DDL
+from runledger.session import cut_to_table
 
 # Vendor type, data as sent, canonical type, expected payload (keys sorted). `#` stands for a number.
 CASES = {
@@ -280,7 +281,7 @@ _ROUTES = " UNION ALL ".join(
 @query("route_adapter", f"""WITH {SPANS_SQL}, r AS (SELECT 'sdk' AS vendor, 'canonical' AS adapter FROM bs UNION ALL SELECT vendor, 'otel-genai' FROM sn UNION ALL {_ROUTES})
   SELECT vendor, coalesce(adapter, 'none') AS adapter, count(*) AS n FROM r GROUP BY ALL""", raw=True)
 def _(spark, sf_dir):
-    routed = N.route_adapter(all_raw(spark, sf_dir))
+    routed = N.route_adapter(cut_to_table(all_raw(spark, sf_dir)))
     return routed.groupBy("vendor", F.coalesce("adapter", F.lit("none")).alias("adapter")).agg(F.count("*").alias("n"))
 
 
@@ -293,4 +294,4 @@ def _bad(vendor_id: str) -> str:
 @query("normalization_stats", f"""WITH {BASE_SQL}, r AS (SELECT k%7=0 AS bad FROM bs UNION ALL SELECT false FROM bs {' '.join(f'UNION ALL SELECT {_bad(v)} FROM bs' for v in CASES)})
   SELECT count(*) AS processed, count(*) FILTER (WHERE NOT bad) AS succeeded, count(*) FILTER (WHERE bad) AS failed, count(*) FILTER (WHERE bad) AS dead_lettered FROM r""", raw=True)
 def _(spark, sf_dir):
-    return N.normalization_stats(N.normalize(all_raw(spark, sf_dir)))
+    return N.normalization_stats(N.normalize(cut_to_table(all_raw(spark, sf_dir))))
