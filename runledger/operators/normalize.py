@@ -76,6 +76,11 @@ def object_field(members: Column, *keys: str) -> Column:
     return _first(members, keys, lambda t: t.startswith("OBJECT"), "variant")
 
 
+def text_of(value: Column) -> Column:
+    """The text of a JSON string; null for anything else."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def present_field(members: Column, *keys: str) -> Column:
     """First of the keys that holds anything but JSON null."""
     return _first(members, keys, lambda t: t != "VOID", "variant")
@@ -353,6 +358,18 @@ def tool_input(attributes: Column) -> Column:
         F.coalesce(F.parse_json(F.to_json(named)), F.parse_json(F.lit("{}"))))
 
 
+# Names read from the top level of a raw object, besides those of the vendor tables.
+_TOP_NAMES = ["type", "timestamp", "id", "runId", "tenantId", "schemaVersion", "name", "kind", "traceId", "spanId", "parentSpanId",
+              "startTime", "endTime", "startTimeUnixNano", "endTimeUnixNano", "attributes", "resourceAttributes", "status",
+              "events", "scopeName", "scopeVersion"]
+
+
+def _parsed(raw: DataFrame, vendors: list[Vendor]) -> DataFrame:
+    """Adds `top`: the named members of the raw object as VARIANT, from one parse."""
+    names = dict.fromkeys([*_TOP_NAMES, *[n for v in vendors for n in v.names.values()]])
+    return raw.withColumn("top", F.from_json("data", ", ".join(f"`{n}` variant" for n in names)))
+
+
 def _envelope(vendors: list[Vendor], otel: bool) -> dict[str, Column]:
     """First projection: envelope texts and the two objects payloads are built from."""
     top, adapter = F.col("top"), F.col("adapter")
@@ -364,31 +381,31 @@ def _envelope(vendors: list[Vendor], otel: bool) -> dict[str, Column]:
         return _cases(adapter, choices) if choices else F.lit(None)
 
     def named(field_name: str, of_span: str) -> Column:
-        return pick(lambda v: text_field(top, v.names[field_name]), text_field(top, of_span))
+        return pick(lambda v: text_of(top[v.names[field_name]]), text_of(top[of_span]))
 
-    type_text = F.coalesce(F.try_variant_get(F.try_element_at(top, F.lit("type")), "$", "string"), F.lit(""))
-    time = text_field(top, "timestamp")
-    objects = pick(lambda v: _as_map(F.try_element_at(top, F.lit(v.names["data"]))), _as_map(F.try_element_at(top, F.lit("attributes"))))
+    type_text = F.coalesce(F.try_variant_get(top["type"], "$", "string"), F.lit(""))
+    time = text_of(top["timestamp"])
+    objects = pick(lambda v: _as_map(top[v.names["data"]]), _as_map(top["attributes"]))
     none = F.lit(None).cast("string")
     texts = {
-        "x_kind": pick(lambda v: type_text, text_field(top, "name")),
-        "x_agent": pick(lambda v: text_field(top, v.names["agent"]), none),
+        "x_kind": pick(lambda v: type_text, text_of(top["name"])),
+        "x_agent": pick(lambda v: text_of(top[v.names["agent"]]), none),
         "x_span": named("span", "spanId"), "x_trace": named("trace", "traceId"), "x_parent": named("parent", "parentSpanId"),
-        "x_start": pick(lambda v: time, text_field(top, "startTime")),
-        "x_end": pick(lambda v: none, text_field(top, "endTime")),
+        "x_start": pick(lambda v: time, text_of(top["startTime"])),
+        "x_end": pick(lambda v: none, text_of(top["endTime"])),
     }
     return {n: c.cast("string") for n, c in texts.items()} | {
         "x_data": objects.cast(_OBJECT),
-        "x_resource": (F.when(adapter == OTEL, _as_map(F.try_element_at(top, F.lit("resourceAttributes")))) if otel else F.lit(None)).cast(_OBJECT),
+        "x_resource": (F.when(adapter == OTEL, _as_map(top["resourceAttributes"])) if otel else F.lit(None)).cast(_OBJECT),
     }
 
 
 def _span_columns() -> dict[str, Column]:
     """What the payloads of spans share, read once per span."""
     top, attrs, resource = F.col("top"), F.col("x_data"), F.col("x_resource")
-    start, end = (text_field(top, f"{n}TimeUnixNano") for n in ("start", "end"))
-    status = F.try_element_at(top, F.lit("status"))
-    events = F.try_variant_get(F.try_element_at(top, F.lit("events")), "$", "array<variant>")
+    start, end = (text_of(top[f"{n}TimeUnixNano"]) for n in ("start", "end"))
+    status = top["status"]
+    events = F.try_variant_get(top["events"], "$", "array<variant>")
     exception = F.try_element_at(F.filter(events, lambda e: F.try_variant_get(e, "$.name", "string") == "exception"), F.lit(1))
     stack = text_field(_as_map(F.try_variant_get(exception, "$.attributes", "variant")), "exception.stacktrace")
     nanos = end.try_cast("decimal(20,0)") - start.try_cast("decimal(20,0)")
@@ -448,7 +465,7 @@ def _span_payloads() -> dict[str, Column]:
         "tool.call.error": _json(tool | {"errorType": F.lit("ToolCallError"),
                                          "errorMessage": message("OTel tool span ended with ERROR status")}),
         "annotation": _json({"key": F.lit("otel.span"), "value": F.struct(
-            name.alias("name"), F.try_element_at(top, F.lit("kind")).alias("kind"), attributes.alias("attributes")),
+            name.alias("name"), top["kind"].alias("kind"), attributes.alias("attributes")),
             "annotatedBy": F.lit("opentelemetry")}),
     }
 
@@ -465,7 +482,7 @@ def _span_meta() -> Column:
     top = F.col("top")
     return _json({"normalizedBy": F.lit(OTEL), "receivedAt": iso_millis("received_at"), "originalSpanName": F.col("x_kind"),
                   "traceId": F.col("x_trace"), "spanId": F.col("x_span"), "vendor": F.col("vendor"),
-                  "scopeName": text_field(top, "scopeName"), "scopeVersion": text_field(top, "scopeVersion")})
+                  "scopeName": text_of(top["scopeName"]), "scopeVersion": text_of(top["scopeVersion"])})
 
 
 def _results(routed: DataFrame, vendors: list[Vendor], otel: bool = False, canonical: bool = False) -> DataFrame:
@@ -474,8 +491,7 @@ def _results(routed: DataFrame, vendors: list[Vendor], otel: bool = False, canon
     One row per event with status `success`, or one row with status `error` and a reason.
     """
     adapter = F.col("adapter")
-    rows = routed.withColumn("top", _as_map(F.try_parse_json("data")))
-    rows = rows.withColumns(_envelope(vendors, otel))
+    rows = routed.withColumns(_envelope(vendors, otel))
     types = F.create_map(*[F.lit(x) for v in vendors for kind, mapped in v.types.items() for x in (f"{v.vendor_id}|{kind}", mapped)]) if vendors else F.create_map().cast("map<string,string>")
     rows = rows.withColumn("mapped", F.try_element_at(types, F.concat_ws("|", "adapter", "x_kind")))
     if otel:
@@ -562,31 +578,34 @@ def _with_checked(rows: DataFrame) -> DataFrame:
 def route_adapter(raw: DataFrame, vendors: list[Vendor] | None = None) -> DataFrame:
     """Adds `adapter`: the exact vendor id, else the first whose probe accepts, else null."""
     vendors = VENDORS if vendors is None else vendors
-    top = F.col("_top")
+    return _parsed(raw, vendors).withColumn("adapter", _adapter(vendors)).drop("top")
+
+
+def _adapter(vendors: list[Vendor]) -> Column:
+    top = F.col("top")
 
     def is_text(key: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_element_at(top, F.lit(key))) == "STRING", F.lit(False))
+        return F.coalesce(F.schema_of_variant(top[key]) == "STRING", F.lit(False))
 
     out = F.when(F.col("vendor").isin([CANONICAL, *[x.vendor_id for x in vendors], OTEL]), F.col("vendor"))
     wire = F.lit(True)
     for key in ("type", "id", "runId", "tenantId", "schemaVersion"):
         wire = wire & is_text(key)
     out = out.when(wire, CANONICAL)
-    kind = text_field(top, "type")
+    kind = text_of(top["type"])
     for vendor in vendors:
         hit = F.lit(False)
         for prefix in vendor.prefixes:
             hit = hit | kind.startswith(prefix)
         out = out.when(F.coalesce(hit, F.lit(False)), vendor.vendor_id)
-    attributes = F.schema_of_variant(F.try_element_at(top, F.lit("attributes")))
+    attributes = F.schema_of_variant(top["attributes"])
     shape = is_text("name") & is_text("traceId") & is_text("spanId") & F.coalesce(attributes.rlike("^(OBJECT|ARRAY)"), F.lit(False))
-    out = out.when(F.col("vendor").isin(OTEL_VENDORS) | shape, OTEL)
-    return raw.withColumn("_top", _as_map(F.try_parse_json("data"))).withColumn("adapter", out).drop("_top")
+    return out.when(F.col("vendor").isin(OTEL_VENDORS) | shape, OTEL)
 
 
 def normalize_vendor(raw: DataFrame, vendor: Vendor) -> DataFrame:
     """All rows by the table of one vendor."""
-    return _results(raw.withColumn("adapter", F.lit(vendor.vendor_id)), [vendor])
+    return _results(_parsed(raw, [vendor]).withColumn("adapter", F.lit(vendor.vendor_id)), [vendor])
 
 
 def normalize_openai_agents(raw: DataFrame) -> DataFrame:
@@ -606,11 +625,11 @@ def normalize_claude_code(raw: DataFrame) -> DataFrame:
 
 
 def normalize_otel(raw: DataFrame) -> DataFrame:
-    return _results(raw.withColumn("adapter", F.lit(OTEL)), [], otel=True)
+    return _results(_parsed(raw, []).withColumn("adapter", F.lit(OTEL)), [], otel=True)
 
 
 def normalize_passthrough(raw: DataFrame) -> DataFrame:
-    return _results(raw.withColumn("adapter", F.lit(CANONICAL)), [], canonical=True)
+    return _results(_parsed(raw, []).withColumn("adapter", F.lit(CANONICAL)), [], canonical=True)
 
 
 def normalize(raw: DataFrame, vendors: list[Vendor] | None = None) -> DataFrame:
@@ -619,7 +638,7 @@ def normalize(raw: DataFrame, vendors: list[Vendor] | None = None) -> DataFrame:
     Give a longer list of vendor tables to add formats.
     """
     vendors = VENDORS if vendors is None else vendors
-    return _results(route_adapter(raw, vendors), vendors, otel=True, canonical=True)
+    return _results(_parsed(raw, vendors).withColumn("adapter", _adapter(vendors)), vendors, otel=True, canonical=True)
 
 
 def canonical_rows(results: DataFrame) -> DataFrame:

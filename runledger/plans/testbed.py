@@ -152,9 +152,15 @@ def _with_base(raw: DataFrame) -> DataFrame:
     ).withColumn("run_id", F.expr("'run-' || CAST(u AS STRING) || '-' || CAST(w AS STRING)"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that comes in fewer pieces than there are cores; else leave it alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def events_table(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def canonical_events(spark: SparkSession, sf_dir: str, **slicing) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from runledger.functions.payload import fields
-from runledger.operators.ingest import dedupe_events
 from runledger.operators.normalize import canonical_rows, dead_letters, normalize
 from runledger.operators.runs import _lifecycle, run_columns
 from runledger.operators.timeline import run_summary, timeline_index
@@ -169,8 +168,6 @@ def stream_open_tools(events: DataFrame, timeout_ms: int = 3_600_000, delay: str
 def rebuild_touched_runs(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Run summaries of the runs a late batch touches, from all their events in source order."""
     touched = batch.select("run_id").distinct()
-    everything = stored.select(*batch.columns).unionByName(batch)
-    mine = everything.join(touched, "run_id", "left_semi")
-    order = mine if "ingestion_order" in mine.columns else mine.withColumn("ingestion_order", F.lit(0))
-    first = dedupe_events(order).where(F.col("status") == "created").drop("status")
-    return run_summary(timeline_index(first))
+    fresh = batch.join(stored.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*batch.columns)
+    everything = stored.select(*batch.columns).unionByName(fresh)
+    return run_summary(timeline_index(everything.join(touched, "run_id", "left_semi")))
