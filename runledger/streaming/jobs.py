@@ -50,11 +50,11 @@ def stream_normalize(raw: DataFrame, out: str, dead: str, checkpoint: str, once:
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        results = cut_to_table(normalize(batch))
+        results = cut_to_table(batch)
         canonical_rows(results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         dead_letters(results).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
 
-    return _start(raw, sink, checkpoint, once=once)
+    return _start(normalize(raw), sink, checkpoint, once=once)
 
 
 def stream_dedupe(events: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
