@@ -107,8 +107,8 @@ def page(df: DataFrame, keys: list[tuple[str, bool]], size: int, cursor: list |
 
 def page_offset(df: DataFrame, order: list[Column], page_no: int, size: int) -> DataFrame:
     """Offset paging; `page_count` is on every row. The order must be total."""
-    pages = df.agg(F.ceil(F.count("*") / size).cast("bigint").alias("page_count"))
-    return df.orderBy(*order).offset(page_no * size).limit(size).crossJoin(F.broadcast(pages))
+    pages = -(-df.count() // size)
+    return df.orderBy(*order).offset(page_no * size).limit(size).withColumn("page_count", F.lit(pages).cast("bigint"))
 
 
 def list_runs(runs: DataFrame, ev: DataFrame, tenant: str | None = None, status: str | None = None,

@@ -150,7 +150,8 @@ def search_batch(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFra
     """
     terms = queries.select("query_id", F.lower("term").alias("term")).distinct()
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    postings = index.groupBy("id", "term", "weight").agg(F.count("*").alias("tf"))
+    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
+    postings = asked.groupBy("id", "term", "weight").agg(F.count("*").alias("tf"))
     scored = (
         postings.join(terms, "term")
         .groupBy("query_id", "id")

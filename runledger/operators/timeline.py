@@ -163,7 +163,7 @@ def run_summary(tl: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """One row per run, as the head of a replay view."""
     is_end = F.col("type") == "run.end"
     per_run = tl.groupBy("run_id").agg(
-        F.first("tenant_id", ignorenulls=True).alias("tenant_id"),
+        F.min_by("tenant_id", "idx").alias("tenant_id"),
         F.count("*").alias("event_count"),
         F.min("timestamp").alias("start_time"),
         F.max("timestamp").alias("end_time"),

@@ -139,10 +139,9 @@ def _(ev):
     return S.search_filters(ev, tenant="tenant-2", types=["tool.call.start", "run.end"], after=day("05"), before=day("15")).select("id")
 
 
-@on_events("search_headline", f"""SELECT id, regexp_replace(regexp_replace('prompt.input ' || source_agent || ' ' || payload, '(?i)\\b(user|plan)\\b', '<mark>\\1</mark>', 'g'), '\\s+', ' ', 'g') AS headline FROM ev WHERE type='prompt.input'""")
+@on_events("search_headline", f"""SELECT id, regexp_replace(regexp_replace(type || ' ' || source_agent || ' ' || payload, '(?i)\\b(user|plan)\\b', '<mark>\\1</mark>', 'g'), '\\s+', ' ', 'g') AS headline FROM ev""")
 def _(ev):
-    rows = ev.where("type = 'prompt.input'")
-    return S.search_headline(rows, S.headline_text(), ["user", "plan"]).select("id", "headline")
+    return S.search_headline(ev, S.headline_text(), ["user", "plan"]).select("id", "headline")
 
 
 @on_events("search_page", f"WITH {MATCH_SQL} SELECT id, rank, (SELECT count(*) FROM rk)>25 AS has_more FROM rk ORDER BY rank DESC, id LIMIT 25", stored=True)
@@ -160,7 +159,7 @@ def _(ev):
   qn AS (SELECT query_id, count(DISTINCT term) AS n FROM q GROUP BY query_id), tf AS (SELECT id, term, weight, count(*) AS tf FROM idx GROUP BY ALL),
   sc AS (SELECT query_id, id, {SCORE_SQL} AS rank, count(DISTINCT term) AS found FROM tf JOIN q USING (term) GROUP BY ALL),
   pl AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS place FROM sc JOIN qn USING (query_id) WHERE found=n)
-  SELECT query_id, place, id, rank FROM pl WHERE place<=10""")
+  SELECT query_id, place, id, rank FROM pl WHERE place<=10""", stored=True)
 def _(ev):
     tool = F.get_json_object("payload", "$.toolName")
     queries = ev.where(F.col("type").startswith("tool.call.")).select(

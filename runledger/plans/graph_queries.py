@@ -77,14 +77,15 @@ def _(ev):
     return G.causal_chain(nodes, edges, _starts(ev, "run.error"))
 
 
-@on_events("side_effects_by_system", f"SELECT 'side_effect:' || id AS node_id, run_id FROM ev WHERE type LIKE 'side_effect.%' AND {j('targetSystem')}='sys-2'", stored=True)
+@on_events("side_effects_by_system", f"SELECT {j('targetSystem')} AS system, count(*) AS n, min('side_effect:' || id) AS first_node FROM ev WHERE type LIKE 'side_effect.%' GROUP BY ALL", stored=True)
 def _(ev):
-    return G.side_effects(L.graph_nodes(ev), system="sys-2").select("node_id", "run_id")
+    system = F.get_json_object("meta", "$.targetSystem")
+    return G.side_effects(L.graph_nodes(ev)).groupBy(system.alias("system")).agg(F.count("*").alias("n"), F.min("node_id").alias("first_node"))
 
 
-@on_events("side_effects_by_run", "SELECT 'side_effect:' || id AS node_id FROM ev WHERE type LIKE 'side_effect.%' AND run_id='run-8-1'", stored=True)
+@on_events("side_effects_by_run", "SELECT 'side_effect:' || id AS node_id, run_id FROM ev WHERE type LIKE 'side_effect.%'", stored=True)
 def _(ev):
-    return G.side_effects(L.graph_nodes(ev), run_id="run-8-1").select("node_id")
+    return G.side_effects(L.graph_nodes(ev)).select("node_id", "run_id")
 
 
 @on_events("impact", f"""WITH RECURSIVE {GRAPH_SQL}, {_walk('tool.call.start', repr('causal') + ',' + repr('produces'), True)}

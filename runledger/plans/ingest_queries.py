@@ -19,21 +19,12 @@ HITS_SQL = """hits AS (SELECT run_id, id, 'content' AS field_path, 'builtin-emai
   UNION ALL SELECT run_id, id, 'inputParameters.items[0].token', 'builtin-token-field', 'mask' FROM ev WHERE type='tool.call.start')"""
 
 
-@on_events("flatten_payload", """SELECT run_id, id, 'inputParameters.items[0].token' AS path, 'string' AS kind, 't' AS text FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.items[1].note', 'string', 'plain' FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.items[0]', 'object', NULL FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.items[1]', 'object', NULL FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.items', 'array', NULL FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.api_key', 'string', 'key' FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters.k', 'number', CAST(k%2 AS VARCHAR) FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'inputParameters', 'object', NULL FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'toolName', 'string', 'tool-' || CAST(eid%3 AS VARCHAR) FROM ev WHERE type='tool.call.start'
-  UNION ALL SELECT run_id, id, 'toolId', 'string', 't' || CAST(u%2 AS VARCHAR) FROM ev WHERE type='tool.call.start' AND eid%4=0
-  UNION ALL SELECT run_id, id, 'key', 'string', 'note' FROM ev WHERE type='annotation'
-  UNION ALL SELECT run_id, id, 'value', 'number', CAST(k AS VARCHAR) FROM ev WHERE type='annotation'""")
+@on_events("flatten_payload", """SELECT run_id, ev.id, substr(t.fullkey, 3) AS path,
+   CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+   CASE WHEN t.type='VARCHAR' THEN json_extract_string(t.atom, '$') WHEN t.type NOT IN ('OBJECT','ARRAY','NULL') THEN CAST(t.atom AS VARCHAR) END AS text
+   FROM ev, json_tree(ev.payload) t WHERE t.fullkey<>'$'""")
 def _(ev):
-    return X.flatten_payload(ev.where(F.col("type").isin("tool.call.start", "annotation"))).select(
-        "run_id", "id", "path", "kind", "text")
+    return X.flatten_payload(ev).select("run_id", "id", "path", "kind", "text")
 
 
 @on_events("match_path_rules", f"WITH {HITS_SQL} SELECT run_id, id, field_path, rule_id FROM hits WHERE rule_id LIKE '%field%'")
@@ -53,17 +44,17 @@ _OTHER_RULES = [X.path_rule("gone", "inputParameters.items"), X.value_rule("hash
                 X.path_rule("any-doc", "*.documentIds"), X.path_rule("keep-out", "documentIds", "remove")]
 
 
-@on_events("redact_events", """SELECT id, CASE type WHEN 'annotation' THEN payload
+@on_events("redact_events", """SELECT id, CASE type
    WHEN 'prompt.input' THEN replace(payload, json_extract_string(payload,'$.content'), CASE WHEN k%2=0 THEN '[REDACTED]' ELSE 'sha256:' || sha256(json_extract_string(payload,'$.content')) END)
    WHEN 'context.retrieved' THEN regexp_replace(payload, ',"documentIds":\\[[^\\]]*\\]', '')
-   ELSE replace(replace(payload, '"api_key":"key"', '"api_key":"[REDACTED]"'), '[{"token":"t"},{"note":"plain"}]', '"[REDACTED]"') END AS payload,
-   CASE type WHEN 'annotation' THEN '' WHEN 'prompt.input' THEN CASE WHEN k%2=0 THEN 'content/builtin-email-value/mask' ELSE 'content/hashed/hash' END
-   WHEN 'context.retrieved' THEN 'documentIds/keep-out/remove' ELSE 'inputParameters.api_key/builtin-api-key-field-2/mask,inputParameters.items/gone/mask' END AS fields
-   FROM ev WHERE type IN ('annotation','prompt.input','context.retrieved','tool.call.start')""")
+   WHEN 'context.injected' THEN replace(payload, json_extract_string(payload,'$.content'), '[REDACTED]')
+   WHEN 'tool.call.start' THEN replace(replace(payload, '"api_key":"key"', '"api_key":"[REDACTED]"'), '[{"token":"t"},{"note":"plain"}]', '"[REDACTED]"') ELSE payload END AS payload,
+   CASE type WHEN 'context.injected' THEN 'content/builtin-bearer-token-value/mask' WHEN 'prompt.input' THEN CASE WHEN k%2=0 THEN 'content/builtin-email-value/mask' ELSE 'content/hashed/hash' END
+   WHEN 'context.retrieved' THEN 'documentIds/keep-out/remove' WHEN 'tool.call.start' THEN 'inputParameters.api_key/builtin-api-key-field-2/mask,inputParameters.items/gone/mask' ELSE '' END AS fields
+   FROM ev""")
 def _(ev):
-    rows = ev.where(F.col("type").isin("annotation", "prompt.input", "context.retrieved", "tool.call.start"))
     fields = F.transform("redacted_fields", lambda r: F.concat_ws("/", r["field_path"], r["rule_id"], r["action"]))
-    return X.redact_events(rows, X.load_rules(_OTHER_RULES)).select("id", "payload", F.array_join(fields, ",").alias("fields"))
+    return X.redact_events(ev, X.load_rules(_OTHER_RULES)).select("id", "payload", F.array_join(fields, ",").alias("fields"))
 
 
 @query("redact_text", r"""WITH r AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}') THEN 'builtin-email-value'
