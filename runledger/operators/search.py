@@ -151,11 +151,12 @@ def search_batch(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFra
     terms = queries.select("query_id", F.lower("term").alias("term")).distinct()
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = index.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = asked.groupBy("id", "term", "weight").agg(F.count("*").alias("tf"))
+    # One score per event and term before the queries are joined, so a term many queries share is counted once.
+    postings = asked.groupBy("id", "term", "weight").agg(F.count("*").alias("tf")).groupBy("id", "term").agg(
+        F.sum(_term_score()).alias("score"))
     scored = (
         postings.join(terms, "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(_term_score()), 9).alias("rank"), F.count_distinct("term").alias("found"))
+        .groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("rank"), F.count("*").alias("found"))
         .join(sizes, "query_id").where(F.col("found") == F.col("n_terms"))
     )
     best = Window.partitionBy("query_id").orderBy(F.col("rank").desc(), F.col("id"))
