@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, mixing
+from runledger.llm import chat, decontaminate, lines, mixing
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,24 @@ def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, i, x[i] AS line FROM (SELECT r, doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+w AS (SELECT *, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM l),
+c AS (SELECT s, len(s) AS n, min((doc_id, i)) AS at FROM w WHERE len(s) > 0 GROUP BY s),
+m AS (SELECT DISTINCT a.at FROM c a JOIN c b ON b.at < a.at AND 4 * b.n <= 5 * a.n AND 4 * a.n <= 5 * b.n
+      WHERE 5 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+k AS (SELECT w.*, len(w.s) > 0 AND ((w.doc_id, w.i) <> c.at OR m.at IS NOT NULL) AS gone
+      FROM w LEFT JOIN c ON w.s = c.s LEFT JOIN m ON c.at = m.at)
+SELECT d.doc_id, count(k.i)::BIGINT AS n_lines, count(*) FILTER (k.gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (NOT k.gone), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) GROUP BY d.r, d.doc_id
+"""
+
+
+@query("op9_dedup_lines", LINES_SQL)
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
