@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, lines, mixing
+from runledger.llm import chat, decontaminate, lines, mixing, near
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,28 @@ FROM d LEFT JOIN k USING (r) GROUP BY d.r, d.doc_id
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), x AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), c AS (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS id FROM x WHERE len(s) > 0 GROUP BY 1, 2),
+e AS (
+  SELECT a.id AS a, b.id AS b, least(a.id, b.id) AS x FROM c a JOIN c b ON a.id < b.id AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))
+), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t(id, root) AS (SELECT id, id FROM c UNION SELECT u.b, t.root FROM t JOIN u ON u.a = t.id),
+g AS (SELECT id, min(root) AS root FROM t GROUP BY id)
+SELECT x.doc_id, len(x.s)::BIGINT AS n_shingles, coalesce(g.root, x.doc_id) AS component_id, x.doc_id = coalesce(g.root, x.doc_id) AS kept
+FROM x LEFT JOIN c ON list_sort(x.s) = c.s LEFT JOIN g ON c.id = g.id
+"""
+
+
+@query("op7_near_duplicates", NEAR_SQL)
+def op7(spark, sf_dir):
+    return near.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
