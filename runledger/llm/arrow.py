@@ -15,9 +15,7 @@ from pyspark.sql import types as T
 
 from runledger.session import configure
 
-BLOCK = 1 << 20  # bytes looked at together
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BLOCK = 1 << 18  # bytes looked at together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -34,7 +32,7 @@ ALNUM_WORDS = np.zeros(256, bool)  # digits, letters, all beyond ASCII
 ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x41:0x5B] = ALNUM_WORDS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-_LOWER_BYTE = _BYTE[LOWER]
+_TO_LOWER = LOWER.tobytes()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,17 +65,20 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = SPACE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows with A-Z lower-cased: hash, first byte, end, and the row offsets in them."""
-    inside = letters[data]
-    edges = np.zeros(len(data) + 1, bool)
-    edges[offsets] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
-    starts = np.flatnonzero(inside & (~before | edges[:-1]))
-    after = np.concatenate([inside[1:], [False]]) if len(inside) else inside
-    ends = np.flatnonzero(inside & (~after | edges[1:])) + 1
-    return segment_hashes(data, starts, ends, _LOWER_BYTE), starts, ends, np.searchsorted(starts, offsets)
-
-
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    raw = data.tobytes()
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(raw.translate(letters.astype(np.uint8).tobytes()), np.int8)
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    cuts = offsets[1:-1]  # a word that goes on over the end of a row is two
+    cuts = np.unique(cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)])
+    if len(cuts):
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    lower = np.frombuffer(raw.translate(_TO_LOWER), np.uint8)
+    return segment_hashes(lower, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte runs [start, end), which do not overlap and go up."""
     out = np.empty(len(starts), np.uint64)
     k = 0
@@ -88,20 +89,26 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value
             total = np.uint64(0)
             scale = np.uint64(1)
             for at in range(low, ends[k], BLOCK):
-                part = values[data[at: min(at + BLOCK, ends[k])]] * _UP[: min(BLOCK, ends[k] - at)]
+                part = (data[at: min(at + BLOCK, ends[k])] + np.uint64(1)) * _UP[: min(BLOCK, ends[k] - at)]
                 total = total + part.sum(dtype=np.uint64) * scale
                 scale = scale * _UP[BLOCK]
             out[k] = total
         else:
-            block = values[data[low: ends[k2 - 1]]]
-            block *= _UP[: len(block)]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(block, dtype=np.uint64)])
+            sums = prefix_sums(data[low: ends[k2 - 1]])
             s, e = starts[k:k2] - low, ends[k:k2] - low
             out[k:k2] = (sums[e] - sums[s]) * _DOWN[s]
         k = k2
     return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def prefix_sums(block: np.ndarray) -> np.ndarray:
+    """Sums of byte times power up to each place of a block of at most BLOCK bytes."""
+    sums = np.empty(len(block) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((block + np.uint64(1)) * _UP[: len(block)], out=sums[1:])
+    return sums
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the runs start .. start + length - 1, and the run each belongs to."""
     owner = np.repeat(np.arange(len(starts)), lengths)

@@ -126,8 +126,10 @@ def _counts(docs: DataFrame, text_col: str, block: Block) -> dict[int, np.ndarra
 
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
     counts = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
-    for k, i, n in rows.toLocalIterator():  # one number per shingle of the block
-        counts[k][i] = n
+    got = rows.toArrow()  # one number per shingle of the block
+    for k in keys:
+        own = got.column("k").to_numpy() == k
+        counts[k][got.column("i").to_numpy()[own]] = got.column("n").to_numpy()[own]
     return counts
 
 
