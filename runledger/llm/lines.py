@@ -3,13 +3,15 @@
 A line is the set of its words. Words are ranked by rarity; two lines with a Jaccard of at least
 num/den share one of the rarest `n - ceil(n * num / den) + 1` words of each (its prefix). Lines that
 share a prefix word are compared if their sizes and the places of that word leave room for the
-threshold (length and positional filters), and verified on whole sets. A line goes if an earlier one
-in (doc_id, text hash, line number) is that similar, whether or not that one stays.
-
-Lines with equal sets are one class from the start, so a line that half of all documents share is
-one class. In a list of lines with a common prefix word, first everything is compared with the lines
-of the list's first document (one comparison per line and word); nearly every variant of a popular
-line is settled by that. Only lines still standing are then compared with the rest of the list.
+threshold (length and positional filters) and if parity bitmaps of their words, which differ in at
+most as many bits as the sets in words, do so too. What passes is verified on whole sets. A line goes if an earlier one in
+(doc_id, line number, hash of the set) is that similar, whether or not that one stays.
+
+Lines with equal sets are one class from the start, so a line that half of all documents share is one
+class. A list of lines with a common prefix word is sorted by place and read in a stream, and each line
+gives its earliest `FIRST` candidates of the list, one of which nearly always settles it. Lines that
+stand after that and had more candidates are compared with all of them. Lists of words with more than
+LIST occurrences are dealt out by line; lines standing in their part are then joined with the other parts.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import add_columns, mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import SPACE_WORDS, add_columns, mix64, pieces, prepare, ranges, words
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
-COUNTERS = 1 << 16
+COUNTERS = 1 << 22
+LIST = 8192
+FIRST = 4
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +45,7 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Words of all documents counted in a fixed number of cells."""
+    """Rarity of words: 32 times the logarithm of their count, counted in a fixed number of cells."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -52,9 +56,9 @@ def _token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "n"])
 
     out = np.zeros(COUNTERS, np.int64)
-    for cell, n in docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[cell] = n  # one number per cell
-    return out
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()  # one number per cell
+    return np.minimum(np.round(32 * np.log2(out + 1)), 1023).astype(np.int16)
 
 
 def _ranked(h: np.ndarray, line: np.ndarray, rarity: np.ndarray) -> np.ndarray:
@@ -89,24 +93,33 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc, th, line, s1 and s2 (hash of the set), n (its size), prefix."""
+def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int) -> DataFrame:
+    """Per line: s1, s2 (hash of the set), doc, line, th, n (its size), bm0, bm1 (bitmap), prefix (list keys), hot (words whose lists are dealt out)."""
+    shortest = -(-num // (den - num)) if num < den else 1 << 30  # sets of fewer words are only similar to equal ones
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 number, row, h, at = _sets(data, offsets, rarity)
                 n = np.diff(at)
-                length = n - (num * n + den - 1) // den + 1
-                values, _ = ranges(at[:-1], length)
-                sums = [np.add.reduceat(mix64(h ^ np.uint64(salt)), at[:-1]) if len(n) else np.zeros(0, np.uint64) for salt in (0x1234567, 0x89ABCDEF)]
+                length = np.where(n >= shortest, n - (num * n + den - 1) // den + 1, 0)
+                values, owner = ranges(at[:-1], length)
+                some = len(n) > 0
+                s1, s2 = (np.add.reduceat(mix64(h ^ np.uint64(salt)), at[:-1]) if some else np.zeros(0, np.uint64) for salt in (0x1234567, 0x89ABCDEF))
+                bit = (h >> np.uint64(8)) & np.uint64(127)
+                maps = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), at[:-1]) if some else np.zeros(0, np.uint64) for k in (0, 1)]
+                keys = h[values]
+                parts = np.ceil(2 ** (rarity[(keys & np.uint64(COUNTERS - 1)).view(np.int64)] / 32.0) / limit).astype(np.uint64)
+                dealt = parts > 1
+                keys = np.where(dealt, mix64(keys + np.uint64(0x9E3779B97F4A7C15) * (s1[owner] % parts + np.uint64(1))), keys)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(number, pa.int32()),
-                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n, pa.int32()), _lists(h[values], length)],
-                    names=["doc", "th", "line", "s1", "s2", "n", "prefix"])
+                    [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(number, pa.int32()), part.column(1).take(pa.array(row)),
+                     pa.array(n, pa.int32()), *[pa.array(m.view(np.int64)) for m in maps], _lists(keys, length), _lists(h[values][dealt], np.bincount(owner[dealt], minlength=len(n)))],
+                    names=["s1", "s2", "doc", "line", "th", "n", "bm0", "bm1", "prefix", "hot"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc"], *(T.StructField(n, t) for n, t in (
-        ("th", T.LongType()), ("line", T.IntegerType()), ("s1", T.LongType()), ("s2", T.LongType()), ("n", T.IntegerType()), ("prefix", T.ArrayType(T.LongType()))))]))
+    longs, ints = T.LongType(), T.IntegerType()
+    return docs.mapInArrow(run, T.StructType([T.StructField("s1", longs), T.StructField("s2", longs), docs.schema["doc"], T.StructField("line", ints), T.StructField("th", longs), T.StructField("n", ints),
+                                              T.StructField("bm0", longs), T.StructField("bm1", longs), T.StructField("prefix", T.ArrayType(longs)), T.StructField("hot", T.ArrayType(longs))]))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -128,51 +141,96 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
     return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>").dropDuplicates(["s1"])
 
 
-def _fits(a: str, b: str, num: int, den: int) -> Column:
-    """Length and positional filter of a pair."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    most = 1 + F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) - 1
-    return (num * na <= den * nb) & (num * nb <= den * na) & ((num + den) * most >= num * (na + nb))
-
+def _candidates(key, n, pos, maps, num, den, first):
+    """Within runs of one key: (later, earlier, more) for the earliest `first` partners of each that pass the filters."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    begin = np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
+    earlier = np.arange(len(key)) - begin
+    cuts = np.searchsorted(np.cumsum(earlier), np.arange(0, earlier.sum() + 1, 1 << 21), "left")
+    for low, high in zip(cuts, np.concatenate([cuts[1:], [len(key)]]), strict=True):
+        b, i = ranges(begin[low:high], earlier[low:high])
+        a = i + low
+        total = n[a] + n[b]
+        least = (num * total + num + den - 1) // (num + den)  # words in common
+        ok = (num * n[a] <= den * n[b]) & (num * n[b] <= den * n[a]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+        a, b, apart = a[ok], b[ok], (total - 2 * least)[ok]
+        ok = np.bitwise_count(maps[0][a] ^ maps[0][b]).astype(np.int64) + np.bitwise_count(maps[1][a] ^ maps[1][b]) <= apart
+        a, b = a[ok], b[ok]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        count = np.searchsorted(a, a, "right") - np.searchsorted(a, a)
+        yield a[rank < first], b[rank < first], (count > first)[rank < first]
+
+
+def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
+    """Candidate pairs (a later than b, more) of lists, which come sorted by key and place."""
 
-def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    def run(batches):
+        held = None
+        for batch in _with_end(batches):  # the last list of a batch may go on in the next
+            if batch is not None:
+                held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                other = np.flatnonzero(held.column(0).to_numpy() != held.column(0)[-1].as_py())
+                done = int(other[-1]) + 1 if len(other) else 0
+            else:
+                done = held.num_rows if held is not None else 0
+            if not done:
+                continue
+            part, held = held.slice(0, done), held.slice(done)
+            cols = [part.column(part.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "pos", "s1")]
+            maps = [part.column(part.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
+            for a, b, more in _candidates(cols[0], cols[1].astype(np.int64), cols[2].astype(np.int64), maps, num, den, first):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b]), pa.array(more)], names=["a", "b", "more"])
+
+    return postings.mapInArrow(run, "a long, b long, more boolean")
+
+
+def _with_end(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
+
+
+def _fits(num: int, den: int) -> Column:
+    """The filters of a pair (a_, b_) of lines of one list."""
+    na, nb = F.col("a_n"), F.col("b_n")
+    least = F.ceil(num * (na + nb) / (num + den))
+    apart = F.bit_count(F.col("a_bm0").bitwiseXOR(F.col("b_bm0"))) + F.bit_count(F.col("a_bm1").bitwiseXOR(F.col("b_bm1")))
+    return (num * na <= den * nb) & (num * nb <= den * na) & (apart <= na + nb - 2 * least)
+
+
+def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int = LIST, first: int = FIRST) -> DataFrame:
     """From rows (doc, th, text): the lines that stay, as rows doc, th, line. Lines without words are not listed."""
     rarity = _token_counts(docs, "text")
-    rarity = np.minimum(np.round(32 * np.log2(rarity + 1)), 1023).astype(np.int64)
-    lines = cut_to_table(_lines(docs, rarity, num, den))
-    order = F.struct("doc", "th", "line")
-    classes = cut_to_table(lines.groupBy("s1", "s2").agg(F.min(order).alias("first")).select("s1", "s2", F.col("first.*")))
-
-    postings = lines.select("s1", "doc", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = (postings.groupBy("token").agg(F.min("doc").alias("rep"), F.min("s1").alias("low"), F.max("s1").alias("high"))
-              .where("low <> high").select("token", "rep"))
-    # One row per class and shared prefix word, with the first document of the word.
-    near = cut_to_table(postings.join(shared, "token").groupBy("token", "s1").agg(
-        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("rep").alias("rep")))
-    reps = near.where(F.col("doc").eqNullSafe(F.col("rep"))).select("token", *[F.col(c).alias(f"b_{c}") for c in ("s1", "n", "pos")])
-    stars = cut_to_table(near.join(reps, "token").where(F.col("s1") != F.col("b_s1")).where(_fits("", "b_", num, den))
-                         .select(F.least("s1", "b_s1").alias("a"), F.greatest("s1", "b_s1").alias("b")).distinct())
-
-    starts = classes.select("s1", order.alias("at"))
+    found = _lines(docs, rarity, num, den, limit)
+    rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
+    classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
+    postings = classes.select("s1", "doc", "line", "n", "bm0", "bm1", F.posexplode("prefix").alias("pos", "key"))
+    lists = postings.repartition("key").sortWithinPartitions("key", "doc", "line", "s1").select("key", "n", "pos", "s1", "bm0", "bm1")
+    pairs = cut_to_table(_probe(lists, num, den, first).groupBy("a", "b").agg(F.max("more").alias("more")))
+    place = F.struct("doc", "line", "s1")
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """Classes of the pairs that have an earlier similar class."""
+        """The later classes of the similar pairs."""
         members = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-        wanted = classes.join(members, "s1", "left_semi").dropDuplicates(["s1"])
-        sets = cut_to_table(_sets_of(docs, wanted, rarity).join(starts, "s1"))
-        left, right = (sets.select(F.col("s1").alias(k), F.col("tokens").alias(f"{k}_tokens"), F.col("at").alias(f"{k}_at")) for k in "ab")
+        sets = cut_to_table(_sets_of(docs, classes.join(members, "s1", "left_semi").select("doc", "th", "line", "s1"), rarity))
+        left, right = (sets.select(F.col("s1").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in "ab")
         both = F.size(F.array_intersect("a_tokens", "b_tokens"))
         similar = den * both >= num * (F.size("a_tokens") + F.size("b_tokens") - both)
-        return (pairs.join(left, "a").join(right, "b").where(similar)
-                .select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("s1")).distinct())
-
-    gone = cut_to_table(matched(stars))
-    standing = near.join(gone, "s1", "left_anti").join(starts, "s1").select(*[F.col(c).alias(f"a_{c}") for c in ("s1", "n", "pos", "at")], "token")
-    rest = near.join(starts, "s1").select(*[F.col(c).alias(f"b_{c}") for c in ("s1", "n", "pos", "at")], "token")
-    pairs = (standing.join(rest, "token").where((F.col("b_at") < F.col("a_at")) & _fits("a_", "b_", num, den))
-             .select(F.least("a_s1", "b_s1").alias("a"), F.greatest("a_s1", "b_s1").alias("b")).distinct())
-    pairs = cut_to_table(pairs.join(stars, ["a", "b"], "left_anti"))
-    gone = gone.union(matched(pairs))
+        return cut_to_table(pairs.join(left, "a").join(right, "b").where(similar).select(F.col("a").alias("s1")).distinct())
+
+    def side(rows: DataFrame, k: str, key: str) -> DataFrame:
+        return rows.select(F.explode(key).alias("key"), *[F.col(c).alias(f"{k}_{c}") for c in ("s1", "n", "bm0", "bm1")], place.alias(f"{k}_at"))
+
+    gone = matched(pairs)
+    for key, standing in (("prefix", pairs.where("more").select(F.col("a").alias("s1")).distinct()), ("hot", classes.where(F.size("hot") > 0).select("s1"))):
+        standing = classes.join(standing, "s1", "left_semi").join(gone, "s1", "left_anti")
+        further = (side(standing, "a", key).join(side(classes, "b", key), "key").where((F.col("b_at") < F.col("a_at")) & _fits(num, den))
+                   .select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b")).distinct())
+        further = cut_to_table(further.join(pairs, ["a", "b"], "left_anti"))
+        if further.head(1):
+            gone = gone.union(matched(further))
     return classes.join(gone, "s1", "left_anti").select("doc", "th", "line")
 
 
@@ -195,10 +253,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ends = np.concatenate([starts[1:] - 1, offsets[-1:]])
         last = np.flatnonzero(np.concatenate([rows[1:] != rows[:-1], [True]])) if len(rows) else []
         ends[last] = offsets[rows[last] + 1] if len(rows) else []
-        at = words(data, offsets)[1]
-        worded = np.zeros(len(starts), bool)
-        worded[np.searchsorted(starts, at, "right") - 1] = True
-        raw, null = data.tobytes(), part.column(part.schema.get_field_index(text_col)).is_null().to_pylist()
+        raw = data.tobytes()
+        signs = np.concatenate([[0], np.cumsum(np.frombuffer(raw.translate(SPACE_WORDS.astype(np.uint8).tobytes()), np.uint8), dtype=np.int64)])
+        worded = signs[ends] > signs[starts]
+        null = part.column(part.schema.get_field_index(text_col)).is_null().to_pylist()
         texts, n_lines, n_removed, digests = [], [], [], []
         bounds = np.searchsorted(rows, np.arange(len(offsets)))
         for r, kept in enumerate(part.column(part.schema.get_field_index("k_lines")).to_pylist()):
