@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, lines, mixing, near
+from runledger.llm import chat, decontaminate, lines, mixing, near, repeats
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,25 @@ FROM x LEFT JOIN c ON list_sort(x.s) = c.s LEFT JOIN g ON c.id = g.id
 @query("op7_near_duplicates", NEAR_SQL)
 def op7(spark, sf_dir):
     return near.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, n - 199)) AS s FROM d WHERE n >= 200)),
+m AS (SELECT r, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT r, s, sum(CASE WHEN p IS NULL OR s > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g
+      FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS p FROM m)),
+g AS (SELECT r, g, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY r, g),
+h AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM g GROUP BY r),
+k AS (SELECT g.r, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS x
+      FROM (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM g) AS g JOIN d ON d.r = g.r GROUP BY g.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN h.r IS NULL THEN d.x ELSE k.x || substr(d.x, 2 * h.last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN k ON k.r = d.r
+"""
+
+
+@query("op1_remove_repeats", REPEATS_SQL)
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
