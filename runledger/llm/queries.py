@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, lines, mixing, near, repeats
+from runledger.llm import chat, decontaminate, fingerprints, lines, mixing, near, repeats
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,8 @@ FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN k ON k.r = d.r
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op8_fingerprint_documents")
+def op8(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
