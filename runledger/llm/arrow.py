@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger.session import configure
@@ -142,5 +143,6 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], build:
     return df.mapInArrow(run, schema)
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def broadcast_if_small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """`df`, a stored table, to be sent to every task if it has at most `rows` rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import SPACE_WORDS, add_columns, mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import SPACE_WORDS, add_columns, broadcast_if_small, mix64, pieces, prepare, ranges, words
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
 COUNTERS = 1 << 22
 LIST = 8192
-FIRST = 4
+FIRST = 2
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int)
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
     """Word sets of the wanted lines (doc, th, line, s1)."""
-    per_doc = wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "s1")).alias("lines"))
+    per_doc = broadcast_if_small(cut_to_table(wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "s1")).alias("lines"))))
     joined = docs.join(per_doc, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th")))
 
     def run(batches):
@@ -138,7 +138,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
                 values, _ = ranges(at[pick], length)
                 yield pa.RecordBatch.from_arrays([pa.array([want[int(row[i]), int(number[i])] for i in pick], pa.int64()), _lists(h[values], length)], names=["s1", "tokens"])
 
-    return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>").dropDuplicates(["s1"])
+    return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>")
 
 
 def _candidates(key, n, pos, maps, num, den, first):
@@ -176,13 +176,15 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
             if not done:
                 continue
             part, held = held.slice(0, done), held.slice(done)
-            cols = [part.column(part.schema.get_field_index(c)).to_numpy() for c in ("key", "n", "pos", "s1")]
-            maps = [part.column(part.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
-            for a, b, more in _candidates(cols[0], cols[1].astype(np.int64), cols[2].astype(np.int64), maps, num, den, first):
+            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
+            maps = [column(c).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
+            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), maps, num, den, first):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[3][a]), pa.array(cols[3][b]), pa.array(more)], names=["a", "b", "more"])
+                    a, b = pa.array(a), pa.array(b)
+                    yield pa.RecordBatch.from_arrays([column("doc").take(a), column("line").take(a), column("doc").take(b), column("line").take(b), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
 
-    return postings.mapInArrow(run, "a long, b long, more boolean")
+    doc, line = postings.schema["doc"].dataType, postings.schema["line"].dataType
+    return postings.mapInArrow(run, T.StructType([T.StructField("a_doc", doc), T.StructField("a_line", line), T.StructField("b_doc", doc), T.StructField("b_line", line), T.StructField("more", T.BooleanType())]))
 
 
 def _with_end(batches):
@@ -206,9 +208,13 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     found = _lines(docs, rarity, num, den, limit)
     rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
-    postings = classes.select("s1", "doc", "line", "n", "bm0", "bm1", F.posexplode("prefix").alias("pos", "key"))
-    lists = postings.repartition("key").sortWithinPartitions("key", "doc", "line", "s1").select("key", "n", "pos", "s1", "bm0", "bm1")
-    pairs = cut_to_table(_probe(lists, num, den, first).groupBy("a", "b").agg(F.max("more").alias("more")))
+    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.posexplode("prefix").alias("pos", "key"))
+    lists = postings.repartition("key").sortWithinPartitions("key", "doc", "line").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
+    places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
+    places = broadcast_if_small(cut_to_table(places))
+    named = lambda k: classes.select(F.col("s1").alias(k), F.col("doc").alias(f"{k}_d"), F.col("line").alias(f"{k}_l"))
+    same = lambda k: F.col(f"{k}_doc").eqNullSafe(F.col(f"{k}_d")) & (F.col(f"{k}_line") == F.col(f"{k}_l"))
+    pairs = cut_to_table(broadcast_if_small(cut_to_table(places.join(named("a"), same("a")))).join(named("b"), same("b")).where("a <> b").select("a", "b", "more"))
     place = F.struct("doc", "line", "s1")
 
     def matched(pairs: DataFrame) -> DataFrame:
@@ -224,13 +230,15 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
         return rows.select(F.explode(key).alias("key"), *[F.col(c).alias(f"{k}_{c}") for c in ("s1", "n", "bm0", "bm1")], place.alias(f"{k}_at"))
 
     gone = matched(pairs)
+    further = None
     for key, standing in (("prefix", pairs.where("more").select(F.col("a").alias("s1")).distinct()), ("hot", classes.where(F.size("hot") > 0).select("s1"))):
         standing = classes.join(standing, "s1", "left_semi").join(gone, "s1", "left_anti")
-        further = (side(standing, "a", key).join(side(classes, "b", key), "key").where((F.col("b_at") < F.col("a_at")) & _fits(num, den))
-                   .select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b")).distinct())
-        further = cut_to_table(further.join(pairs, ["a", "b"], "left_anti"))
-        if further.head(1):
-            gone = gone.union(matched(further))
+        left = broadcast_if_small(cut_to_table(side(standing, "a", key)))
+        found = left.join(side(classes, "b", key), "key").where((F.col("b_at") < F.col("a_at")) & _fits(num, den)).select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b"))
+        further = found if further is None else further.union(found)
+    further = cut_to_table(further.distinct().join(pairs, ["a", "b"], "left_anti"))
+    if further.head(1):
+        gone = gone.union(matched(further))
     return classes.join(gone, "s1", "left_anti").select("doc", "th", "line")
 
 
