@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import broadcast_if_small, mix64, pieces, prepare, ranges, words
 from runledger.llm.components import components
 from runledger.session import cut_to_table
 
@@ -114,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sets of the wanted classes, from the text of one document each (cls, doc, th)."""
-    wanted = wanted.select("cls", F.col("doc").alias("w_doc"), F.col("th").alias("w_th"))
+    wanted = broadcast_if_small(cut_to_table(wanted.select("cls", F.col("doc").alias("w_doc"), F.col("th").alias("w_th"))))
     joined = docs.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("cls", "text")
 
     def run(batches):
@@ -123,7 +123,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets, at = shingle_sets(data, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), _as_lists(sets, at)], names=["cls", "tokens"])
 
-    return joined.mapInArrow(run, "cls long, tokens array<bigint>").dropDuplicates(["cls"])
+    return joined.mapInArrow(run, "cls long, tokens array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     full = sigs.where("n > 0")
     classes = cut_to_table(full.groupBy("cls", "cls2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("m")).select("cls", "m.doc", "m.th"))
     chosen = full.join(classes.select(F.col("cls").alias("c"), F.col("doc").alias("d"), F.col("th").alias("t")),
-                       (F.col("cls") == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["cls"])
+                       (F.col("cls") == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     postings = cut_to_table(chosen.select("cls", "n", "bits0", "bits1", F.explode("keys").alias("key")))
     lists = (postings.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.xxhash64("cls")).alias("mixed"), F.count("*").alias("many"))
              .where("low <> high"))

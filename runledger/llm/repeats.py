@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import _DOWN, BLOCK, add_columns, mix64, pieces, prefix_sums, prepare, ranges, text_buffer
+from runledger.llm.arrow import _DOWN, BLOCK, add_columns, broadcast_if_small, mix64, pieces, prefix_sums, prepare, ranges, text_buffer
 from runledger.llm.suffixes import repeated
 from runledger.session import cut_to_table
 
@@ -95,7 +95,8 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _snippets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted snippets, and what else is known of them."""
     per_doc = wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("bucket", "anchor", "dealt", "first", "n")).alias("lists"))
-    joined = docs.join(per_doc, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).dropDuplicates(["doc", "th"])
+    per_doc = broadcast_if_small(cut_to_table(per_doc), 50_000)
+    joined = docs.join(per_doc, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th")))
 
     def run(batches):
         for batch in batches:
