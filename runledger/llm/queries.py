@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, fingerprints, lines, mixing, near, quality, repeats, toxicity
+from runledger.llm import chat, decontaminate, fingerprints, lines, mixing, near, quality, repeats, toxicity, warc
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,24 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS largest FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(x, k * 5 + 1, 5))::BIGINT) AS parts FROM h)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM b
+"""
+
+
+@query("op3_warc_archives", WARC_SQL)
+def op3(spark, sf_dir):
+    archives = warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")))
+    number = lambda c: F.expr(f"try_cast({c} as bigint)")
+    return warc.read_records(archives).select(number("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+                                              F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
