@@ -87,13 +87,12 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         low = starts[k]
         k2 = max(k + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
         if ends[k2 - 1] - low > BLOCK:  # one run longer than a block
-            total = np.uint64(0)
-            scale = np.uint64(1)
+            total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
             for at in range(low, ends[k], BLOCK):
                 part = (data[at: min(at + BLOCK, ends[k])] + np.uint64(1)) * _UP[: min(BLOCK, ends[k] - at)]
-                total = total + part.sum(dtype=np.uint64) * scale
-                scale = scale * _UP[BLOCK]
-            out[k] = total
+                total += part.sum(dtype=np.uint64) * scale
+                scale *= _UP[BLOCK]
+            out[k] = total[0]
         else:
             sums = prefix_sums(data[low: ends[k2 - 1]])
             s, e = starts[k:k2] - low, ends[k:k2] - low

@@ -253,8 +253,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     stay = duplicate_lines(narrow, num, den).groupBy(F.col("doc").alias("k_doc"), F.col("th").alias("k_th")).agg(F.collect_list("line").alias("k_lines"))
-    marked = docs.withColumn("k_hash", F.xxhash64(text_col))
-    joined = marked.join(stay, marked[id_col].eqNullSafe(F.col("k_doc")) & (F.col("k_hash") == F.col("k_th")), "left").drop("k_doc", "k_th", "k_hash")
+    results = ("n_lines", "n_removed", "kept_sha256")
+    others = [c for c in docs.columns if c != text_col and c not in results]
+    marked = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    joined = marked.join(stay, F.col("id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")), "left").select("row", "text", "k_lines")
 
     def cut(data, offsets, part):
         starts, rows, numbers = split_lines(data, offsets)
@@ -264,7 +266,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raw = data.tobytes()
         signs = np.concatenate([[0], np.cumsum(np.frombuffer(raw.translate(SPACE_WORDS.astype(np.uint8).tobytes()), np.uint8), dtype=np.int64)])
         worded = signs[ends] > signs[starts]
-        null = part.column(part.schema.get_field_index(text_col)).is_null().to_pylist()
+        null = part.column(part.schema.get_field_index("text")).is_null().to_pylist()
         texts, n_lines, n_removed, digests = [], [], [], []
         bounds = np.searchsorted(rows, np.arange(len(offsets)))
         for r, kept in enumerate(part.column(part.schema.get_field_index("k_lines")).to_pylist()):
@@ -278,5 +280,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             digests.append(hashlib.sha256(text).hexdigest())
         return [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
 
-    out = add_columns(joined, text_col, {"_text": T.StringType(), "n_lines": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}, cut, drop=("k_lines",))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_sha256")], "n_lines", "n_removed", "kept_sha256")
+    out = add_columns(joined, "text", {"kept": T.StringType(), "n_lines": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}, cut, drop=("k_lines",))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in results], *results)

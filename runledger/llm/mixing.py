@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.arrow import broadcast_if_small, prepare
 from runledger.session import cut_to_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +75,7 @@ def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     part (words left for the documents with just this key, nearly always one) and tied (their words).
     """
     goal = targets.select(F.col("source").alias("src"), "source_size", "target",
-                          F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("epochs"))
+                          F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).alias("epochs"))
     goal = goal.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
     per_source = sized.groupBy("source").agg(F.count("*").alias("rows"), F.avg("weight").alias("mean_weight"))
     goal = goal.join(per_source, F.col("src").eqNullSafe(F.col("source"))).drop("source")
@@ -104,23 +105,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     get equal shares. An empty table gives no rows. Other columns pass through; those named like a
     result column are replaced.
     """
+    prepare(docs.sparkSession)
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
                         quality_weight(F.col(text_col)).alias("weight"))
     sized = sized.withColumn("key", sample_key(F.col("id"), F.col("weight"), seed))
     narrow = keep is not None and set(keep) <= {id_col, source_col}
     sized = cut_to_table(sized)
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    ends = cuts(sized, cut_to_table(targets))
+    ends = broadcast_if_small(cut_to_table(cuts(sized, cut_to_table(targets))))  # one row per source
+    results = ("size", "source_size", "target", "taken")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in results]
     if narrow:
-        rows = sized.select(F.col("source").alias("mix_source"), F.col("key").alias("mix_key"), "size",
-                            *[F.col("id" if c == id_col else "source").alias(c) for c in keep])
+        rows = sized.select(F.struct(*[F.col("id" if c == id_col else "source").alias(c) for c in kept]).alias("row"), "source", "key", "size")
     else:
-        kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "taken")]
-        rows = docs.select(*[docs[c] for c in kept], docs[source_col].alias("mix_source"), word_count(docs[text_col]).alias("size"),
-                           sample_key(docs[id_col], quality_weight(docs[text_col]), seed).alias("mix_key"))
-    rows = rows.join(ends, F.col("mix_source").eqNullSafe(F.col("src")), "left")
+        rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), sample_key(F.col(id_col), quality_weight(F.col(text_col)), seed).alias("key"), word_count(F.col(text_col)).alias("size"))
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("src")), "left")
     exact = F.col("part").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)") / F.col("tied").cast("decimal(19,0)")
-    extra = (F.when(F.col("cut").isNull(), 0).when(F.col("mix_key") < F.col("cut"), F.col("size"))
-             .when(F.col("mix_key") == F.col("cut"), F.floor(exact).cast("long")).otherwise(0))
-    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long")).drop(
-        "mix_source", "mix_key", "src", "epochs", "cut", "part", "tied")
+    extra = (F.when(F.col("cut").isNull(), 0).when(F.col("key") < F.col("cut"), F.col("size"))
+             .when(F.col("key") == F.col("cut"), F.floor(exact).cast("long")).otherwise(0))
+    taken = (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken")
+    return rows.select("row.*", "size", "source_size", "target", taken)

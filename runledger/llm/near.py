@@ -236,8 +236,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prepare(docs.sparkSession)
     rows = cut_to_table(near_duplicates(_keyed(docs, id_col, text_col), num, den))
     kept = rows.where((F.col("n") == 0) | F.col("doc").eqNullSafe(F.col("first"))).select(F.col("doc").alias("k_doc"), F.col("th").alias("k_th"), "n")
-    out = docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("k_doc")) & (F.xxhash64(docs[text_col]) == F.col("k_th")))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    out = packed.join(kept.distinct(), F.col("id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")))
     if kept.where("n > 0").groupBy("k_doc").count().where("count > 1").head(1):  # rows that share the id of a kept one
-        whole = out.where("n = 0").select(*docs.columns)
-        return out.where("n > 0").dropDuplicates([id_col]).select(*docs.columns).union(whole)
-    return out.select(*docs.columns)
+        out = out.where("n > 0").dropDuplicates(["id"]).union(out.where("n = 0"))
+    return out.select("row.*")

@@ -178,8 +178,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     runs = repeated_windows(docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")), length, **options)
     per_doc = runs.groupBy(F.col("doc").alias("r_doc"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("first", "n")).alias("r_runs"))
-    marked = docs.withColumn("r_hash", F.xxhash64(text_col))
-    joined = marked.join(per_doc, marked[id_col].eqNullSafe(F.col("r_doc")) & (F.col("r_hash") == F.col("r_th")), "left").drop("r_doc", "r_th", "r_hash")
+    results = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    others = [c for c in docs.columns if c != text_col and c not in results]
+    marked = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    joined = marked.join(per_doc, F.col("id").eqNullSafe(F.col("r_doc")) & (F.col("th") == F.col("r_th")), "left").select("row", "text", "r_runs")
 
     def cut(data, offsets, part):
         lists = part.column(part.schema.get_field_index("r_runs"))
@@ -203,4 +205,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())]
 
-    return add_columns(joined, text_col, {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType()}, cut, drop=("r_runs",))
+    out = add_columns(joined, "text", {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType()}, cut, drop=("r_runs",))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in results], *results)

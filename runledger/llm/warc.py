@@ -83,7 +83,7 @@ def zip_bytes(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
 def find_directory(tail: bytes, size: int) -> tuple[str, int, int]:
     """From the last bytes of a file: ("directory" or "end64", offset, length) of what to read next."""
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):  # the mark may stand in the note
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
