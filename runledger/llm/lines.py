@@ -31,6 +31,7 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 22
 LIST = 8192
 FIRST = 2
+ONCE = 32  # rarity of a word that occurs once
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int) -> DataFrame:
-    """Per line: s1, s2 (hash of the set), doc, line, th, n (its size), bm0, bm1 (bitmap), prefix (list keys), hot (words whose lists are dealt out)."""
+    """Per line: s1, s2 (hash of the set), doc, line, th, n (its size), bm0, bm1 (bitmap), prefix (list keys), places (in the line's order), hot (words whose lists are dealt out)."""
     shortest = -(-num // (den - num)) if num < den else 1 << 30  # sets of fewer words are only similar to equal ones
 
     def run(batches):
@@ -104,6 +105,10 @@ def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int)
                 n = np.diff(at)
                 length = np.where(n >= shortest, n - (num * n + den - 1) // den + 1, 0)
                 values, owner = ranges(at[:-1], length)
+                place = values - at[:-1][owner]
+                shared = rarity[(h[values] & np.uint64(COUNTERS - 1)).view(np.int64)] > ONCE  # a word of one line has no partner
+                values, owner, place = values[shared], owner[shared], place[shared]
+                length = np.bincount(owner, minlength=len(n))
                 some = len(n) > 0
                 s1, s2 = (np.add.reduceat(mix64(h ^ np.uint64(salt)), at[:-1]) if some else np.zeros(0, np.uint64) for salt in (0x1234567, 0x89ABCDEF))
                 bit = (h >> np.uint64(8)) & np.uint64(127)
@@ -114,12 +119,12 @@ def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int)
                 keys = np.where(dealt, mix64(keys + np.uint64(0x9E3779B97F4A7C15) * (s1[owner] % parts + np.uint64(1))), keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(number, pa.int32()), part.column(1).take(pa.array(row)),
-                     pa.array(n, pa.int32()), *[pa.array(m.view(np.int64)) for m in maps], _lists(keys, length), _lists(h[values][dealt], np.bincount(owner[dealt], minlength=len(n)))],
-                    names=["s1", "s2", "doc", "line", "th", "n", "bm0", "bm1", "prefix", "hot"])
+                     pa.array(n, pa.int32()), *[pa.array(m.view(np.int64)) for m in maps], _lists(keys, length), _lists(place, length), _lists(h[values][dealt], np.bincount(owner[dealt], minlength=len(n)))],
+                    names=["s1", "s2", "doc", "line", "th", "n", "bm0", "bm1", "prefix", "places", "hot"])
 
     longs, ints = T.LongType(), T.IntegerType()
     return docs.mapInArrow(run, T.StructType([T.StructField("s1", longs), T.StructField("s2", longs), docs.schema["doc"], T.StructField("line", ints), T.StructField("th", longs), T.StructField("n", ints),
-                                              T.StructField("bm0", longs), T.StructField("bm1", longs), T.StructField("prefix", T.ArrayType(longs)), T.StructField("hot", T.ArrayType(longs))]))
+                                              T.StructField("bm0", longs), T.StructField("bm1", longs), T.StructField("prefix", T.ArrayType(longs)), T.StructField("places", T.ArrayType(longs)), T.StructField("hot", T.ArrayType(longs))]))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -208,7 +213,8 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     found = _lines(docs, rarity, num, den, limit)
     rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
-    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.posexplode("prefix").alias("pos", "key"))
+    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
+    postings = postings.select("doc", "line", "n", "bm0", "bm1", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
     lists = postings.repartition("key").sortWithinPartitions("key", "doc", "line").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
     places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
     places = broadcast_if_small(cut_to_table(places))
@@ -219,12 +225,12 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
 
     def matched(pairs: DataFrame) -> DataFrame:
         """The later classes of the similar pairs."""
-        members = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+        members = broadcast_if_small(cut_to_table(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()))
         sets = cut_to_table(_sets_of(docs, classes.join(members, "s1", "left_semi").select("doc", "th", "line", "s1"), rarity))
         left, right = (sets.select(F.col("s1").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in "ab")
         both = F.size(F.array_intersect("a_tokens", "b_tokens"))
         similar = den * both >= num * (F.size("a_tokens") + F.size("b_tokens") - both)
-        return cut_to_table(pairs.join(left, "a").join(right, "b").where(similar).select(F.col("a").alias("s1")).distinct())
+        return broadcast_if_small(cut_to_table(pairs.join(left, "a").join(right, "b").where(similar).select(F.col("a").alias("s1")).distinct()))
 
     def side(rows: DataFrame, k: str, key: str) -> DataFrame:
         return rows.select(F.explode(key).alias("key"), *[F.col(c).alias(f"{k}_{c}") for c in ("s1", "n", "bm0", "bm1")], place.alias(f"{k}_at"))
@@ -238,7 +244,7 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
         further = found if further is None else further.union(found)
     further = cut_to_table(further.distinct().join(pairs, ["a", "b"], "left_anti"))
     if further.head(1):
-        gone = gone.union(matched(further))
+        gone = broadcast_if_small(cut_to_table(gone.union(matched(further))))
     return classes.join(gone, "s1", "left_anti").select("doc", "th", "line")
 
 
