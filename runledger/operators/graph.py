@@ -78,21 +78,22 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataF
     logarithm of the longest chain. A chain that runs into a cycle stops before it repeats.
     """
     jump = cut_lineage(_causal_parent(edges))
-    total = jump.count()
     chain = cut_lineage(
         starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi")
         .select(F.col("node_id").alias("start_id"), "node_id", F.lit(0).cast("bigint").alias("up")))
     reach = 1
-    while reach <= 2 * total:
-        further = cut_lineage(chain.join(jump, chain["node_id"] == jump["id"]).select(
-            "start_id", F.col("parent").alias("node_id"), (F.col("up") + reach).alias("up")))
+    while True:
+        # A node that the chain holds already lies on a cycle, and so does all above it.
+        further = chain.join(jump, chain["node_id"] == jump["id"]).select(
+            "start_id", F.col("parent").alias("node_id"), (F.col("up") + reach).alias("up"))
+        further = cut_lineage(further.groupBy("start_id", "node_id").agg(F.min("up").alias("up")).join(
+            chain.select("start_id", "node_id"), ["start_id", "node_id"], "left_anti"))
         if further.isEmpty():
             break
         chain = chain.unionByName(further)
         second = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next_parent"))
         jump = cut_lineage(jump.join(second, "parent").select("id", F.col("next_parent").alias("parent")))
         reach *= 2
-    chain = chain.groupBy("start_id", "node_id").agg(F.min("up").alias("up"))
     longest = chain.groupBy("start_id").agg(F.max("up").alias("top"))
     return chain.join(longest, "start_id").select("start_id", (F.col("top") - F.col("up")).alias("position"), "node_id")
 
@@ -129,7 +130,8 @@ def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFr
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest causal chain of each run, rows (run_id, position, node_id).
 
-    Ties: the end with the smallest time, then the smallest id.
+    Ties: the end with the smallest time, then the smallest id. Events on cycles, or below one, end no path
+    unless a run has no others.
     """
     events = nodes.where(F.col("node_type") == "event").select("node_id", "run_id", "timestamp")
     pairs = edges.where(F.col("edge_type") == "causal").select("edge_type", "edge_id", "source", "target")
@@ -141,15 +143,16 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # Only nodes that are parents take part in the rounds; a leaf is one hop below its parent.
     parents = inside.select(F.col("source").alias("id")).distinct()
     links = _causal_parent(inside)
-    hops = ancestor_hops(links.join(parents, "id", "left_semi"), []).withColumnRenamed("id", "parent")
+    hops = ancestor_hops(links.join(parents, "id", "left_semi"), []).select(F.col("id").alias("parent"), "hops", F.lit(True).alias("known"))
+    # A parent without a row is a root; one with a null lies on a cycle or above none, and has no depth.
     depth = (
         links.join(hops, "parent", "left")
-        .select(F.col("id").alias("node_id"), (F.coalesce("hops", F.lit(0)) + 1).alias("depth"))
+        .select(F.col("id").alias("node_id"), F.when(F.col("known").isNull(), 1).otherwise(F.col("hops") + 1).alias("depth"), F.lit(True).alias("linked"))
     )
     ends = (
         events.join(depth, "node_id", "left")
         .groupBy("run_id")
-        .agg(F.min_by("node_id", F.struct(-F.coalesce("depth", F.lit(0)), F.col("timestamp"), F.col("node_id"))).alias("node_id"))
+        .agg(F.min_by("node_id", F.struct(F.col("linked").isNotNull() & F.col("depth").isNull(), -F.coalesce("depth", F.lit(0)), F.col("timestamp"), F.col("node_id"))).alias("node_id"))
     )
     ends = cut_lineage(ends)
     chain = causal_chain(nodes, inside, ends)

@@ -353,7 +353,7 @@ def tool_input(attributes: Column) -> Column:
     given = present_field(attributes, "gen_ai.tool.input", "tool.input")
     prefix = "gen_ai.tool."
     rest = F.map_filter(attributes, lambda k, _: k.startswith(prefix) & ~k.isin(prefix + "name", prefix + "id", prefix + "output"))
-    named = F.transform_keys(rest, lambda k, _: F.substring(k, len(prefix) + 1, 1_000_000))
+    named = F.transform_keys(rest, lambda k, _: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
     return F.when(F.schema_of_variant(given).startswith("OBJECT"), given).otherwise(
         F.coalesce(F.parse_json(F.to_json(named)), F.parse_json(F.lit("{}"))))
 
@@ -530,8 +530,10 @@ def _results(routed: DataFrame, vendors: list[Vendor], otel: bool = False, canon
         payloads[CANONICAL] = w["payload"]
         metas[CANONICAL] = F.coalesce(w["rawMeta"], _json({"normalizedBy": F.lit(CANONICAL), "receivedAt": iso_millis("received_at")}))
         tags[CANONICAL] = w["tags"]
-    no_adapter = F.concat(F.lit('No adapter found for vendor "'), "vendor", F.lit('"'))
-    rows = rows.withColumn("reason", _cases(adapter, reasons, no_adapter))
+    no_adapter = F.concat(F.lit('No adapter found for vendor "'), F.coalesce("vendor", F.lit("")), F.lit('"'))
+    typed = F.when(adapter == CANONICAL, w["type"]).otherwise(F.col("mapped")) if canonical else F.col("mapped")
+    untyped = F.when(typed.isNull(), F.lit("No event type found"))  # an event without a type is never a success
+    rows = rows.withColumn("reason", F.coalesce(_cases(adapter, reasons, no_adapter), untyped))
     good = F.col("reason").isNull()
 
     def of(canonical_value: str | None, value: Column) -> Column:

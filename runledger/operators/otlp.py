@@ -13,6 +13,11 @@ NANOS_PER_MILLI = 1_000_000
 VALUE_DEPTH = 3
 
 
+def _whole_number(text: Column) -> Column:
+    """The whole number a text starts with, else null."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint")
+
+
 def _any_value(value: Column, depth: int) -> Column:
     """The value of an OTLP AnyValue as VARIANT."""
     if depth == 0:
@@ -26,7 +31,7 @@ def _any_value(value: Column, depth: int) -> Column:
             F.when(value["kvlistValue"].isNotNull(), F.parse_json(F.to_json(_pairs_to_map(pairs, depth - 1)))),
         ]
     return F.coalesce(
-        value["stringValue"].cast("variant"), value["intValue"].cast("bigint").cast("variant"),
+        value["stringValue"].cast("variant"), _whole_number(value["intValue"]).cast("variant"),
         value["doubleValue"].cast("variant"), value["boolValue"].cast("variant"),
         value["bytesValue"].cast("variant"), *nested)
 

@@ -82,7 +82,10 @@ def _walk(value, path: str, above: list[str], out: list[dict]) -> None:
 
 def _nodes_of(text: str | None) -> list[dict]:
     found: list[dict] = []
-    value = None if text is None else json.loads(text)
+    try:
+        value = None if text is None else json.loads(text)
+    except ValueError:  # a payload that is not JSON is one string value
+        return [{"path": "", "is_key": False, "kind": "string", "text": text, "above": []}]
     if isinstance(value, (dict, list)):
         _walk(value, "", [], found)
     return found
@@ -187,8 +190,12 @@ def _redactor(rules: list[dict]):
         rows = []
         for text in payload:
             log: list[dict] = []
-            new = None if text is None else json.dumps(
-                rebuild(json.loads(text), "", log), separators=(",", ":"), ensure_ascii=False)
+            try:
+                value = None if text is None else json.loads(text)
+            except ValueError:  # not JSON: value rules apply to the whole text
+                rows.append((member(text, "", False, log)[0], log))
+                continue
+            new = None if text is None else json.dumps(rebuild(value, "", log), separators=(",", ":"), ensure_ascii=False)
             rows.append((new, log))
         return pd.DataFrame(rows, columns=["payload", "redacted_fields"])
 

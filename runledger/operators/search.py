@@ -50,29 +50,41 @@ def search_match(index: DataFrame, all_of: list[str] | None = None, any_of: list
                  none_of: list[str] | None = None, phrases: list[list[str]] | None = None) -> DataFrame:
     """Ids of events with all of these words, any of these, none of these, and all phrases.
 
+    Stop words are not asked for; in phrases they keep their place. Without any other word to have,
+    all indexed events without the words of `none_of` match, or none if that is empty too.
+
     One aggregate per event decides about the words: it needs only the postings of the
     words asked for, filtered before the shuffle.
     """
-    all_of, any_of, none_of, phrases = ([w for w in x or []] for x in (all_of, any_of, none_of, phrases))
-    wanted = {w.lower() for w in [*all_of, *any_of, *none_of, *[w for p in phrases for w in p]]}
-    hits = index.where(F.col("term").isin(sorted(wanted)))
-    good = F.lit(True)
+    all_of, any_of, none_of = (query_words(x) for x in (all_of, any_of, none_of))
+    phrases = [p for p in ([(i, w) for i, w in enumerate(x.lower() for x in phrase) if w not in STOP_WORDS] for phrase in phrases or []) if p]
+    having = {*all_of, *any_of, *[w for p in phrases for _, w in p]}
+    hits = index.where(F.col("term").isin(sorted(having | set(none_of))))
+    if not having:
+        without = hits.select("id")
+        return index.select("id").distinct().join(without, "id", "left_anti") if none_of else without
+    good = F.bool_or(F.col("term").isin(sorted(having)))
     for word in all_of:
-        good = good & F.bool_or(F.col("term") == word.lower())
+        good = good & F.bool_or(F.col("term") == word)
     if any_of:
-        good = good & F.bool_or(F.col("term").isin([w.lower() for w in any_of]))
+        good = good & F.bool_or(F.col("term").isin(any_of))
     if none_of:
-        good = good & ~F.bool_or(F.col("term").isin([w.lower() for w in none_of]))
+        good = good & ~F.bool_or(F.col("term").isin(none_of))
     ids = hits.groupBy("id").agg(good.alias("good")).where("good").select("id")
     for phrase in phrases:
-        ids = ids.join(_phrase(hits, [w.lower() for w in phrase]), "id", "left_semi")
+        ids = ids.join(_phrase(hits, phrase), "id", "left_semi")
     return ids
 
 
-def _phrase(hits: DataFrame, phrase: list[str]) -> DataFrame:
-    """Events with the words next to each other, by counting the words that fit one start place."""
+def query_words(words: list[str] | None) -> list[str]:
+    """The words of a query that an index can hold."""
+    return [w for w in (x.lower() for x in words or []) if w not in STOP_WORDS]
+
+
+def _phrase(hits: DataFrame, phrase: list[tuple[int, str]]) -> DataFrame:
+    """Events with the words at these distances, by counting the words that fit one start place."""
     starts = F.array(*[F.when(F.col("term") == w, F.struct((F.col("pos") - i).alias("start"), F.lit(i).alias("i")))
-                       for i, w in enumerate(phrase)])
+                       for i, w in phrase])
     return (
         hits.select("id", "field_no", F.explode(F.array_compact(starts)).alias("s"))
         .groupBy("id", "field_no", "s.start").agg(F.count_distinct("s.i").alias("fit"))
@@ -118,7 +130,8 @@ def headline_text() -> Column:
 
 def mark(text: str | Column, terms: list[str]) -> Column:
     """Words of the query wrapped in <mark>."""
-    pattern = r"(?i)\b(" + "|".join(t.lower() for t in terms) + r")\b"
+    quoted = "|".join(r"\Q" + t.lower().replace("\\E", r"\E\\E\Q") + r"\E" for t in terms)
+    pattern = r"(?i)(?<!\w)(" + quoted + r")(?!\w)"
     return F.regexp_replace(text, pattern, "<mark>$1</mark>")
 
 
@@ -148,7 +161,7 @@ def search_batch(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFra
     An event must hold all terms of the query. The rank filter lets Spark keep the best rows
     of each query before the shuffle, so a query that hits everything stays cheap.
     """
-    terms = queries.select("query_id", F.lower("term").alias("term")).distinct()
+    terms = queries.select("query_id", F.lower("term").alias("term")).where(~F.col("term").isin(STOP_WORDS)).distinct()
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     asked = index.join(terms.select("term").distinct(), "term", "left_semi")
     # One score per event and term before the queries are joined, so a term many queries share is counted once.

@@ -57,7 +57,7 @@ WIRE_EVENT_DDL = (
     "payload STRING, rawMeta STRING, tags ARRAY<STRING>, schemaVersion STRING"
 )
 RAW_EVENT_DDL = (
-    "vendor STRING, data STRING, receivedAt STRING, tenantId STRING, runId STRING"
+    "vendor STRING, data STRING, receivedAt STRING, tenantId STRING, runId STRING, _corrupt_record STRING"
 )
 
 ANY_VALUE_DDL = (
