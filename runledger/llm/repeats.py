@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import _DOWN, BLOCK, add_columns, broadcast_if_small, mix64, pieces, prefix_sums, prepare, ranges, text_buffer
+from runledger.llm.arrow import _DOWN, BLOCK, add_columns, mix64, pieces, prefix_sums, prepare, ranges, text_buffer
 from runledger.llm.suffixes import repeated
 from runledger.session import cut_to_table
 
@@ -82,20 +82,25 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
                 h, row, _, first, n, snippet = anchors(data, offsets, length, gram)
+                # In a periodic text one snippet follows itself again and again: such a run is one row.
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (snippet[1:] != snippet[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1])
+                at = np.flatnonzero(fresh)
+                times = np.diff(np.concatenate([at, [len(h)]]))
+                row = row[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                     pa.array(first - offsets[row]), pa.array(n, pa.int32()), pa.array(snippet.view(np.int64))],
-                    names=["anchor", "doc", "th", "first", "n", "snippet"])
+                    [pa.array(h[at].view(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
+                     pa.array(first[at] - offsets[row]), pa.array(n[at], pa.int32()), pa.array(times, pa.int32()), pa.array(snippet[at].view(np.int64))],
+                    names=["anchor", "doc", "th", "first", "n", "times", "snippet"])
 
     longs = T.LongType()
     return docs.mapInArrow(run, T.StructType([T.StructField("anchor", longs), docs.schema["doc"], T.StructField("th", longs), T.StructField("first", longs),
-                                              T.StructField("n", T.IntegerType()), T.StructField("snippet", longs)]))
+                                              T.StructField("n", T.IntegerType()), T.StructField("times", T.IntegerType()), T.StructField("snippet", longs)]))
 
 
 def _snippets(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted snippets, and what else is known of them."""
     per_doc = wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("bucket", "anchor", "dealt", "first", "n")).alias("lists"))
-    per_doc = broadcast_if_small(cut_to_table(per_doc), 50_000)
     joined = docs.join(per_doc, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th")))
 
     def run(batches):
@@ -143,11 +148,11 @@ def _compared(snippets: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """From rows (doc, th, text): runs (doc, th, first, n) of windows whose bytes start elsewhere too."""
     found = cut_to_table(_anchors(docs, length, gram))
-    again = (found.groupBy("anchor").agg(F.min("snippet").alias("low"), F.max("snippet").alias("high"), F.count("*").alias("times"))
-             .where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
+    again = (found.groupBy("anchor").agg(F.min("snippet").alias("low"), F.max("snippet").alias("high"), F.sum("times").alias("all_times"))
+             .where("all_times > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     hits = cut_to_table(found.join(again, "anchor"))
-    kinds = cut_to_table(hits.groupBy("anchor", "snippet").agg(F.count("*").alias("times"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "th", "first", "n")).alias("one")))
-    whole = hits.join(kinds.where("times > 1").select("anchor", "snippet"), ["anchor", "snippet"], "left_semi").select("doc", "th", "first", F.col("n").cast("long").alias("n"))
+    kinds = cut_to_table(hits.groupBy("anchor", "snippet").agg(F.sum("times").alias("times"), F.max("mixed").alias("mixed"), F.min(F.struct("doc", "th", "first", "n")).alias("one")))
+    whole = hits.join(kinds.where("times > 1").select("anchor", "snippet"), ["anchor", "snippet"], "left_semi").select("doc", "th", "first", (F.col("n") * F.col("times").cast("long")).alias("n"))
 
     different = kinds.where("mixed").select("anchor", "snippet", "one.*")
     sizes = different.groupBy("anchor").agg(F.count("*").alias("many"))
