@@ -17,6 +17,7 @@ import base64
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.session import cut_to_table
+from runledger.llm.arrow import broadcast_if_small, prepare
+from runledger.session import cut_to_table, shared_dir
 
 BLOCK = 1 << 20
 ARCHIVE_BYTES = 32 << 20
@@ -157,7 +159,7 @@ def write_archives(records: DataFrame, archive_size: int = ARCHIVE_BYTES, zip64:
         if waiting:
             yield blocks(archive_bytes(waiting, zip64), number)
 
-    return cut_to_table(records.select("page", "url", "payload", "digest", "refers_to").mapInArrow(run, BLOCKS))
+    return _stored(records.select("page", "url", "payload", "digest", "refers_to").mapInArrow(run, BLOCKS))
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
@@ -170,21 +172,36 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
                 for s in range(0, len(row["content"]), BLOCK):
                     yield pa.RecordBatch.from_pylist([{"archive": row["path"], "block": s // BLOCK, "size": len(row["content"]), "bytes": row["content"][s: s + BLOCK]}])
 
-    return cut_to_table(files.select("path", "content").mapInArrow(run, BLOCKS))
+    return _stored(files.select("path", "content").mapInArrow(run, BLOCKS))
+
+
+def _stored(blocks: DataFrame) -> DataFrame:
+    """Blocks written to the shared folder, well packed."""
+    path = f"{shared_dir(blocks.sparkSession)}/archives-{uuid.uuid4().hex}"
+    blocks.write.option("compression", "zstd").parquet(path)
+    return blocks.sparkSession.read.schema(BLOCKS).parquet(path)
 
 
 def read_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows (archive, offset, length, ...) with `raw`, the bytes there. Only the blocks that a range touches are joined."""
-    keys = [c for c in ranges.columns]
+    """Rows (archive, offset, length, ...) with `raw`, the bytes there. Only the blocks that a range touches are joined.
+
+    Ranges are sent to the blocks where they are few, else both are shuffled. A range in one block is cut out
+    of it; those over several blocks are put together after a shuffle of their bytes.
+    """
+    keys = ranges.columns
     last = F.greatest(F.col("offset"), F.col("offset") + F.col("length") - 1)
-    touched = ranges.withColumn("block", F.explode(F.sequence((F.col("offset") / BLOCK).cast("long"), (last / BLOCK).cast("long"))))
-    joined = touched.join(blocks.select("archive", "block", "bytes"), ["archive", "block"])
+    ranges = cut_to_table(ranges.withColumns({"block": F.floor(F.col("offset") / BLOCK), "last": F.floor(last / BLOCK)}))
+    bytes_of = blocks.select("archive", "block", "bytes")
+    one = broadcast_if_small(ranges.where("block = last")).join(bytes_of, ["archive", "block"])
+    one = one.select(*keys, F.substring("bytes", (F.col("offset") - F.col("block") * BLOCK + 1).cast("int"), F.col("length").cast("int")).alias("raw"))
+    several = ranges.where("block < last").withColumn("block", F.explode(F.sequence("block", "last")))
+    joined = broadcast_if_small(several).join(bytes_of, ["archive", "block"])
     start = F.greatest(F.lit(0).cast("long"), F.col("offset") - F.col("block") * BLOCK)
     end = F.least(F.lit(BLOCK).cast("long"), F.col("offset") + F.col("length") - F.col("block") * BLOCK)
     part = F.substring(F.col("bytes"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct("block", part.alias("bytes"))))
     whole = joined.groupBy(*keys).agg(parts.alias("parts"))
-    return whole.withColumn("raw", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.bytes))")).drop("parts")
+    return one.union(whole.select(*keys, F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.bytes))").alias("raw")))
 
 
 def _parsed(df: DataFrame, schema: str, fields: list[str], parse) -> DataFrame:
@@ -257,9 +274,11 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             raw = payload.to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), payload, pa.array([sha1_base32(p) for p in raw], pa.string())], names=["id", "url", "payload", "digest"])
 
+    prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(html_col).alias("html"))
     rows = rows.mapInArrow(run, "id long, url string, payload binary, digest string")
     largest = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("id").alias("largest"), F.count("*").alias("times")).where("times > 1").select("digest", "largest")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    largest = broadcast_if_small(cut_to_table(largest))
     repeats = F.col("largest").isNotNull() & ~F.col("id").eqNullSafe(F.col("largest"))
     return rows.join(largest, "digest", "left").select(name(F.col("id")).alias("page"), "url", "payload", "digest", F.when(repeats, name(F.col("largest"))).alias("refers_to"))
