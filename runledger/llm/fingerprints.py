@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from runledger.llm.arrow import mix64, prepare, segment_hashes, text_buffer, words
 
 NARROW, WIDE, BLOCK_PARTS = 128, 4, 1 << 15
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 20_000
 
 
 def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +89,16 @@ def _ordered(docs: DataFrame) -> DataFrame:
     behind all others; that of the first bucket goes to the last.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = int(max(1, -(-total // BUCKET_BYTES)))
+    wanted = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_BYTES))))
     bounds = sorted(set(docs.approxQuantile("doc", [i / wanted for i in range(1, wanted)], 0.2 / wanted))) if wanted > 1 else []
-    bucket = F.when(F.col("doc").isNull(), 0).otherwise(1 + F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("doc")))) if bounds else F.lit(0)
-    placed = docs.withColumn("bucket", bucket).withColumn("th", F.xxhash64("text"))
+    cuts = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket_of(doc: pd.Series) -> pd.Series:
+        known = doc.notna()
+        return pd.Series(np.where(known, 1 + np.searchsorted(cuts, doc.where(known, 0).to_numpy(np.int64)), 0))
+
+    placed = docs.withColumn("bucket", bucket_of("doc") if bounds else F.lit(0)).withColumn("th", F.xxhash64("text"))
     heads = placed.groupBy("bucket").agg(F.max(F.struct(F.col("doc").isNotNull().alias("has"), "doc", "th")).alias("head")).collect()  # one row per bucket
     heads = sorted(heads, key=lambda r: -r["bucket"])
     goes_to = {r["bucket"]: heads[k - 1]["bucket"] for k, r in enumerate(heads)}
