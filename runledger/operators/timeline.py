@@ -45,7 +45,7 @@ def tool_calls(tl: DataFrame) -> DataFrame:
         "run_id", "id", "type", "timestamp", "idx", F.coalesce("tool_key", F.lit("")).alias("tool_key"),
         *_kept_slice(tl),
     )
-    nxt = F.struct(F.col("type").alias("type"), F.col("timestamp").alias("timestamp"))
+    nxt = F.struct(F.col("type").alias("type"), F.col("timestamp").alias("timestamp"), F.col("id").alias("id"))
     return scan(
         tools, ["run_id", "tool_key"], [F.col("idx")],
         next_event=following(nxt),

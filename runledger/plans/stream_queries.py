@@ -109,7 +109,7 @@ def _event_files(ev) -> str:
     """The events as files a stream can pick up."""
     folder = _folder(ev.sparkSession)
     names = [c.split(" ")[0] for c in EVENT_DDL.split(", ")]
-    ev.select(*names).repartition(4, "ingestion_order").write.parquet(folder)
+    ev.select(*names).repartition(6, F.xxhash64("id")).write.parquet(folder)  # six files in no order
     return folder
 
 
@@ -144,7 +144,7 @@ def _(ev):
     again = ev.where("type = 'run.error'").select(*names)
     again.unionByName(again.withColumn("received_at", F.expr("received_at + INTERVAL 90 DAYS"))).write.mode("append").parquet(folder)
     out = _folder(spark)
-    _finish(J.stream_dedupe(J.stream_events(spark, folder, max_files=2), f"{out}/out", f"{out}/check"))
+    _finish(J.stream_dedupe(J.stream_events(spark, folder, max_files=1), f"{out}/out", f"{out}/check"))
     return spark.read.parquet(f"{out}/out").select("id", "run_id", "type")
 
 
@@ -162,31 +162,37 @@ def _(ev):
     return last.select("id", "r.*")
 
 
-@on_events("stream_activity", """SELECT run_id, date_trunc('day', received_at) AS window_start, count(*) AS event_count FROM ev GROUP BY ALL""")
+def _complete(ev, job):
+    """The last result of a stream over the event files, one file per trigger."""
+    spark, out = ev.sparkSession, _folder(ev.sparkSession)
+
+    def sink(batch, batch_id):
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
+
+    _finish(J._start(job(J.stream_events(spark, _event_files(ev), max_files=1)), sink, f"{out}/check", mode="complete"))
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.join(rows.agg(F.max("version").alias("version")), "version").drop("version", "b")
+
+
+@on_events("stream_activity", """SELECT run_id, date_trunc('day', received_at) AS window_start, count(*) AS event_count FROM ev GROUP BY ALL""", stored=True)
 def _(ev):
-    return J.stream_activity(ev)
+    return _complete(ev, J.stream_activity)
 
 
 @on_events("stream_sessions", """WITH g AS (SELECT *, CASE WHEN received_at - lag(received_at) OVER w > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS cut FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY received_at)),
   s AS (SELECT *, sum(cut) OVER (PARTITION BY run_id ORDER BY received_at ROWS UNBOUNDED PRECEDING) AS n FROM g)
-  SELECT run_id, min(received_at) AS session_start, max(received_at) + INTERVAL 12 HOUR AS session_end, count(*) AS event_count FROM s GROUP BY run_id, n""")
+  SELECT run_id, min(received_at) AS session_start, max(received_at) + INTERVAL 12 HOUR AS session_end, count(*) AS event_count FROM s GROUP BY run_id, n""", stored=True)
 def _(ev):
-    return J.stream_sessions(ev)
+    return _complete(ev, J.stream_sessions)
 
 
-@on_events("stream_open_tools", f"WITH {CALLS_SQL}, {DURATIONS_SQL} SELECT c.run_id, c.id AS start_id, duration_ms FROM calls c JOIN durs USING (run_id, id)", stored=True)
+@on_events("stream_open_tools", f"""WITH {CALLS_SQL}, {DURATIONS_SQL} SELECT c.run_id, c.id AS start_id, duration_ms, 'closed' AS state FROM calls c JOIN durs USING (run_id, id)
+  UNION ALL SELECT run_id, id, NULL, CASE WHEN epoch_ms("timestamp") + 3600000 < (SELECT max(epoch_ms("timestamp")) FROM calls) THEN 'unclosed' ELSE 'open' END
+  FROM calls WHERE type = 'tool.call.start' AND next_type IS NULL""", stored=True)
 def _(ev):
     spark, out = ev.sparkSession, _folder(ev.sparkSession)
-    names = [c.split(" ")[0] for c in EVENT_DDL.split(", ")]
-    # One file, so that each key comes in source order.
-    ev.select(*names).coalesce(1).write.parquet(f"{out}/in")
-    calls = J.stream_open_tools(J.stream_events(spark, f"{out}/in"))
-
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
-
-    _finish(J._start(calls, sink, f"{out}/check"))
-    return spark.read.parquet(f"{out}/rows").where("state = 'closed'").select("run_id", "start_id", "duration_ms")
+    _finish(J.stream_open_tools(J.stream_events(spark, _event_files(ev), max_files=1), f"{out}/out", f"{out}/check"))
+    return J.open_tools(spark, f"{out}/out").select("run_id", "start_id", "duration_ms", "state")
 
 
 @on_events("late_data", f"WITH {CALLS_SQL}, {GAPS_SQL.strip()}, {SUMMARY_SQL} SELECT * FROM sums WHERE run_id IN (SELECT run_id FROM ev WHERE type='side_effect.failed')", stored=True)

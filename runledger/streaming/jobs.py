@@ -1,30 +1,31 @@
 """Streams of raw and canonical events.
 
-Arrival time carries the watermarks, never source time: late source times are normal and
-are not dropped.
+Files come in any order, so no job here drops a row for its time: what must know the past reads it
+from stored parts, and windows keep their state unless a delay is given.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from runledger.functions.payload import fields
+from runledger.functions.ordered import with_slices
+from runledger.functions.payload import millis_between
 from runledger.operators.normalize import canonical_rows, dead_letters, normalize
 from runledger.operators.runs import _lifecycle, run_columns
-from runledger.operators.timeline import run_summary, timeline_index
+from runledger.operators.timeline import run_summary, timeline_index, tool_calls
 from runledger.schemas import EVENT_DDL, RAW_EVENT_DDL, TOOL_TYPES
 from runledger.sources.tables import raw_event_rows
 from runledger.session import cut_to_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
+PARTS = 16  # folders of stored events, by hash
+
 
 def stream_raw_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Raw vendor events from files as they come."""
@@ -50,24 +51,31 @@ def stream_normalize(raw: DataFrame, out: str, dead: str, checkpoint: str, once:
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        results = cut_to_table(batch)
+        results = batch.persist()
         canonical_rows(results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         dead_letters(results).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        results.unpersist()
 
     return _start(normalize(raw), sink, checkpoint, once=once)
 
 
-def stream_dedupe(events: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """First arrivals only. Repeats within `delay` of arrival are dropped by state, later ones against `out`."""
-    near = events.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["id"])
+def stream_dedupe(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """First arrivals only. Nothing is dropped for being late: an id is new if neither the batch nor `out` has it before.
+
+    Stored events lie in parts by id, and only the id column of the parts of the batch is read.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        first = F.min_by(F.struct(*[c for c in batch.columns if c != "id"]), F.struct("received_at", "ingestion_order"))
+        fresh = batch.groupBy("id").agg(first.alias("e")).select("id", "e.*").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
         known = _other_batches(spark, out, batch_id)
-        fresh = batch if known is None else batch.join(known.select("id"), "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if known is not None:
+            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS numbers
+            fresh = fresh.join(known.where(F.col("part").isin(parts)).select("part", "id"), ["part", "id"], "left_anti")
+        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch_id}")
 
-    return _start(near, sink, checkpoint, once=once)
+    return _start(events, sink, checkpoint, once=once)
 
 
 def _other_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -76,7 +84,7 @@ def _other_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if batch_id == 0 or not files.exists(hadoop):
         return None
-    return spark.read.schema(EVENT_DDL + ", batch BIGINT").parquet(path).where(F.col("batch") != batch_id)
+    return spark.read.schema(EVENT_DDL + ", batch BIGINT, part INT").parquet(path).where(F.col("batch") != batch_id)
 
 
 def stream_runs(events: DataFrame, policy: str = "merge") -> DataFrame:
@@ -84,85 +92,57 @@ def stream_runs(events: DataFrame, policy: str = "merge") -> DataFrame:
     return _lifecycle(events).groupBy(F.col("run_id").alias("id")).agg(*run_columns(policy))
 
 
-def stream_activity(events: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Events per run and window of arrival time."""
-    timed = events.withWatermark("received_at", delay) if events.isStreaming else events
+def stream_activity(events: DataFrame, width: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Events per run and window of arrival time. With `delay`, windows end that long after them and later rows are dropped."""
+    timed = events.withWatermark("received_at", delay) if events.isStreaming and delay else events
     return timed.groupBy(F.window("received_at", width).alias("w"), "run_id").agg(F.count("*").alias("event_count")).select(
         "run_id", F.col("w.start").alias("window_start"), "event_count")
 
 
-def stream_sessions(events: DataFrame, gap: str = "12 hours", delay: str = "1 day") -> DataFrame:
-    """Stretches of activity per run, split where nothing arrives for `gap`."""
-    timed = events.withWatermark("received_at", delay) if events.isStreaming else events
+def stream_sessions(events: DataFrame, gap: str = "12 hours", delay: str | None = None) -> DataFrame:
+    """Stretches of activity per run, split where nothing arrives for `gap`. `delay` as in `stream_activity`."""
+    timed = events.withWatermark("received_at", delay) if events.isStreaming and delay else events
     return timed.groupBy(F.session_window("received_at", gap).alias("w"), "run_id").agg(F.count("*").alias("event_count")).select(
         "run_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count")
 
 
-class OpenTools(StatefulProcessor):
-    """Keeps the open start of one (run, tool key); emits it with its end, or alone after a timeout."""
-
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "id string, started long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Only the open start is kept while the batches of the key go by.
-        current = tuple(self.open.get()) if self.open.exists() else None
-        before = current
-        for batch in rows:
-            out = []
-            for kind, event, at in zip(*(batch.sort_values(["at", "place"])[c] for c in ("type", "id", "at"))):
-                if kind == "tool.call.start":
-                    current = (event, int(at))
-                elif current is not None:
-                    out.append((*key, current[0], event, int(at) - current[1], "closed"))
-                    current = None
-            if out:
-                yield self._frame(out)
-        if current != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if current is None:
-                self.open.clear()
-            else:
-                self.open.update(current)
-                self.handle.registerTimer(max(current[1], timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            start, _ = self.open.get()
-            self.open.clear()
-            yield self._frame([(*key, start, None, None, "unclosed")])
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["run_id", "tool_key", "start_id", "end_id", "duration_ms", "state"])
-        return frame.astype({"duration_ms": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def stream_open_tools(events: DataFrame, timeout_ms: int = 3_600_000, delay: str = "1 hour") -> DataFrame:
-    """Tool calls as they close, and starts that stay open longer than the timeout.
-
-    Events of a key are taken in source order within an Arrow batch and in arrival order between batches.
+def stream_open_tools(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Tool calls kept current in `out`; `open_tools` reads them.
+
+    A batch stores its tool events and pairs the calls of the runs it touches again, from all stored tool
+    events of these runs in source order. So the result does not depend on the order of arrival or on how
+    rows are batched, and an event that comes late changes the pairs instead of being dropped. Stored events
+    lie in parts by run, and only the parts of the batch are read.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    p = fields("payload", toolId="string", toolName="string")
-    tools = events.withWatermark("timestamp", delay).where(F.col("type").isin(TOOL_TYPES)).select(
-        "run_id", F.coalesce(p["toolId"], p["toolName"], F.lit("")).alias("tool_key"), "type", "id", "timestamp",
-        F.unix_millis("timestamp").alias("at"), F.col("ingestion_order").alias("place"))
-    return tools.groupBy("run_id", "tool_key").transformWithStateInPandas(
-        statefulProcessor=OpenTools(timeout_ms),
-        outputStructType="run_id string, tool_key string, start_id string, end_id string, duration_ms long, state string",
-        outputMode="append", timeMode="EventTime")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tools = batch.where(F.col("type").isin(TOOL_TYPES)).withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int"))
+        tools.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/events/batch={batch_id}")
+        stored = spark.read.schema(EVENT_DDL + ", batch BIGINT, part INT").parquet(f"{out}/events").where(F.col("batch") <= batch_id)
+        own = stored.where(F.col("batch") == batch_id)
+        touched = cut_to_table(own.select("part", "run_id").distinct())
+        parts = [r["part"] for r in touched.select("part").distinct().collect()]  # at most PARTS numbers
+        first = F.min_by(F.struct("run_id", "tenant_id", "type", "sequence", "parent_event_id", "payload", "timestamp", "ingestion_order"), F.struct("batch", "ingestion_order"))
+        mine = stored.where(F.col("part").isin(parts)).join(touched, ["part", "run_id"], "left_semi").groupBy("id").agg(first.alias("e")).select("id", "e.*")
+        calls = tool_calls(timeline_index(with_slices(cut_to_table(mine), ["run_id"], "timestamp")))
+        ended = F.col("next_event.type").isin("tool.call.end", "tool.call.error") & (F.col("next_event.timestamp") >= F.col("timestamp"))
+        starts = calls.where((F.col("type") == "tool.call.start") & (ended | F.col("next_event").isNull())).select(
+            "run_id", "tool_key", F.col("id").alias("start_id"), "timestamp", F.col("next_event.id").alias("end_id"),
+            millis_between("timestamp", "next_event.timestamp").alias("duration_ms"))
+        starts.write.mode("overwrite").parquet(f"{out}/calls/batch={batch_id}")
+        touched.select("run_id").write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
+
+    return _start(events, sink, checkpoint, once=once)
+
+
+def open_tools(spark: SparkSession, out: str, timeout_ms: int = 3_600_000) -> DataFrame:
+    """The newest calls of each run: `closed`, `open`, or `unclosed` where the newest event of all is `timeout_ms` past the start."""
+    newest = spark.read.parquet(f"{out}/runs").groupBy("run_id").agg(F.max("batch").alias("batch"))
+    calls = spark.read.parquet(f"{out}/calls").join(newest, ["run_id", "batch"])
+    last = spark.read.schema(EVENT_DDL).parquet(f"{out}/events").agg(F.max(F.unix_millis("timestamp"))).first()[0]
+    state = F.when(F.col("end_id").isNotNull(), "closed").when(F.unix_millis("timestamp") + timeout_ms < F.lit(last), "unclosed").otherwise("open")
+    return calls.select("run_id", "tool_key", "start_id", "end_id", "duration_ms", state.alias("state"))
 
 
 def rebuild_touched_runs(stored: DataFrame, batch: DataFrame) -> DataFrame:

@@ -21,14 +21,27 @@ def test_open_tools_timeout(spark, tmp_path):
     stream = _stream(spark, tmp,
                      [event(1, "tool.call.start", 0, toolName="a"), event(2, "tool.call.start", 10, toolName="b"), event(3, "tool.call.end", 40, toolName="b")],
                      [event(4, "tool.call.start", 9 * hour, run="r2", toolName="z")], [event(5, "tool.call.start", 20 * hour, run="r3", toolName="z")])
-    calls = J.stream_open_tools(stream, timeout_ms=hour)
+    J.stream_open_tools(stream, f"{tmp}/out", f"{tmp}/check").awaitTermination()
+    got = collected(J.open_tools(spark, f"{tmp}/out", timeout_ms=hour), "start_id", "end_id", "duration_ms", "state")
+    assert ("e2", "e3", 30, "closed") in got and ("e1", None, None, "unclosed") in got and ("e5", None, None, "open") in got
 
-    def sink(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{tmp}/out/b={batch_id}")
 
-    J._start(calls, sink, f"{tmp}/check").awaitTermination()
-    got = collected(spark.read.parquet(f"{tmp}/out"), "start_id", "end_id", "duration_ms", "state")
-    assert ("e2", "e3", 30, "closed") in got and ("e1", None, None, "unclosed") in got
+def test_open_tools_in_any_order(spark, tmp_path):
+    """Ends before starts, a call hours behind in the last file, a repeated event: the pairs are those of source order."""
+    hour, tmp = 3_600_000, str(tmp_path)
+    pairs = [[event(2 * k, "tool.call.start", k * 1000, toolName="a"), event(2 * k + 1, "tool.call.end", k * 1000 + 7, toolName="a")] for k in range(1, 12)]
+    late = [event(90, "tool.call.start", -19 * hour, toolName="b"), event(91, "tool.call.end", 5 - 19 * hour, toolName="b")]
+    batches = [[p[1] for p in pairs[::-1]], [p[0] for p in pairs[6:]], [p[0] for p in pairs[:6]], [late[1], pairs[0][0]], [late[0]]]
+    J.stream_open_tools(_stream(spark, tmp, *batches), f"{tmp}/out", f"{tmp}/check").awaitTermination()
+    got = collected(J.open_tools(spark, f"{tmp}/out"), "start_id", "end_id", "duration_ms", "state")
+    assert sorted(got) == sorted([(f"e{2 * k}", f"e{2 * k + 1}", 7, "closed") for k in range(1, 12)] + [("e90", "e91", 5, "closed")])
+
+
+def test_dedupe_keeps_all_new_ids(spark, tmp_path):
+    tmp = str(tmp_path)
+    batches = [[event(20 * b + i, "custom", (5 - b) * 10**8 + i) for i in range(20)] + [event(0, "custom", 1)] for b in range(5)]
+    J.stream_dedupe(_stream(spark, tmp, *batches), f"{tmp}/out", f"{tmp}/check").awaitTermination()
+    assert len(collected(spark.read.parquet(f"{tmp}/out"), "id")) == 100
 
 
 def test_dedupe_after_restart(spark, tmp_path):
