@@ -95,10 +95,10 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def bucket_of(doc: pd.Series) -> pd.Series:
-        known = doc.notna()
-        return pd.Series(np.where(known, 1 + np.searchsorted(cuts, doc.where(known, 0).to_numpy(np.int64)), 0))
+        return pd.Series(1 + np.searchsorted(cuts, doc.to_numpy()))
 
-    placed = docs.withColumn("bucket", bucket_of("doc") if bounds else F.lit(0)).withColumn("th", F.xxhash64("text"))
+    bucket = F.when(F.col("doc").isNull(), 0).otherwise(bucket_of(F.coalesce("doc", F.lit(0).cast("long")))) if bounds else F.lit(0)
+    placed = docs.withColumn("bucket", bucket).withColumn("th", F.xxhash64("text"))
     heads = placed.groupBy("bucket").agg(F.max(F.struct(F.col("doc").isNotNull().alias("has"), "doc", "th")).alias("head")).collect()  # one row per bucket
     heads = sorted(heads, key=lambda r: -r["bucket"])
     goes_to = {r["bucket"]: heads[k - 1]["bucket"] for k, r in enumerate(heads)}
