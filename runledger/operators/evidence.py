@@ -161,7 +161,7 @@ def bundle_graph_counts(ev: DataFrame, runs: DataFrame, requested: DataFrame) ->
     known = rows.select("graph_run", F.col("id").alias("parent_event_id"))
     causal = rows.where(F.col("parent_event_id").isNotNull()).join(known, ["graph_run", "parent_event_id"], "left_semi").groupBy(
         "graph_run").agg(F.count("*").alias("causal"))
-    flows = data_flow_edges(ev).groupBy("run_id").agg(F.count("*").alias("n")).join(members, "run_id").groupBy(
+    flows = data_flow_edges(ev.join(members.select("run_id").distinct(), "run_id", "left_semi")).groupBy("run_id").agg(F.count("*").alias("n")).join(members, "run_id").groupBy(
         "graph_run").agg(F.sum("n").alias("flows"))
     place = F.struct(*timeline_order())
     starts = ev.where(F.col("type") == "run.start").groupBy("run_id").agg(
@@ -237,8 +237,8 @@ SECTIONS = ["header", "events", "timeline.entries", "timeline.gaps", "timeline.s
             "lineage.edges", "redactionAudit"]
 
 
-def _lines(df: DataFrame, section: str, place: Column, record: Column) -> DataFrame:
-    return df.select("bundle_id", "run_id", F.lit(section).alias("section"), place.cast("bigint").alias("position"),
+def _lines(df: DataFrame, section: str, place: Column, record: Column, run: str = "run_id") -> DataFrame:
+    return df.select("bundle_id", F.col(run).alias("run_id"), F.lit(section).alias("section"), place.cast("bigint").alias("position"),
                      F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
 
 
@@ -250,10 +250,11 @@ def _event_record() -> Column:
         F.try_parse_json("payload").alias("payload"), "tags", F.col("schema_version").alias("schemaVersion"))
 
 
-def export_lines(bundles: DataFrame, ev: DataFrame, exported_at: Column | None = None) -> DataFrame:
+def export_lines(bundles: DataFrame, ev: DataFrame, runs: DataFrame, exported_at: Column | None = None) -> DataFrame:
     """The documents of all complete bundles as lines: one JSON record per row, by section and position.
 
-    A document is the lines of a bundle in section order; a run of any size is just more rows.
+    The graph of a document is that of its run and the child runs, built for each document by itself, so
+    it does not depend on what else is exported, and has as many lines as the header counts. A document is the lines of a bundle in section order; a run of any size is just more rows.
     """
     done = cut_lineage(bundles.where(F.col("status") == "complete"))
     keys = done.select(F.col("id").alias("bundle_id"), "run_id")
@@ -284,13 +285,17 @@ def export_lines(bundles: DataFrame, ev: DataFrame, exported_at: Column | None =
         F.bool_or(F.col("type").isin("run.error", "tool.call.error", "side_effect.failed")).alias("has_errors"))
     summary = done.select(F.col("id").alias("bundle_id"), "run_id", "event_count", "gap_count", "max_depth").join(
         counts, "run_id").join(spans, "run_id")
-    nodes, edges = graph_nodes(own, owner="run_id"), graph_edges(own, owner="run_id")
+    members = ev.join(bundle_members(runs, keys), "run_id")
+    nodes, edges = (build(members, owner="graph_run", group=("graph_run",)) for build in (graph_nodes, graph_edges))
     hits = redaction_hits(own)
     audit = hits.select("run_id", "id", F.col("position").alias("p"), "field_path", "rule_id", "action").join(places, ["run_id", "id"])
 
     def of_bundle(df: DataFrame) -> DataFrame:
         return df.join(keys, "run_id")
 
+    def of_graph(df: DataFrame) -> DataFrame:
+        return df.join(keys.select("bundle_id", F.col("run_id").alias("graph_run")), "graph_run")
+
     parts = [
         _lines(done.withColumn("bundle_id", F.col("id")), "header", F.lit(0), header),
         _lines(of_bundle(events), "events", F.col("idx"), _event_record()),
@@ -304,12 +309,12 @@ def export_lines(bundles: DataFrame, ev: DataFrame, exported_at: Column | None =
             F.col("event_count").alias("totalEvents"), F.col("ms").alias("totalDurationMs"),
             F.col("counts").alias("eventTypeCounts"), F.col("max_depth").alias("maxDepth"),
             F.col("gap_count").alias("gapCount"), F.col("has_errors").alias("hasErrors"))),
-        _lines(of_bundle(nodes), "lineage.nodes", F.coalesce(F.unix_millis("timestamp"), F.lit(0)), F.struct(
+        _lines(of_graph(nodes), "lineage.nodes", F.coalesce(F.unix_millis("timestamp"), F.lit(0)), F.struct(
             F.col("node_id").alias("id"), F.col("node_type").alias("type"), F.col("run_id").alias("runId"),
             F.col("tenant_id").alias("tenantId"), F.try_parse_json("meta").alias("meta"),
-            F.col("source_event_id").alias("sourceEventId"))),
-        _lines(of_bundle(edges), "lineage.edges", F.unix_millis("timestamp"), F.struct(
-            F.col("edge_id").alias("id"), F.col("edge_type").alias("type"), "source", "target", F.try_parse_json("meta").alias("meta"))),
+            F.col("source_event_id").alias("sourceEventId")), "graph_run"),
+        _lines(of_graph(edges), "lineage.edges", F.unix_millis("timestamp"), F.struct(
+            F.col("edge_id").alias("id"), F.col("edge_type").alias("type"), "source", "target", F.try_parse_json("meta").alias("meta")), "graph_run"),
         _lines(of_bundle(audit), "redactionAudit", F.col("idx"), F.struct(
             F.col("id").alias("eventId"), F.col("field_path").alias("fieldPath"), F.col("rule_id").alias("ruleId"), "action")),
     ]

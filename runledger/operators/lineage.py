@@ -24,153 +24,161 @@ def _node_id(kind: str, *parts) -> Column:
     return F.concat(F.lit(f"{kind}:"), *[F.lit(p) if p == "/" else F.col(p) for p in parts])
 
 
-def _effects(ev: DataFrame) -> DataFrame:
+def _effects(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     p = fields("payload", effectType="string", targetSystem="string", description="string",
                reversible="boolean", errorMessage="string")
     done = F.col("type") == "side_effect.executed"
     return ev.where(F.col("type").isin(EFFECT_TYPES)).select(
-        "id", "run_id", "tenant_id", "timestamp", "ingestion_order",
+        *group, "id", "run_id", "tenant_id", "timestamp", "ingestion_order",
         p["effectType"].alias("effect_type"), p["targetSystem"].alias("target_system"),
         p["description"].alias("description"),
         F.when(done, p["reversible"]).otherwise(F.lit(False)).alias("reversible"), done.alias("success"),
         F.when(~done, p["errorMessage"]).alias("error_message"))
 
 
-def run_nodes(ev: DataFrame) -> DataFrame:
+def run_nodes(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """One node per run: agent of the first event, name and parent of the first run.start, status of the first run.end."""
     p = fields("payload", runName="string", triggerSource="string", parentRunId="string", status="string")
     start, end = F.col("type") == "run.start", F.col("type") == "run.end"
     place = F.struct(*timeline_order())
     head = F.struct("timestamp", p["runName"].alias("run_name"), p["triggerSource"].alias("trigger_source"),
                     p["parentRunId"].alias("parent_run_id"))
-    rows = ev.select("run_id", "tenant_id", "source_agent", place.alias("place"),
+    rows = ev.select(*group, "run_id", "tenant_id", "source_agent", place.alias("place"),
                      F.when(start, head).alias("head"),
                      F.when(end, F.struct("timestamp", p["status"].alias("status"))).alias("tail"))
-    per_run = rows.groupBy("run_id").agg(
+    per_run = rows.groupBy(*group, "run_id").agg(
         F.min_by("tenant_id", "place").alias("tenant_id"), F.min_by("source_agent", "place").alias("agent_id"),
         F.min_by("head", F.when(F.col("head").isNotNull(), F.col("place"))).alias("head"),
         F.min_by("tail", F.when(F.col("tail").isNotNull(), F.col("place"))).alias("tail"))
     ms = millis_between("head.timestamp", "tail.timestamp")
     return per_run.select(
-        _node_id("run", "run_id").alias("node_id"), "run_id", "tenant_id", "agent_id",
+        *group, _node_id("run", "run_id").alias("node_id"), "run_id", "tenant_id", "agent_id",
         "head.run_name", "head.trigger_source", F.coalesce("tail.status", F.lit("running")).alias("status"),
         F.col("head.timestamp").alias("start_time"), F.col("tail.timestamp").alias("end_time"),
         F.when(ms >= 0, ms).alias("duration_ms"), "head.parent_run_id")
 
 
-def event_nodes(ev: DataFrame) -> DataFrame:
+def event_nodes(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     return ev.select(
-        _node_id("event", "id").alias("node_id"), "run_id", "tenant_id", F.col("type").alias("event_type"),
+        *group, _node_id("event", "id").alias("node_id"), "run_id", "tenant_id", F.col("type").alias("event_type"),
         "source_agent", "source_framework", "timestamp", "sequence",
         event_label(fields("payload", **DISPLAY_FIELDS)).alias("label"), F.col("id").alias("source_event_id"))
 
 
-def side_effect_nodes(ev: DataFrame) -> DataFrame:
-    return _effects(ev).select(
-        _node_id("side_effect", "id").alias("node_id"), "run_id", "tenant_id", "effect_type", "target_system",
+def side_effect_nodes(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    return _effects(ev, group).select(
+        *group, _node_id("side_effect", "id").alias("node_id"), "run_id", "tenant_id", "effect_type", "target_system",
         "description", "reversible", "success", "error_message", F.col("id").alias("source_event_id"), "timestamp")
 
 
 def external_system_nodes(ev: DataFrame, owner: str = "tenant_id") -> DataFrame:
-    """One node per owner (tenant or run) and target system."""
+    """One node per owner (tenant, run, or another key of the events) and target system."""
+    if owner not in ("tenant_id", "run_id"):
+        return _effects(ev, (owner,)).groupBy(owner, "target_system").agg(F.min("tenant_id").alias("tenant_id"), F.count("*").alias("effect_count")).select(
+            owner, _node_id("external_system", owner, "/", "target_system").alias("node_id"), "tenant_id",
+            F.col("target_system").alias("system_name"), "effect_count")
     keys = ["tenant_id", "target_system"] if owner == "tenant_id" else ["run_id", "tenant_id", "target_system"]
     return _effects(ev).groupBy(*keys).agg(F.count("*").alias("effect_count")).select(
         _node_id("external_system", owner, "/", "target_system").alias("node_id"), *keys[:-1],
         F.col("target_system").alias("system_name"), "effect_count")
 
 
-def _edge(kind: str, source: Column, target: Column, meta: Column) -> list[Column]:
+def _edge(kind: str, source: Column, target: Column, meta: Column, group: tuple[str, ...] = ()) -> list[Column]:
     return [
+        *[F.col(g) for g in group],
         F.concat(F.lit(f"{kind}:"), source, F.lit("->"), target, F.lit(":"), F.col("ingestion_order")).alias("edge_id"),
         F.lit(kind).alias("edge_type"), source.alias("source"), target.alias("target"),
         "run_id", "tenant_id", "timestamp", F.to_json(meta).alias("meta"),
     ]
 
 
-def produces_edges(ev: DataFrame, owner: str = "tenant_id") -> DataFrame:
+def produces_edges(ev: DataFrame, owner: str = "tenant_id", group: tuple[str, ...] = ()) -> DataFrame:
     """Event to side effect, and side effect to system: two edges per effect, from one pass."""
     effect = _node_id("side_effect", "id")
     hops = F.explode(F.array(
         F.struct(_node_id("event", "id").alias("source"), effect.alias("target")),
         F.struct(effect.alias("source"), _node_id("external_system", owner, "/", "target_system").alias("target"))))
-    rows = _effects(ev).select("*", hops.alias("hop"))
+    rows = _effects(ev, group).select("*", hops.alias("hop"))
     meta = F.struct(F.col("effect_type").alias("effectType"), F.col("target_system").alias("targetSystem"))
-    return rows.select(*_edge("produces", F.col("hop.source"), F.col("hop.target"), meta))
+    return rows.select(*_edge("produces", F.col("hop.source"), F.col("hop.target"), meta, group))
 
 
-def causal_edges(ev: DataFrame) -> DataFrame:
+def causal_edges(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Parent to child where both exist, also across runs."""
-    known = ev.select(F.col("id").alias("parent_event_id"))
+    known = ev.select(*group, F.col("id").alias("parent_event_id"))
     children = ev.where(F.col("parent_event_id").isNotNull()).select(
-        "parent_event_id", "id", "run_id", "tenant_id", "timestamp", "ingestion_order")
+        *group, "parent_event_id", "id", "run_id", "tenant_id", "timestamp", "ingestion_order")
     meta = F.struct(F.col("parent_event_id").alias("parentEventId"))
-    return children.join(known, "parent_event_id", "left_semi").select(
-        *_edge("causal", _node_id("event", "parent_event_id"), _node_id("event", "id"), meta))
+    return children.join(known, [*group, "parent_event_id"], "left_semi").select(
+        *_edge("causal", _node_id("event", "parent_event_id"), _node_id("event", "id"), meta, group))
 
 
-def temporal_edges(ev: DataFrame) -> DataFrame:
+def temporal_edges(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Neighbours of a run in timeline order."""
     keep = [SLICE] if SLICE in ev.columns else []
-    narrow = ev.select("id", "run_id", "tenant_id", "timestamp", "sequence", "ingestion_order", *keep)
+    narrow = ev.select(*group, "id", "run_id", "tenant_id", "timestamp", "sequence", "ingestion_order", *keep)
     nxt = F.struct(F.col("id").alias("id"), F.col("timestamp").alias("timestamp"))
-    rows = scan(narrow, ["run_id"], timeline_order(), nxt=following(nxt)).where(F.col("nxt").isNotNull())
+    rows = scan(narrow, [*group, "run_id"], timeline_order(), nxt=following(nxt)).where(F.col("nxt").isNotNull())
     meta = F.struct(millis_between("timestamp", "nxt.timestamp").alias("gapMs"))
-    return rows.select(*_edge("temporal", _node_id("event", "id"), F.concat(F.lit("event:"), "nxt.id"), meta))
+    return rows.select(*_edge("temporal", _node_id("event", "id"), F.concat(F.lit("event:"), "nxt.id"), meta, group))
 
 
-def delegation_edges(ev: DataFrame) -> DataFrame:
+def delegation_edges(ev: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """Parent run to child run, named by the child's first run.start, where both runs have events."""
     p = fields("payload", parentRunId="string")
     place = F.struct(*timeline_order())
     starts = (
         ev.where(F.col("type") == "run.start")
-        .select("run_id", "tenant_id", "timestamp", "ingestion_order", place.alias("place"), p["parentRunId"].alias("parent"))
-        .groupBy("run_id")
+        .select(*group, "run_id", "tenant_id", "timestamp", "ingestion_order", place.alias("place"), p["parentRunId"].alias("parent"))
+        .groupBy(*group, "run_id")
         .agg(F.min_by(F.struct("tenant_id", "timestamp", "ingestion_order", "parent"), "place").alias("s"))
-        .select("run_id", "s.*").where(F.col("parent") != "")
+        .select(*group, "run_id", "s.*").where(F.col("parent") != "")
     )
-    known = ev.select(F.col("run_id").alias("parent")).distinct()
+    known = ev.select(*group, F.col("run_id").alias("parent")).distinct()
     meta = F.struct(F.col("parent").alias("parentRunId"), F.col("run_id").alias("childRunId"))
-    return starts.join(known, "parent", "left_semi").select(
-        *_edge("delegation", _node_id("run", "parent"), _node_id("run", "run_id"), meta))
+    return starts.join(known, [*group, "parent"], "left_semi").select(
+        *_edge("delegation", _node_id("run", "parent"), _node_id("run", "run_id"), meta, group))
 
 
-def data_flow_edges(ev: DataFrame, pairs=None) -> DataFrame:
+def data_flow_edges(ev: DataFrame, pairs=None, group: tuple[str, ...] = ()) -> DataFrame:
     """For each pair of types: every source event to the first target of its run not before it."""
     pairs = DATA_FLOW_PAIRS if pairs is None else pairs
     roles = [(n, kind, role) for n, (src, tgt, _) in enumerate(pairs) for kind, role in ((src, "source"), (tgt, "target"))]
     table = F.broadcast(ev.sparkSession.createDataFrame(roles, "pair int, type string, role string"))  # a few fixed rows
     keep = [SLICE] if SLICE in ev.columns else []
-    rows = ev.select("id", "run_id", "tenant_id", "type", "timestamp", "sequence", "ingestion_order", *keep).join(table, "type")
+    rows = ev.select(*group, "id", "run_id", "tenant_id", "type", "timestamp", "sequence", "ingestion_order", *keep).join(table, "type")
     target = F.when(F.col("role") == "target", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(timeline_order())], F.col("id").alias("id")))
-    found = first_at_or_after(rows, ["run_id", "pair"], "timestamp", target, "hit")
+    found = first_at_or_after(rows, [*group, "run_id", "pair"], "timestamp", target, "hit")
     texts = F.element_at(F.array(*[F.lit(d) for _, _, d in pairs]), F.col("pair") + 1)
     return found.where((F.col("role") == "source") & F.col("hit").isNotNull()).select(
         *_edge("data_flow", _node_id("event", "id"), F.concat(F.lit("event:"), "hit.id"),
-               F.struct(texts.alias("description"))))
+               F.struct(texts.alias("description")), group))
 
 
-def graph_nodes(ev: DataFrame, owner: str = "tenant_id") -> DataFrame:
-    """All nodes with their meta data as JSON text."""
+def graph_nodes(ev: DataFrame, owner: str = "tenant_id", group: tuple[str, ...] = ()) -> DataFrame:
+    """All nodes with their meta data as JSON text.
+
+    With `group`, columns of the events, each value of these is a graph of its own.
+    """
 
     def typed(df: DataFrame, kind: str, time: str | None, meta: dict[str, str | Column], event: bool) -> DataFrame:
         run = F.col("run_id") if "run_id" in df.columns else F.lit(None).cast("string")
         values = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in meta.items()]
         return df.select(
-            "node_id", F.lit(kind).alias("node_type"), run.alias("run_id"), "tenant_id",
+            *group, "node_id", F.lit(kind).alias("node_type"), run.alias("run_id"), "tenant_id",
             (F.col("source_event_id") if event else F.lit(None).cast("string")).alias("source_event_id"),
             (F.col(time) if time else F.lit(None).cast("timestamp")).alias("timestamp"),
             F.to_json(F.struct(*values)).alias("meta"))
 
     return (
-        typed(run_nodes(ev), "run", "start_time", {
+        typed(run_nodes(ev, group), "run", "start_time", {
             "agentId": "agent_id", "runName": "run_name", "triggerSource": "trigger_source", "status": "status",
             "startTime": iso_millis("start_time"), "endTime": iso_millis("end_time"),
             "durationMs": "duration_ms", "parentRunId": "parent_run_id"}, False)
-        .unionByName(typed(event_nodes(ev), "event", "timestamp", {
+        .unionByName(typed(event_nodes(ev, group), "event", "timestamp", {
             "eventType": "event_type", "sourceAgent": "source_agent", "sourceFramework": "source_framework",
             "timestamp": iso_millis("timestamp"), "sequence": "sequence", "label": "label"}, True))
-        .unionByName(typed(side_effect_nodes(ev), "side_effect", "timestamp", {
+        .unionByName(typed(side_effect_nodes(ev, group), "side_effect", "timestamp", {
             "effectType": "effect_type", "targetSystem": "target_system", "description": "description",
             "reversible": "reversible", "success": "success", "errorMessage": "error_message"}, True))
         .unionByName(typed(external_system_nodes(ev, owner), "external_system", None, {
@@ -179,12 +187,12 @@ def graph_nodes(ev: DataFrame, owner: str = "tenant_id") -> DataFrame:
 
 
 def graph_edges(ev: DataFrame, include_temporal: bool = True, include_data_flow: bool = True,
-                owner: str = "tenant_id") -> DataFrame:
-    edges = produces_edges(ev, owner).unionByName(causal_edges(ev)).unionByName(delegation_edges(ev))
+                owner: str = "tenant_id", group: tuple[str, ...] = ()) -> DataFrame:
+    edges = produces_edges(ev, owner, group).unionByName(causal_edges(ev, group)).unionByName(delegation_edges(ev, group))
     if include_temporal:
-        edges = edges.unionByName(temporal_edges(ev))
+        edges = edges.unionByName(temporal_edges(ev, group))
     if include_data_flow:
-        edges = edges.unionByName(data_flow_edges(ev))
+        edges = edges.unionByName(data_flow_edges(ev, group=group))
     return edges
 
 

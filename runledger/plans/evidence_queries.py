@@ -114,19 +114,18 @@ _EVENT_LINE = f"""'{{"id":"' || id || '","runId":"' || run_id || '","type":"' ||
    eh AS (SELECT run_id, sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM e2 GROUP BY run_id),
    ln AS (SELECT bid, 'header' AS section, 1 AS n, NULL AS h FROM ok UNION ALL SELECT bid, 'events', n, h FROM ok JOIN eh USING (run_id) UNION ALL SELECT bid, 'timeline.entries', event_count, NULL FROM ok
     UNION ALL SELECT bid, 'timeline.gaps', gap_count, NULL FROM ok WHERE gap_count>0 UNION ALL SELECT bid, 'timeline.summary', 1, NULL FROM ok
-    UNION ALL SELECT bid, 'lineage.nodes', count(*) + count(*) FILTER (WHERE type LIKE 'side_effect.%') + 1 + count(DISTINCT CASE WHEN type LIKE 'side_effect.%' THEN {j('targetSystem')} END), NULL FROM ok JOIN ev USING (run_id) GROUP BY bid
-    UNION ALL SELECT bid, 'lineage.edges', count(*), NULL FROM ok JOIN edges e ON e.run_id=ok.run_id GROUP BY bid
+    UNION ALL SELECT bid, 'lineage.nodes', node_count, NULL FROM ok UNION ALL SELECT bid, 'lineage.edges', edge_count, NULL FROM ok WHERE edge_count>0
     UNION ALL SELECT bid, 'redactionAudit', total_redacted_fields, NULL FROM ok WHERE total_redacted_fields>0)
   SELECT bid AS bundle_id, section, n::BIGINT AS line_count, h AS section_hash FROM ln""", stored=True)
 def _(ev):
-    parts = E.section_hashes(E.export_lines(_bundles(ev), ev)).select("bundle_id", "section", "line_count", "section_hash")
+    parts = E.section_hashes(E.export_lines(_bundles(ev), ev, build_runs(ev))).select("bundle_id", "section", "line_count", "section_hash")
     # Only the text of the event lines is written out in the SQL as well.
     return parts.withColumn("section_hash", F.when(F.col("section") == "events", F.col("section_hash")))
 
 
 @on_events("verify_exports", f"WITH {RUNS_SQL}, {REQUESTS_SQL} SELECT sha256(rq.run_id || '|' || rq.tenant_id || '|2024-06-01T12:00:00.000Z') AS bundle_id, r.tenant_id<>'tenant-1' AS is_valid FROM rq JOIN runs r ON r.id=rq.run_id AND r.tenant_id=rq.tenant_id", stored=True)
 def _(ev):
-    lines = cut_to_table(E.export_lines(_bundles(ev), ev))
+    lines = cut_to_table(E.export_lines(_bundles(ev), ev, build_runs(ev)))
     # Documents of tenant-1 are changed after they were sealed.
     changed = lines.withColumn("line", F.when(
         (F.col("section") == "events") & (F.col("position") == 0), F.replace(F.col("line"), F.lit('"tenantId":"tenant-1"'), F.lit('"tenantId":"x"'))).otherwise(F.col("line")))
@@ -136,7 +135,7 @@ def _(ev):
 @on_events("validate_exports", f"""WITH {RUNS_SQL}, {REQUESTS_SQL}, ok AS (SELECT r.* FROM rq JOIN runs r ON r.id=rq.run_id AND r.tenant_id=rq.tenant_id)
   SELECT id AS run_id, 'header' AS section, 'bundle.status' AS path FROM ok UNION ALL SELECT run_id, 'events', 'type' FROM ev WHERE run_id IN (SELECT id FROM ok) AND type='custom'""", stored=True)
 def _(ev):
-    lines = cut_to_table(E.export_lines(_bundles(ev), ev))
+    lines = cut_to_table(E.export_lines(_bundles(ev), ev, build_runs(ev)))
     odd = F.when(F.col("section") == "header", F.replace(F.col("line"), F.lit('"status":"complete"'), F.lit('"status":"odd"'))).when(
         F.col("section") == "events", F.replace(F.col("line"), F.lit('"type":"custom"'), F.lit('"type":null'))).otherwise(F.col("line"))
     issues = E.validate_exports(lines.withColumn("line", odd))

@@ -96,7 +96,7 @@ def _(ev):
 def _(ev):
     spark, folder, runs = ev.sparkSession, _folder(ev.sparkSession), build_runs(ev)
     bundles = E.assemble_bundles(ev, runs, _requests(runs))
-    lines = E.export_lines(bundles, ev)
+    lines = E.export_lines(bundles, ev, runs)
     named = lines.join(bundles.select(F.col("id").alias("bundle_id"), "created_at"), "bundle_id")
     S.write_export(named, folder, E.export_file_name())
     back = spark.read.text(folder)

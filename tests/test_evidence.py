@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
 from rows import collected, event, frame
 
 from runledger.operators import evidence as E
@@ -32,7 +33,7 @@ def test_bad_requests_and_documents(spark):
     bundles = E.assemble_bundles(ev, runs, requests)
     assert collected(bundles, "status", "error_message") == [
         ("complete", None), ("failed", "Run none not found"), ("failed", "Run r1 does not belong to tenant other")]
-    lines = E.export_lines(bundles, ev)
+    lines = E.export_lines(bundles, ev, runs)
     documents = E.export_documents(lines)
     assert documents.count() == 1
     assert [r["is_valid"] for r in E.verify_exports(lines, documents).collect()] == [True]
@@ -40,6 +41,27 @@ def test_bad_requests_and_documents(spark):
     assert E.validate_exports(lines).count() == 0
 
 
+def test_documents_do_not_depend_on_each_other(spark):
+    """A child run's document is the same alone and beside its parent's, and holds what its header counts."""
+    p = [event(1, "run.start", 0, run="p"), event(2, "tool.call.start", 5, run="p", toolName="t"), event(3, "side_effect.executed", 6, run="p", effectType="w", targetSystem="s"), event(4, "run.end", 9, run="p", status="success")]
+    c = [event(5, "run.start", 3, run="c", parent="e2", parentRunId="p"), event(6, "side_effect.executed", 4, run="c", effectType="w", targetSystem="s"), event(7, "run.end", 8, run="c", status="success")]
+    ev = frame(spark, p + c)
+    runs = build_runs(ev)
+
+    def export(*ids):
+        requests = spark.createDataFrame([(i, "t") for i in ids], "run_id string, tenant_id string").selectExpr("*", "timestamp'2024-06-01 00:00:00' AS created_at")
+        bundles = E.assemble_bundles(ev, runs, requests).cache()
+        lines = E.export_lines(bundles, ev, runs)
+        counts = {(r["run_id"], r["section"]): r["n"] for r in lines.groupBy("run_id", "section").agg(F.count("*").alias("n")).collect()}
+        for r in bundles.collect():
+            assert counts[r["run_id"], "lineage.nodes"] == r["node_count"] and counts[r["run_id"], "lineage.edges"] == r["edge_count"]
+        documents = E.export_documents(lines).join(bundles.select(F.col("id").alias("bundle_id"), "run_id"), "bundle_id")
+        return {r["run_id"]: r["integrity_hash"] for r in documents.collect()}
+
+    both = export("p", "c")
+    assert export("c")["c"] == both["c"] and export("p")["p"] == both["p"]
+
+
 def _edges(spark, pairs):
     rows = [("causal", s, t, f"{s}-{t}") for s, t in pairs]
     return spark.createDataFrame(rows, "edge_type string, source string, target string, edge_id string")
