@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from runledger.session import cut_lineage
 
 SLICE = "slice"
-# Rows of one group that one task sorts without help, and how much finer than an even
-# split the slices are cut, so that bursts inside a group still fit.
+# Rows of one group that one task sorts without help; quantiles to cut a larger one at, and how
+# much finer than needed it is cut, since quantiles are approximate.
 MAX_GROUP_ROWS = 2_000_000
-BURST_FACTOR = 16
+QUANTILES = 1024
+FINER = 4
 # Broadcast bound for the table of large groups (about 60 bytes a row).
 MAX_BROADCAST_ROWS = 500_000
 
@@ -31,27 +32,24 @@ def with_slices(
 ) -> DataFrame:
     """Add `slice` if some group has more than `max_rows` rows, else return `df` as it is.
 
-    One narrow aggregate decides. At most rows/max_rows groups can be large.
+    One narrow aggregate decides. Slices are cut at quantiles of the group's own times, so one odd time
+    or a burst does not fill a slice; rows of equal time stay together.
     """
     micros = F.unix_micros(time)
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi"))
-        .where(F.col("n") > max_rows)
-    )
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max_rows)
     if large.isEmpty():
         return df
-    large = cut_lineage(
-        large.select(
-            *keys,
-            "lo",
-            F.expr(f"greatest(1, (hi - lo) div (ceil(n / {max_rows}) * {BURST_FACTOR}) + 1)").alias("width"),
-        )
-    )
-    if large.count() <= MAX_BROADCAST_ROWS:
+    large = cut_lineage(large)
+    if large.count() <= MAX_BROADCAST_ROWS:  # at most rows/max_rows groups are large
         large = F.broadcast(large)
-    slice_no = F.coalesce(F.expr(f"(unix_micros({time}) - lo) div width"), F.lit(0).cast("bigint"))
-    return df.join(large, keys, "left").withColumn(SLICE, slice_no).drop("lo", "width")
+    cuts = (df.select(*keys, micros.alias("at")).join(large, keys).groupBy(*keys)
+            .agg(F.percentile_approx("at", [i / QUANTILES for i in range(1, QUANTILES)], 20 * QUANTILES).alias("cuts"), F.first("n").alias("n")))
+    step = F.greatest(F.lit(1), F.floor(QUANTILES / (F.ceil(F.col("n") / max_rows) * FINER)))
+    cuts = cut_lineage(cuts.withColumn("step", step).select(*keys, F.array_distinct(F.filter("cuts", lambda _, i: (i + 1) % F.col("step") == 0)).alias("cuts")))
+    if cuts.count() <= MAX_BROADCAST_ROWS // QUANTILES:
+        cuts = F.broadcast(cuts)
+    slice_no = F.coalesce(F.size(F.filter("cuts", lambda c: c < micros)), F.lit(0)).cast("bigint")
+    return df.join(cuts, keys, "left").withColumn(SLICE, F.when(F.col("cuts").isNull(), F.lit(0).cast("bigint")).otherwise(slice_no)).drop("cuts")
 
 
 @dataclass

@@ -322,35 +322,30 @@ def validate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return broken(nodes, "node", "node_id", node_rules).unionByName(broken(edges, "edge", "edge_id", edge_rules))
 
 
-def layer_graph(nodes: DataFrame, edges: DataFrame, max_layers: int = 1000) -> DataFrame:
+def layer_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Layer of each node (longest path from the roots, without temporal edges) and its row in the layer.
 
-    Round k holds the nodes a path of k edges leads to, so the last round a node is in is
-    its layer. A cycle, or a path longer than `max_layers`, is an error.
+    Round k takes the nodes whose last open edge was closed in round k - 1, so every node is in one
+    round. Nodes on a cycle, or behind one, never come up: their layer is null. `integrity_cycles` names them.
     """
 
-    links = cut_lineage(edges.where(F.col("edge_type") != "temporal").select("edge_type", "source", "target").distinct())
-    fed = links.where(F.col("edge_type") != "produces").select(F.col("target").alias("node_id"))
-    steps = links.select("source", "target").distinct()
-    reached = cut_lineage(nodes.select("node_id").join(fed, "node_id", "left_anti"))
-    rounds = None
-    for depth in range(1, max_layers + 2):
-        reached = cut_lineage(
-            reached.join(steps, reached["node_id"] == steps["source"]).select(F.col("target").alias("node_id")).distinct())
-        if reached.isEmpty():
-            break
-        if depth > max_layers:
-            raise ValueError(f"the graph has a cycle or a path of more than {max_layers} edges")
-        here = reached.select("node_id", F.lit(depth).cast("bigint").alias("layer"))
-        rounds = here if rounds is None else rounds.unionByName(here)
+    links = edges.where(F.col("edge_type") != "temporal").select("source", "target").distinct()
+    ids = nodes.select("node_id").distinct()
+    steps = cut_lineage(links.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi"))
+    waiting = cut_lineage(steps.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("open")))
+    layers = cut_lineage(ids.join(waiting, "node_id", "left_anti").withColumn("layer", F.lit(0).cast("bigint")))
+    frontier = layers
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        closed = frontier.join(steps, frontier["node_id"] == steps["source"]).groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("closed"))
+        waiting = cut_lineage(waiting.join(closed, "node_id", "left").select("node_id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        frontier = waiting.where("open = 0").select("node_id", F.lit(depth).cast("bigint").alias("layer"))
+        layers = layers.unionByName(frontier)
+        waiting = waiting.where("open > 0")
     rows = nodes.select(
         "node_id", "node_type", F.coalesce("run_id", "tenant_id").alias("graph_key"),
-        F.when(F.col("node_type") == "event", F.col("timestamp")).alias("timestamp"))
-    if rounds is None:
-        rows = rows.withColumn("layer", F.lit(0).cast("bigint"))
-    else:
-        rows = rows.join(rounds.groupBy("node_id").agg(F.max("layer").alias("layer")), "node_id", "left").withColumn(
-            "layer", F.coalesce("layer", F.lit(0).cast("bigint")))
+        F.when(F.col("node_type") == "event", F.col("timestamp")).alias("timestamp")).join(layers, "node_id", "left")
     group = F.when(F.col("node_type") == "run", 0).when(F.col("node_type") == "external_system", 2).otherwise(1)
     rows = with_slices(rows.withColumn("timestamp", _known_time()), ["graph_key", "layer"], "timestamp")
     if SLICE in rows.columns:

@@ -71,3 +71,12 @@ def test_lists_in_parts(spark):
     for g in {r[0] for r in rows}:
         joined = [n for p in sorted((p for p in parts if p["g"] == g), key=lambda p: p["part"]) for n in p["ns"]]
         assert joined == [r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))]
+
+
+def test_slices_withstand_an_odd_time(spark):
+    """One row of 1970, and a burst, among rows of one key: no slice holds much more than its share."""
+    rows = spark.range(20_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, F.timestamp_seconds(F.lit(0))).when(
+        F.col("id") < 15_000, F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id"))).otherwise(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)).alias("t"))
+    sliced = with_slices(rows, ["k"], "t", 2000).groupBy("slice").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("slice").collect()
+    assert sum(r["n"] for r in sliced) == 20_000 and max(r["n"] for r in sliced) <= 2000
+    assert all(a["hi"] < b["lo"] for a, b in zip(sliced, sliced[1:]))
