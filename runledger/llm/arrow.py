@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from runledger.session import configure
 
-BLOCK = 1 << 18  # bytes looked at together
+BLOCK = 1 << 16  # bytes looked at together
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
