@@ -28,7 +28,7 @@ from runledger.llm.arrow import SPACE_WORDS, add_columns, broadcast_if_small, mi
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
-COUNTERS = 1 << 22
+COUNTERS, STRETCH = 1 << 22, 1 << 10
 LIST = 8192
 FIRST = 2
 ONCE = 32  # rarity of a word that occurs once
@@ -46,20 +46,33 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Rarity of words: 32 times the logarithm of their count, counted in a fixed number of cells."""
+    """Rarity of words: 32 times the logarithm of their count, counted in a fixed number of cells.
 
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
+    Tasks give their counts in stretches of cells, which are added up stretch by stretch.
+    """
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, data, offsets in pieces(batch, "text"):
-                total += np.bincount((words(data, offsets)[0] & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "n"])
-
-    out = np.zeros(COUNTERS, np.int64)
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()  # one number per cell
-    return np.minimum(np.round(32 * np.log2(out + 1)), 1023).astype(np.int16)
+                total += np.bincount((words(data, offsets)[0] & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
+        stretches = total.reshape(-1, STRETCH)
+        for low in range(0, len(stretches), 256):
+            some = np.flatnonzero(stretches[low: low + 256].any(1)) + low
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([stretches[k].tobytes() for k in some], pa.binary())], names=["stretch", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["stretch", "counts"])
+
+    out = np.zeros((COUNTERS // STRETCH, STRETCH), np.int64)
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "stretch int, counts binary").repartition("stretch")
+    for row in parts.mapInArrow(add, "stretch int, counts binary").collect():  # COUNTERS numbers
+        out[row["stretch"]] = np.frombuffer(row["counts"], np.int64)
+    return np.minimum(np.round(32 * np.log2(out.reshape(-1) + 1)), 1023).astype(np.int16)
 
 
 def _ranked(h: np.ndarray, line: np.ndarray, rarity: np.ndarray) -> np.ndarray:
