@@ -8,7 +8,7 @@ most as many bits as the sets in words, do so too. What passes is verified on wh
 (doc_id, line number, hash of the set) is that similar, whether or not that one stays.
 
 Lines with equal sets are one class from the start, so a line that half of all documents share is one
-class. A list of lines with a common prefix word is sorted by place and read in a stream, and each line
+class. A list of lines with a common prefix word is put in order and read in a stream, and each line
 gives its earliest `FIRST` candidates of the list, one of which nearly always settles it. Lines that
 stand after that and had more candidates are compared with all of them. Lists of words with more than
 LIST occurrences are dealt out by line; lines standing in their part are then joined with the other parts.
@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,7 +181,7 @@ def _candidates(key, n, pos, maps, num, den, first):
 
 
 def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
-    """Candidate pairs (a later than b, more) of lists, which come sorted by key and place."""
+    """Candidate pairs (a later than b, more) of lists, which come sorted by key."""
 
     def run(batches):
         held = None
@@ -193,7 +194,7 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
                 done = held.num_rows if held is not None else 0
             if not done:
                 continue
-            part, held = held.slice(0, done), held.slice(done)
+            part, held = _by_place(held.slice(0, done)), held.slice(done)
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
             maps = [column(c).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
             for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), maps, num, den, first):
@@ -205,6 +206,15 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
     return postings.mapInArrow(run, T.StructType([T.StructField("a_doc", doc), T.StructField("a_line", line), T.StructField("b_doc", doc), T.StructField("b_line", line), T.StructField("more", T.BooleanType())]))
 
 
+def _by_place(lists: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of lists, which are together, in order of document and line; null documents first."""
+    doc = lists.column(lists.schema.get_field_index("doc"))
+    if pa.types.is_int64(doc.type):
+        keys = (lists.column(lists.schema.get_field_index("line")).to_numpy(), doc.fill_null(-(2**63)).to_numpy(), lists.column(0).to_numpy())
+        return lists.take(pa.array(np.lexsort(keys)))
+    return lists.take(pc.sort_indices(lists, sort_keys=[(c, "ascending") for c in ("key", "doc", "line")], null_placement="at_start"))
+
+
 def _with_end(batches):
     for batch in batches:
         if batch.num_rows:
@@ -228,7 +238,7 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
     postings = classes.select("doc", "line", "n", "bm0", "bm1", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
     postings = postings.select("doc", "line", "n", "bm0", "bm1", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
-    lists = postings.repartition("key").sortWithinPartitions("key", "doc", "line").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
+    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
     places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
     places = broadcast_if_small(cut_to_table(places))
     named = lambda k: classes.select(F.col("s1").alias(k), F.col("doc").alias(f"{k}_d"), F.col("line").alias(f"{k}_l"))
