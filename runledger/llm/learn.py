@@ -16,22 +16,29 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """At most `most` texts with labels 0 or 1 that are not held out, half of each where there are enough.
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray, float]:
+    """At most `most` texts with labels 0 or 1 that are not held out, a third of the rarer label where there are enough.
+
+    The third value is what to add to log-odds learned on the sample, where label 1 is as common among all labels.
 
     The sample is that of the smallest id hashes, so it is the same in every run. Several labels of one
     id count as their largest; null labels and labels without a document count as none.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, fold)).groupBy(id_col).agg(F.max(label_col).alias("label"))
+    everyone = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for value in (0, 1):
-        some = known.where(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(most // 2)
+        rarer = everyone.get(value, 0) <= everyone.get(1 - value, 0)
+        some = known.where(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(most // 3 if rarer else most - most // 3)
         chosen = some if chosen is None else chosen.union(some)
     chosen = chosen.select(F.col(id_col).alias("l_id"), "label")
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen.l_id)  # at most `most` rows
     rows = rows.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), "label").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["text"]))
-    return [r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.float32)
+    y = np.array([r["label"] for r in rows], np.float32)
+    mixed = len(set(y.tolist())) == 2
+    shift = np.log(everyone[1] / everyone[0]) - np.log(y.sum() / (len(y) - y.sum())) if mixed else 0.0
+    return [r["text"].encode() for r in rows], y, float(shift)
 
 
 class Adam:

@@ -69,7 +69,7 @@ class Network:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sigmoid(self.features(data, offsets) @ self.combine[:3] + self.combine[3])
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 6, batch: int = 256, seed: int = 2) -> Network:
+    def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 6, batch: int = 256, seed: int = 2) -> Network:
         if len(set(y.tolist())) < 2:
             self.combine = np.array([0, 0, 0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
             return self
@@ -85,7 +85,7 @@ class Network:
             for k in range(0, len(order), batch):
                 pick = order[k: k + batch]
                 self._step(np.concatenate([half[first[pick]], half[both[pick]]]), y[row[first[pick]]], adam)
-        self.combine = logistic(self.features(data, offsets), y)
+        self.combine = logistic(self.features(data, offsets), y) + np.array([0.0, 0.0, 0.0, shift])
         return self
 
     def _step(self, half: np.ndarray, y: np.ndarray, adam: Adam) -> None:
@@ -110,12 +110,12 @@ class Network:
         adam.step(grads)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> Network:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """A network fitted on a sample of at most `most` labelled documents that are not held out."""
     return Network().fit(*sample(docs, labels, "quality", folds, fold, most))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
     """`docs` with held_out, score (probability of quality 1) and predicted.
 
     Every whole text is scored, null and empty ones as a chunk of padding. Ids, languages and sources

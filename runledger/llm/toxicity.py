@@ -19,15 +19,15 @@ FOLDS, FOLD = 5, 0
 WINDOW, STRIDE, DIM, HIDDEN, ATTEND = 48, 36, 12, 10, 8
 TRIGRAMS = 1 << 12
 BATCH = 2048
+SEEN, HIDE = 4, 0.2  # documents of the sample that hold a known word; share of words hidden in a training step
 
 
 def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams of words of lower-cased bytes with an edge on both sides: number below TRIGRAMS, and word."""
     at, owner = ranges(starts, ends - starts)
-    body = LOWER[data].astype(np.int64)
-    left = np.where(at > starts[owner], body[np.maximum(at - 1, 0)], 1)
-    right = np.where(at + 1 < ends[owner], body[np.minimum(at + 1, max(len(data) - 1, 0))], 2)
-    return ((left * 31 + body[at]) * 8191 + right * 131) * 2654435761 % (1 << 32) >> 20, owner
+    left = np.where(at > starts[owner], LOWER[data[np.maximum(at - 1, 0)]], 1).astype(np.int64)
+    right = np.where(at + 1 < ends[owner], LOWER[data[np.minimum(at + 1, max(len(data) - 1, 0))]], 2)
+    return ((left * 31 + LOWER[data[at]]) * 8191 + right.astype(np.int64) * 131) * 2654435761 % (1 << 32) >> 20, owner
 
 
 def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ class Network:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sigmoid(self.largest(data, offsets) * self.scale[0] + self.scale[1])
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 5, docs_a_batch: int = 64, seed: int = 4) -> Network:
+    def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 5, docs_a_batch: int = 64, seed: int = 4) -> Network:
         """Each step takes the windows of some documents that look worst so far; at first, that is by single words."""
         if len(set(y.tolist())) < 2:
             self.scale = np.array([0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
@@ -152,20 +152,22 @@ class Network:
         data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         h, starts, ends, rows = words(data, offsets)
         distinct, first, ids = np.unique(h, return_index=True, return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), np.diff(rows))
-        pairs = np.unique(ids.astype(np.int64) * len(texts) + doc)
-        word, of = pairs // len(texts), (pairs % len(texts)).astype(np.int64)
+        starts, ends, ids = starts[first], ends[first], ids.astype(np.int32)
+        del h, first
+        pairs = np.unique(ids.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), np.diff(rows)))
+        word, of = pairs // len(texts), pairs % len(texts)
+        del pairs
         count, toxic = np.bincount(word, minlength=len(distinct)), np.bincount(word, y[of], len(distinct))
         odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((count - toxic + 0.5) / (len(y) - y.sum() + 1))
-        odds = np.where(count >= 3, odds, 0).astype(np.float32)
-        known = count >= 3
+        known = count >= SEEN
+        odds = np.where(known, odds, 0).astype(np.float32)
         self.vocabulary = distinct[known]
         rng = np.random.default_rng(seed)
         table = rng.normal(0, 0.05, (known.sum() + 1, DIM)).astype(np.float32)
         table[:-1, 0] = np.clip(odds[known], -2, 3) / 2
         table[-1] = 0
         self.p["words"] = table
-        gram, owner = trigrams(data, starts[first], ends[first])
+        gram, owner = trigrams(data, starts, ends)
         word_row = self.word_rows(distinct)
         grams_of = np.bincount(owner)[:, None]
         at, n, row = windows(rows)
@@ -192,7 +194,8 @@ class Network:
                 used, local = np.unique(these, return_inverse=True)
                 real = used[used < len(distinct)]
                 grams, owners = _lists_of(real, owner, len(distinct))
-                vectors = self.inputs(word_row[real], gram[grams], owners)
+                shown = np.where(rng.random(len(real)) < HIDE, len(table) - 1, word_row[real])  # so that trigrams have to do as well
+                vectors = self.inputs(shown, gram[grams], owners)
                 local = np.where(these < len(distinct), local.reshape(these.shape), len(real))
                 logit, cache = self.forward(vectors, local, mask, keep=True)
                 d = ((sigmoid(logit) - target) / len(pick)).astype(np.float32)
@@ -200,10 +203,10 @@ class Network:
                 dv = dv[:-1]
                 per_gram = (dv / grams_of[real])[owners]
                 g["chars"] = np.stack([np.bincount(gram[grams], per_gram[:, j], TRIGRAMS) for j in range(DIM)], 1).astype(np.float32)
-                g["words"] = np.stack([np.bincount(word_row[real], dv[:, j], len(table)) for j in range(DIM)], 1).astype(np.float32)
+                g["words"] = np.stack([np.bincount(shown, dv[:, j], len(table)) for j in range(DIM)], 1).astype(np.float32)
                 g["words"][-1] = 0
                 adam.step(g)
-        self.scale = logistic(self.largest(data, offsets)[:, None], y)
+        self.scale = logistic(self.largest(data, offsets)[:, None], y) + np.array([0.0, shift])
         return self
 
 
@@ -213,12 +216,12 @@ def _lists_of(wanted: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
     return ranges(bounds[wanted], bounds[wanted + 1] - bounds[wanted])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> Network:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """A network fitted on a sample of at most `most` labelled documents that are not held out."""
     return Network().fit(*sample(docs, labels, "toxic", folds, fold, most))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
     """`docs` with held_out, score (probability of toxic 1) and predicted.
 
     All windows of every whole text are scored; null texts and texts without words have one empty
