@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,13 +18,13 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray, float]:
-    """At most `most` texts with labels 0 or 1 that are not held out, a third of the rarer label where there are enough.
-
-    The third value is what to add to log-odds learned on the sample, where label 1 is as common among all labels.
+def fit_on_sample(network, docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text"):
+    """`network` fitted on at most `most` texts with labels 0 or 1 that are not held out, a third of the rarer label where there are enough.
 
     The sample is that of the smallest id hashes, so it is the same in every run. Several labels of one
-    id count as their largest; null labels and labels without a document count as none.
+    id count as their largest; null labels and labels without a document count as none. One task holds
+    the sample and trains; the driver gets the weights. Log-odds are shifted to how common the labels are
+    among all that are not held out.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds, fold)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     everyone = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -33,12 +35,20 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold:
         chosen = some if chosen is None else chosen.union(some)
     chosen = chosen.select(F.col(id_col).alias("l_id"), "label")
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen.l_id)  # at most `most` rows
-    rows = rows.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), "label").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    y = np.array([r["label"] for r in rows], np.float32)
-    mixed = len(set(y.tolist())) == 2
-    shift = np.log(everyone[1] / everyone[0]) - np.log(y.sum() / (len(y) - y.sum())) if mixed else 0.0
-    return [r["text"].encode() for r in rows], y, float(shift)
+    rows = rows.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), "label").repartition(1)
+
+    def train(batches):
+        sample = sorted((r["id"], r["text"], r["label"]) for batch in batches for r in batch.to_pylist())
+        y = np.array([label for _, _, label in sample], np.float32)
+        shift = np.log(everyone[1] / everyone[0]) - np.log(y.sum() / (len(y) - y.sum())) if 0 < y.sum() < len(y) else 0.0
+        network.fit([text.encode() for _, text, _ in sample], y, float(shift))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.__dict__)], pa.binary())], names=["weights"])
+
+    fitted = rows.mapInArrow(train, "weights binary").first()
+    if fitted is None:  # no labelled documents
+        return network.fit([], np.zeros(0, np.float32))
+    network.__dict__.update(pickle.loads(fitted["weights"]))
+    return network
 
 
 class Adam:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from runledger.llm.arrow import ranges
-from runledger.llm.learn import Adam, logistic, sample, score_documents, sigmoid
+from runledger.llm.learn import Adam, fit_on_sample, logistic, score_documents, sigmoid
 
 FOLDS, FOLD = 3, 1
 DIM, STRIDE, HALF, FILTERS = 4, 4, 256, 24
@@ -112,7 +112,7 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """A network fitted on a sample of at most `most` labelled documents that are not held out."""
-    return Network().fit(*sample(docs, labels, "quality", folds, fold, most))
+    return fit_on_sample(Network(), docs, labels, "quality", folds, fold, most)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from runledger.llm.arrow import LOWER, ranges, words
-from runledger.llm.learn import Adam, logistic, sample, score_documents, sigmoid
+from runledger.llm.learn import Adam, fit_on_sample, logistic, score_documents, sigmoid
 
 FOLDS, FOLD = 5, 0
 WINDOW, STRIDE, DIM, HIDDEN, ATTEND = 48, 36, 12, 10, 8
@@ -218,7 +218,7 @@ def _lists_of(wanted: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """A network fitted on a sample of at most `most` labelled documents that are not held out."""
-    return Network().fit(*sample(docs, labels, "toxic", folds, fold, most))
+    return fit_on_sample(Network(), docs, labels, "toxic", folds, fold, most)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
