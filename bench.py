@@ -14,6 +14,7 @@ HEADLINE = [
     "event_type_counts", "arrival_disorder", "data_flow_edges", "graph_edges", "graph_summary", "critical_path",
     "redaction_audit", "validate_events", "normalize_openai_codex", "normalize_otel", "anomalies", "compliance_score",
     "build_search_index", "search_rank", "search_batch", "integrity_chain", "assemble_bundles",
+    "layer_graph", "causal_chain", "redact_events", "stream_open_tools",
 ]
 
 
