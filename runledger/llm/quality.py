@@ -71,7 +71,7 @@ class Network:
 
     def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 6, batch: int = 256, seed: int = 2) -> Network:
         if len(set(y.tolist())) < 2:
-            self.combine = np.array([0, 0, 0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+            self.combine = np.array([0, 0, 0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))])
             return self
         data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         half, row = halves(data, offsets)
@@ -119,8 +119,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: i
     """`docs` with held_out, score (probability of quality 1) and predicted.
 
     Every whole text is scored, null and empty ones as a chunk of padding. Ids, languages and sources
-    are not looked at. Without usable labels of both kinds every score is the share of the labels there
-    are. Repeated rows get the same score; an empty table gives no rows. Other columns pass through,
+    are not looked at. Without usable labels of both kinds every score is about the share of the labels there
+    are, a third without any. Repeated rows get the same score; an empty table gives no rows. Other columns pass through,
     those named like a result are replaced.
     """
     return score_documents(docs, train(docs, labels, most, folds, fold), folds, fold)

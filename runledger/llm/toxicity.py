@@ -147,7 +147,7 @@ class Network:
     def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 5, docs_a_batch: int = 64, seed: int = 4) -> Network:
         """Each step takes the windows of some documents that look worst so far; at first, that is by single words."""
         if len(set(y.tolist())) < 2:
-            self.scale = np.array([0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+            self.scale = np.array([0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))])
             return self
         data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         h, starts, ends, rows = words(data, offsets)
@@ -226,7 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, folds:
 
     All windows of every whole text are scored; null texts and texts without words have one empty
     window. Ids, languages and sources are not looked at. Without usable labels of both kinds every
-    score is the share of the labels there are. Repeated rows get the same score; an empty table gives
+    score is about the share of the labels there are, a third without any. Repeated rows get the same score; an empty table gives
     no rows. Other columns pass through, those named like a result are replaced.
     """
     return score_documents(docs, train(docs, labels, most, folds, fold), folds, fold)
