@@ -116,7 +116,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(owner)) - first[owner] + starts[owner], owner
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with at most `limit` bytes of text, or one row."""
     data, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
     row = 0
