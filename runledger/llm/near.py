@@ -1,6 +1,6 @@
 """MinHash near-dedup: a multi-index Hamming join of b-bit signatures.
 
-A document is the set of its two-word shingles. Its signature has 64 MinHash values cut to 16 bits.
+A document is the set of its shingles of `width` words (two in op7, five in the pipeline). Its signature has 64 MinHash values cut to 16 bits.
 It is split into 13 chunks; two signatures that differ in at most 25 values have, by pigeonhole, a
 chunk in which at most one value differs. So each chunk is indexed once per allowed error place, with
 that value left out: 64 keys per document find every pair within the distance. At a Jaccard of 0.8 the
@@ -28,6 +28,7 @@ from runledger.llm.components import components
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
+WIDTH = 2  # words of a shingle
 VALUES, CHUNKS, SKETCH_BITS = 64, 13, 32
 ROW_BITS = 14  # rows of a piece; the other bits of a sort key are the shingle
 CELLS = 1 << 20
@@ -39,17 +40,18 @@ _PLACE = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.ui
 _CHUNK = np.arange(VALUES) * CHUNKS // VALUES
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct two-word shingles of each row, sorted, and the row offsets in them.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of `width` words of each row, sorted, and the row offsets in them.
 
-    A row of one word has that word as its shingle, a row without words none.
+    A row of fewer words has all of them as its shingle, a row without words none.
     """
     h, _, _, at = words(data, offsets)
     n = np.diff(at)
-    count = np.where(n > 1, n - 1, n)
-    first, row = ranges(at[:-1], count)
-    second = np.where(n[row] > 1, np.minimum(first + 1, max(len(h) - 1, 0)), first)
-    s = mix64(h[first] * np.uint64(0x9E3779B97F4A7C15) + np.where(n[row] > 1, h[second], np.uint64(1)))
+    first, row = ranges(at[:-1], np.maximum(n - width + 1, np.minimum(n, 1)))
+    s = h[first]
+    for k in range(1, width):
+        after = h[np.minimum(first + k, max(len(h) - 1, 0))]
+        s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + np.where(n[row] > k, after, np.uint64(1)))
     packed = np.unique((row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (s >> np.uint64(ROW_BITS)))
     cuts = np.searchsorted(packed, np.arange(len(offsets) - 1, dtype=np.uint64) << np.uint64(64 - ROW_BITS))
     return packed & np.uint64((1 << (64 - ROW_BITS)) - 1), np.concatenate([cuts, [len(packed)]])
@@ -85,13 +87,13 @@ def _as_lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """From rows (doc, th, text): doc, th, n, cls and cls2 (hash of the set), sketches, keys. No keys: an empty set."""
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in small_pieces(batch, "text"):
-                sets, at = shingle_sets(data, offsets)
+                sets, at = shingle_sets(data, offsets, width)
                 n = np.diff(at)
                 some = n > 0
                 starts = np.concatenate([at[:-1][some], at[-1:]])
@@ -112,7 +114,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([docs.schema["doc"], *(T.StructField(*f) for f in fields)]))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Sets of the wanted classes, from the text of one document each (cls, doc, th)."""
     wanted = broadcast_if_small(cut_to_table(wanted.select("cls", F.col("doc").alias("w_doc"), F.col("th").alias("w_th"))))
     joined = docs.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).select("cls", "text")
@@ -120,7 +122,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, data, offsets in small_pieces(batch, "text"):
-                sets, at = shingle_sets(data, offsets)
+                sets, at = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), _as_lists(sets, at)], names=["cls", "tokens"])
 
     return joined.mapInArrow(run, "cls long, tokens array<bigint>")
@@ -145,12 +147,12 @@ def _stars(near: DataFrame, num: int, den: int) -> DataFrame:
             .select(F.least("cls", "r").alias("a"), F.greatest("cls", "r").alias("b")).distinct())
 
 
-def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
     """Links between components that share a list of three or more classes."""
     placed = near.where("many > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     split = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
     members = cut_to_table(placed.join(split, "key", "left_semi").select("cls", "root").distinct())
-    sets = cut_to_table(_sets_of(docs, classes.join(members, "cls", "left_semi")).join(members, "cls"))
+    sets = cut_to_table(_sets_of(docs, classes.join(members, "cls", "left_semi"), width).join(members, "cls"))
 
     def count(batches):
         cells = np.zeros(CELLS, np.int64)
@@ -186,12 +188,12 @@ def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     return _linked(cut_to_table(found.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()), sets, num, den)
 
 
-def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """From rows (doc, th, text): doc, th, n, first. first: the smallest doc of the component.
 
     Null ids are never the smallest unless a component has no other. Empty sets are alone.
     """
-    sigs = cut_to_table(scan(docs))
+    sigs = cut_to_table(scan(docs, width))
     full = sigs.where("n > 0")
     classes = cut_to_table(full.groupBy("cls", "cls2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("m")).select("cls", "m.doc", "m.th"))
     chosen = full.join(classes.select(F.col("cls").alias("c"), F.col("doc").alias("d"), F.col("th").alias("t")),
@@ -202,9 +204,9 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     near = cut_to_table(postings.join(lists, "key"))
     stars = cut_to_table(_stars(near, num, den))
     wanted = classes.join(stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct(), "cls", "left_semi")
-    links = cut_to_table(_linked(stars, cut_to_table(_sets_of(docs, wanted)), num, den))
+    links = cut_to_table(_linked(stars, cut_to_table(_sets_of(docs, wanted, width)), num, den))
     roots = components(links)
-    more = cut_to_table(_across(near, roots, classes, docs, num, den))
+    more = cut_to_table(_across(near, roots, classes, docs, num, den, width))
     if more.head(1):
         roots = components(links.union(more))
     own = roots.join(classes, roots.node == classes.cls).groupBy("root").agg(F.min("doc").alias("first"))
@@ -218,23 +220,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
-    Words are runs of other signs than blanks and \\x09-\\x0D, A-Z lower-cased; a text of one word has it
-    as its shingle. Null texts and texts without words are linked with nothing. Repeated rows are in one
+    Words are runs of other signs than blanks and \\x09-\\x0D, A-Z lower-cased; a text of fewer than
+    `width` words has them all as its shingle. Null texts and texts without words are linked with nothing. Repeated rows are in one
     component and all get its id; kept is id = component_id, also where both are null. An empty table
     gives no rows; other columns are not looked at.
     """
     prepare(docs.sparkSession)
-    rows = near_duplicates(_keyed(docs, id_col, text_col), num, den)
+    rows = near_duplicates(_keyed(docs, id_col, text_col), num, den, width)
     return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"), F.col("doc").eqNullSafe(F.col("first")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """`docs` with one document of each component, that of the smallest id. Empty documents all stay."""
     prepare(docs.sparkSession)
-    rows = cut_to_table(near_duplicates(_keyed(docs, id_col, text_col), num, den))
+    rows = cut_to_table(near_duplicates(_keyed(docs, id_col, text_col), num, den, width))
     kept = rows.where((F.col("n") == 0) | F.col("doc").eqNullSafe(F.col("first"))).select(F.col("doc").alias("k_doc"), F.col("th").alias("k_th"), "n")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
     out = packed.join(kept.distinct(), F.col("id").eqNullSafe(F.col("k_doc")) & (F.col("th") == F.col("k_th")))

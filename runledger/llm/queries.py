@@ -173,7 +173,7 @@ FROM x LEFT JOIN c ON list_sort(x.s) = c.s LEFT JOIN g ON c.id = g.id
 
 @query("op7_near_duplicates", NEAR_SQL)
 def op7(spark, sf_dir):
-    return near.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
 
 
 REPEATS_SQL = r"""
