@@ -2,13 +2,13 @@
 
 A text is cut at line ends, and within a paragraph after a third of the words, picked by the hash of
 the word and the one before, so that a change in one place leaves the other parts as they are. Each part is hashed to a wide vector: 128
-lanes of +1 or -1, kept modulo 2**16, and 4 lanes of 64 random bits, kept modulo 2**64. A fingerprint
+lanes of +1 or -1, kept modulo 2**32, and 4 lanes of 64 random bits, kept modulo 2**64. A fingerprint
 is the sum of the vectors of all parts. It does not depend on their order, and parts are put in or
 taken out by adding or subtracting their vectors.
 
 The narrow lanes of a difference have a mean square near the number of parts in which two texts
 differ. So the likeness of two fingerprints is 1 - |x - y|^2 / (|x|^2 + |y|^2): 1 for equal texts,
-near 0 for texts without a common part, with an error of about 0.1.
+near 0 for texts without a common part, with an error of about 0.1. Only equal wide lanes make it 1.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Narrow lanes (int16) and wide lanes (uint64) of each row."""
+    """Narrow lanes (int32) and wide lanes (uint64) of each row."""
     rows = len(offsets) - 1
     narrow, wide = np.zeros((rows, NARROW), np.int64), np.zeros((rows, WIDE), np.uint64)
     h, row = parts(data, offsets)
@@ -57,14 +57,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         narrow[own] += 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int32) - count[:, None]
         for k in range(WIDE):
             wide[own, k] += np.add.reduceat(mix64(x ^ (np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F % 2**64))), starts)
-    return narrow.astype(np.int16), wide
+    return narrow.astype(np.int32), wide
 
 
-def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """0 to 1, from the narrow lanes."""
-    apart = ((x - y).astype(np.float64) ** 2).sum(1)
-    total = (x.astype(np.float64) ** 2).sum(1) + (y.astype(np.float64) ** 2).sum(1)
-    return np.clip(1 - apart / np.maximum(total, 1e-9), 0, 1) * (total > 0) + (total == 0)
+def likeness(x: np.ndarray, y: np.ndarray, wide_x: np.ndarray, wide_y: np.ndarray) -> np.ndarray:
+    """0 to 1, from the narrow lanes; 1 only where the wide lanes are equal."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    apart, total = ((x - y) ** 2).sum(1), (x ** 2).sum(1) + (y ** 2).sum(1)
+    near = np.clip(1 - apart / np.maximum(total, 1e-9), 0, np.nextafter(1, 0)) * (total > 0)
+    return np.where((wide_x == wide_y).all(1), 1.0, near)
 
 
 def as_text(narrow: np.ndarray, wide: np.ndarray) -> list[str]:
@@ -73,13 +74,13 @@ def as_text(narrow: np.ndarray, wide: np.ndarray) -> list[str]:
 
 def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[: 2 * NARROW], np.int16), np.frombuffer(raw[2 * NARROW:], np.uint64)
+    return np.frombuffer(raw[: 4 * NARROW], np.int32), np.frombuffer(raw[4 * NARROW:], np.uint64)
 
 
 def combine(fingerprint: str, other: str, sign: int = 1) -> str:
     """The fingerprint with all parts of another put in (sign 1) or taken out (sign -1)."""
     (a, c), (b, d) = from_text(fingerprint), from_text(other)
-    return as_text((a + np.int16(sign) * b)[None], (c + d if sign > 0 else c - d)[None])[0]
+    return as_text((a + np.int32(sign) * b)[None], (c + d if sign > 0 else c - d)[None])[0]
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([
                 table.column("doc").combine_chunks().take(pa.array(own)), pa.array([len(texts[i]) for i in emit], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(as_text(narrow[own], wide[own])), pa.array(as_text(e_narrow, e_wide)),
-                pa.array(likeness(narrow[own], e_narrow)), pa.array(likeness(narrow[own], narrow[own + 1]))],
+                pa.array(likeness(narrow[own], e_narrow, wide[own], e_wide)), pa.array(likeness(narrow[own], narrow[own + 1], wide[own], wide[own + 1]))],
                 names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
