@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import chat, decontaminate, fingerprints, lines, mixing, near, quality, repeats, toxicity, warc
+from runledger.llm import chat, decontaminate, fingerprints, languages, lines, mixing, near, quality, repeats, toxicity, tries, warc, whitening
 from runledger.llm.arrow import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +234,53 @@ def op3(spark, sf_dir):
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return warc.read_records(archives).select(number("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
                                               F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
+@query("op11_identify_languages")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages.identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+TRIE_SQL = r"""
+WITH k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps
+), t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, token) - 1 AS pos, token, bytes
+  FROM (SELECT conv_id, turn, role, substr(sha256(length(role) || ':' || role || text), 1, 32) || lpad(lower(hex(octet_length(encode(text)))), 16, '0') AS token, octet_length(encode(text)) AS bytes
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), s AS (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id),
+c AS (
+  SELECT s.conv_id, s.conv_id - s.conv_id % 5 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(s.conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: xor(k.steps[(xor(c, b) % 256) + 1], c // 256)), 4294967295) % 9 AS h
+  FROM s CROSS JOIN k
+), d AS (SELECT c.*, least(h, coalesce(b.size, 0)) AS taken FROM c LEFT JOIN s b ON b.conv_id = c.base),
+r AS (
+  SELECT conv_id, pos - h + taken + 1 AS depth, token, bytes FROM t JOIN d USING (conv_id) WHERE pos >= h
+  UNION ALL SELECT d.conv_id, pos + 1, token, bytes FROM d JOIN t ON t.conv_id = d.base AND t.pos < d.h
+  UNION ALL SELECT conv_id, 0, '', 0 FROM d
+), p AS (
+  SELECT conv_id, depth, bytes, sha256(string_agg(token, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM r
+), q AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM p),
+n AS (SELECT depth, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM q GROUP BY depth, key),
+x AS (SELECT up AS key, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+l AS (SELECT n.conv_id FROM n LEFT JOIN x USING (depth, key) WHERE x.n_children IS NULL),
+v AS (SELECT q.conv_id, q.depth, q.key, sum(CASE WHEN n.conv_id = q.conv_id THEN (n_convs - 1) * n.bytes ELSE 0 END) OVER (PARTITION BY q.conv_id ORDER BY q.depth DESC) AS saved
+      FROM q JOIN n USING (depth, key)),
+a AS (SELECT depth, key, sum(saved)::BIGINT AS saved_tokens, count(l.conv_id) AS n_leaves FROM v LEFT JOIN l USING (conv_id) GROUP BY depth, key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(x.n_children, 0) AS n_children, a.n_leaves, a.saved_tokens, n.ends_sha256
+FROM n JOIN a USING (depth, key) LEFT JOIN x USING (depth, key) LEFT JOIN n u ON u.depth = n.depth - 1 AND u.key = n.up
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark, sf_dir):
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_whiten_embeddings")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
