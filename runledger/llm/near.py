@@ -1,6 +1,6 @@
 """MinHash near-dedup: a multi-index Hamming join of b-bit signatures.
 
-A document is the set of its shingles of `width` words (two in op7, five in the pipeline). Its signature has 64 MinHash values cut to 16 bits.
+A document is the set of its shingles of `width` words (five by default; two in op7, as its contract says). Its signature has 64 MinHash values cut to 16 bits.
 It is split into 13 chunks; two signatures that differ in at most 25 values have, by pigeonhole, a
 chunk in which at most one value differs. So each chunk is indexed once per allowed error place, with
 that value left out: 64 keys per document find every pair within the distance. At a Jaccard of 0.8 the
@@ -8,7 +8,8 @@ distance is 12.8 +- 3.2, so a pair of that similarity is beyond 25 about once in
 of 0.85 never. Two low bits of each value make a 128-bit sketch that drops pairs found by chance.
 Links are confirmed on whole sets.
 
-Documents with equal sets are one class. In a list of classes with a common key, each is compared with
+Documents with equal sets are one class. Keys go through one shuffle as (key, class) and are read sorted, in a
+stream that lets pass only keys of several classes, a few in a hundred. In a list of classes with a common key, each is compared with
 three of them (smallest, largest, smallest by hash), not with all. Where a list then still holds several
 components, links between these are looked for exactly: its members are joined by the rarest shingles
 of their sets, with length and positional filters, and only across components. Nothing emits all pairs
@@ -28,9 +29,9 @@ from runledger.llm.components import components
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
-WIDTH = 2  # words of a shingle
+WIDTH = 5  # words of a shingle
 VALUES, CHUNKS, SKETCH_BITS = 64, 13, 32
-ROW_BITS = 14  # rows of a piece; the other bits of a sort key are the shingle
+ROW_BITS = 14  # rows of a piece; the other bits of a sort key are the leading ones of the shingle
 CELLS = 1 << 20
 
 _RNG = np.random.default_rng(7)
@@ -52,9 +53,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
     for k in range(1, width):
         after = h[np.minimum(first + k, max(len(h) - 1, 0))]
         s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + np.where(n[row] > k, after, np.uint64(1)))
-    packed = np.unique((row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (s >> np.uint64(ROW_BITS)))
-    cuts = np.searchsorted(packed, np.arange(len(offsets) - 1, dtype=np.uint64) << np.uint64(64 - ROW_BITS))
-    return packed & np.uint64((1 << (64 - ROW_BITS)) - 1), np.concatenate([cuts, [len(packed)]])
+    packed = (row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (s >> np.uint64(ROW_BITS))
+    order = np.argsort(packed)
+    p, g = packed[order], s[order]
+    alike = p[1:] == p[:-1]
+    if np.any(alike & (g[1:] != g[:-1])):  # equal in the leading bits alone
+        order = np.lexsort((s, row))
+        p, g = packed[order], s[order]
+        alike = p[1:] == p[:-1]
+    fresh = np.concatenate([[True], ~alike | (g[1:] != g[:-1])])[: len(g)]
+    p, g = p[fresh], g[fresh]
+    cuts = np.searchsorted(p, np.arange(len(offsets) - 1, dtype=np.uint64) << np.uint64(64 - ROW_BITS))
+    return g, np.concatenate([cuts, [len(g)]])
 
 
 def small_pieces(batch: pa.RecordBatch, column: str):
@@ -188,6 +198,29 @@ def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     return _linked(cut_to_table(found.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()), sets, num, den)
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """The rows (key, cls) whose key another row has too. They come sorted by key; one row is held from batch to batch."""
+
+    def run(batches):
+        held = None  # the last row so far: key, class, whether it has been given
+        for batch in batches:
+            key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            keep = np.zeros(len(key), bool)
+            same = key[1:] == key[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is not None and held[0] == key[0]:
+                keep[0] = True
+                if not held[2]:
+                    yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["key", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
+            held = int(key[-1]), int(cls[-1]), bool(keep[-1])
+
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, cls long")
+
+
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:
     """From rows (doc, th, text): doc, th, n, first. first: the smallest doc of the component.
 
@@ -195,13 +228,14 @@ def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int
     """
     sigs = cut_to_table(scan(docs, width))
     full = sigs.where("n > 0")
-    classes = cut_to_table(full.groupBy("cls", "cls2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("m")).select("cls", "m.doc", "m.th"))
+    classes = cut_to_table(full.groupBy("cls", "cls2").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th")).alias("m"), *[F.min(c).alias(c) for c in ("n", "bits0", "bits1")])
+                           .select("cls", "m.doc", "m.th", "n", "bits0", "bits1"))
     chosen = full.join(classes.select(F.col("cls").alias("c"), F.col("doc").alias("d"), F.col("th").alias("t")),
                        (F.col("cls") == F.col("c")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    postings = cut_to_table(chosen.select("cls", "n", "bits0", "bits1", F.explode("keys").alias("key")))
-    lists = (postings.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.xxhash64("cls")).alias("mixed"), F.count("*").alias("many"))
+    listed = cut_to_table(_shared(chosen.select(F.explode("keys").alias("key"), "cls")))
+    lists = (listed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min(F.xxhash64("cls")).alias("mixed"), F.count("*").alias("many"))
              .where("low <> high"))
-    near = cut_to_table(postings.join(lists, "key"))
+    near = cut_to_table(listed.join(lists, "key").join(classes.select("cls", "n", "bits0", "bits1"), "cls"))
     stars = cut_to_table(_stars(near, num, den))
     wanted = classes.join(stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct(), "cls", "left_semi")
     links = cut_to_table(_linked(stars, cut_to_table(_sets_of(docs, wanted, width)), num, den))

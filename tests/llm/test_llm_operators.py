@@ -87,9 +87,9 @@ def test_repeats_by_two_hundred(spark):
 
 def test_near_components(spark):
     rows = [*ROWS, ROWS[9], (None, ROWS[11][1]), (None, None)]
-    got = sorted(((r["doc_id"], r["component_id"]) for r in near.near_components(frame(spark, rows, n=1, cls="x")).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near.near_components(frame(spark, rows, n=1, cls="x"), width=2).collect()), key=repr)
     assert got == sorted(zip([k for k, _ in rows], brute.components(rows), strict=True), key=repr)
-    kept = near.drop_near_duplicates(frame(spark, rows, n=1))
+    kept = near.drop_near_duplicates(frame(spark, rows, n=1), width=2)
     assert kept.columns == ["doc_id", "text", "n"]
     want = {k for (k, t), c in zip(rows, brute.components(rows), strict=True) if k == c}
     ids = [r["doc_id"] for r in kept.collect()]
@@ -106,7 +106,7 @@ def test_near_group_without_common_centre(spark):
     base = prose(80)
     rows = list(enumerate(chain + [mutate(base, s) for s in (0.0, 0.03, 0.05, 0.07, 0.09, 0.12) for _ in range(12)]))
     rng.shuffle(rows)
-    got = {r["doc_id"]: r["component_id"] for r in near.near_components(frame(spark, rows)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(frame(spark, rows), width=2).collect()}
     assert got == dict(zip([k for k, _ in rows], brute.components(rows), strict=True))
 
 
