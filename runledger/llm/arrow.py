@@ -1,11 +1,13 @@
 """Helpers of operators that work on Arrow batches: settings, text buffers, words as numbers.
 
-Words are handled as 64-bit hashes of their bytes, made for a whole buffer at once. Two different
-words are mistaken for each other with a chance of 2**-64; results that need bytes compare bytes.
+Words are handled as 64-bit hashes of their bytes, made for a whole buffer at once: those of up to LONG bytes by a
+sum of bytes times powers, longer ones by BLAKE2, since sums modulo 2**64 are alike for some pairs of long words that
+follow a pattern. Two words of a text that nobody made for it are mistaken for each other with a chance of about 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from runledger.session import configure
 
 BLOCK = 1 << 16  # bytes looked at together
+LONG = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -86,18 +89,13 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     while k < len(starts):
         low = starts[k]
         k2 = max(k + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        if ends[k2 - 1] - low > BLOCK:  # one run longer than a block
-            total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
-            for at in range(low, ends[k], BLOCK):
-                part = (data[at: min(at + BLOCK, ends[k])] + np.uint64(1)) * _UP[: min(BLOCK, ends[k] - at)]
-                total += part.sum(dtype=np.uint64) * scale
-                scale *= _UP[BLOCK]
-            out[k] = total[0]
-        else:
+        if ends[k2 - 1] - low <= BLOCK:
             sums = prefix_sums(data[low: ends[k2 - 1]])
             s, e = starts[k:k2] - low, ends[k:k2] - low
             out[k:k2] = (sums[e] - sums[s]) * _DOWN[s]
         k = k2
+    for k in np.flatnonzero(ends - starts > LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]: ends[k]], digest_size=8).digest(), "little")
     return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -142,6 +140,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], build:
     return df.mapInArrow(run, schema)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 300_000) -> DataFrame:
-    """`df`, a stored table, to be sent to every task if it has at most `rows` rows; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 300_000, size: int = 16 << 20) -> DataFrame:
+    """`df`, a stored table, to be sent to every task if it has at most `rows` rows in files of `size` bytes; else it is joined by a shuffle."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if stored <= size and df.count() <= rows else df

@@ -160,7 +160,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
     return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>")
 
 
-def _candidates(key, n, pos, maps, num, den, first):
+def _candidates(key, n, pos, bits, num, den, first):
     """Within runs of one key: (later, earlier, more) for the earliest `first` partners of each that pass the filters."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     begin = np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
@@ -173,7 +173,7 @@ def _candidates(key, n, pos, maps, num, den, first):
         least = (num * total + num + den - 1) // (num + den)  # words in common
         ok = (num * n[a] <= den * n[b]) & (num * n[b] <= den * n[a]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
         a, b, apart = a[ok], b[ok], (total - 2 * least)[ok]
-        ok = np.bitwise_count(maps[0][a] ^ maps[0][b]).astype(np.int64) + np.bitwise_count(maps[1][a] ^ maps[1][b]) <= apart
+        ok = np.bitwise_count(bits[a] ^ bits[b]) <= apart
         a, b = a[ok], b[ok]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         count = np.searchsorted(a, a, "right") - np.searchsorted(a, a)
@@ -196,8 +196,8 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
                 continue
             part, held = _by_place(held.slice(0, done)), held.slice(done)
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
-            maps = [column(c).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
-            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), maps, num, den, first):
+            bits = column("bits").to_numpy().view(np.uint64)
+            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), bits, num, den, first):
                 if len(a):
                     a, b = pa.array(a), pa.array(b)
                     yield pa.RecordBatch.from_arrays([column("doc").take(a), column("line").take(a), column("doc").take(b), column("line").take(b), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
@@ -236,9 +236,10 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     found = _lines(docs, rarity, num, den, limit)
     rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
-    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
-    postings = postings.select("doc", "line", "n", "bm0", "bm1", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
-    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
+    # half the bitmap in postings, which are many: bits of both halves folded differ in as many words at most
+    postings = classes.select("doc", "line", "n", F.col("bm0").bitwiseXOR(F.col("bm1")).alias("bits"), F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
+    postings = postings.select("doc", "line", "n", "bits", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
+    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bits", "doc", "line")
     places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
     places = broadcast_if_small(cut_to_table(places))
     named = lambda k: classes.select(F.col("s1").alias(k), F.col("doc").alias(f"{k}_d"), F.col("line").alias(f"{k}_l"))
