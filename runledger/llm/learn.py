@@ -18,7 +18,7 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit_on_sample(network, docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text"):
+def fit_on_sample(network, docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, most: int, id_col: str = "doc_id", text_col: str = "text", **settings):
     """`network` fitted on at most `most` texts with labels 0 or 1 that are not held out, a third of the rarer label where there are enough.
 
     The sample is that of the smallest id hashes, so it is the same in every run. Several labels of one
@@ -41,7 +41,7 @@ def fit_on_sample(network, docs: DataFrame, labels: DataFrame, label_col: str, f
         sample = sorted((r["id"], r["text"], r["label"]) for batch in batches for r in batch.to_pylist())
         y = np.array([label for _, _, label in sample], np.float32)
         shift = np.log(everyone[1] / everyone[0]) - np.log(y.sum() / (len(y) - y.sum())) if 0 < y.sum() < len(y) else 0.0
-        network.fit([text.encode() for _, text, _ in sample], y, float(shift))
+        network.fit([text.encode() for _, text, _ in sample], y, float(shift), **settings)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.__dict__)], pa.binary())], names=["weights"])
 
     fitted = rows.mapInArrow(train, "weights binary").first()

@@ -17,6 +17,7 @@ from runledger.llm.learn import Adam, fit_on_sample, logistic, score_documents,
 FOLDS, FOLD = 3, 1
 DIM, STRIDE, HALF, FILTERS = 4, 4, 256, 24
 PAD = 256
+DRAWS = 40_000  # chunks of the sample that an epoch of training draws, each document as often as another
 
 
 def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ class Network:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sigmoid(self.features(data, offsets) @ self.combine[:3] + self.combine[3])
 
-    def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 6, batch: int = 256, seed: int = 2) -> Network:
+    def fit(self, texts: list[bytes], y: np.ndarray, shift: float = 0.0, epochs: int = 6, draws: int = DRAWS, batch: int = 256, seed: int = 2) -> Network:
         if len(set(y.tolist())) < 2:
             self.combine = np.array([0, 0, 0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))])
             return self
@@ -81,7 +82,7 @@ class Network:
         rng, adam = np.random.default_rng(seed), Adam(self.p, 0.01)
         for epoch in range(epochs):
             adam.rate = 0.01 * 0.5 ** max(0, epoch - 2)
-            order = rng.choice(len(first), min(len(first), 20_000), p=weight / weight.sum())
+            order = rng.choice(len(first), min(len(first), draws), p=weight / weight.sum())
             for k in range(0, len(order), batch):
                 pick = order[k: k + batch]
                 self._step(np.concatenate([half[first[pick]], half[both[pick]]]), y[row[first[pick]]], adam)
@@ -110,17 +111,19 @@ class Network:
         adam.step(grads)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
-    """A network fitted on a sample of at most `most` labelled documents that are not held out."""
-    return fit_on_sample(Network(), docs, labels, "quality", folds, fold, most)
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD, draws: int = DRAWS) -> Network:
+    """A network fitted on a sample of at most `most` labelled documents that are not held out, `draws` of their chunks an epoch."""
+    return fit_on_sample(Network(), docs, labels, "quality", folds, fold, most, draws=draws)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD, draws: int = DRAWS) -> DataFrame:
     """`docs` with held_out, score (probability of quality 1) and predicted.
 
+    Training is bounded by two parameters: at most `most` labelled documents, and `draws` chunks of them an epoch.
+
     Every whole text is scored, null and empty ones as a chunk of padding. Ids, languages and sources
     are not looked at. Without usable labels of both kinds every score is about the share of the labels there
     are, a third without any. Repeated rows get the same score; an empty table gives no rows. Other columns pass through,
     those named like a result are replaced.
     """
-    return score_documents(docs, train(docs, labels, most, folds, fold), folds, fold)
+    return score_documents(docs, train(docs, labels, most, folds, fold, draws), folds, fold)

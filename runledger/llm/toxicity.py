@@ -3,8 +3,9 @@
 A word's input is a learned vector of the word (words of the training sample; others have none) plus
 the mean of learned vectors of its character trigrams. A window is 48 words and starts every 36 words,
 so windows overlap and cover the whole text. A recurrent layer runs over a window in each direction,
-attention weighs its states, and a linear layer makes a logit. The largest window logit of a document
-becomes its probability by a logistic layer fitted on documents.
+attention weighs its states, and a linear layer makes a logit of their mean and of the largest value of each.
+The largest window logit of a document becomes its probability by a logistic layer fitted on documents.
+Training also sees short toxic texts pasted into clean ones at any place, as a bad passage of a long text looks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ FOLDS, FOLD = 5, 0
 WINDOW, STRIDE, DIM, HIDDEN, ATTEND = 48, 36, 12, 10, 8
 TRIGRAMS = 1 << 12
 BATCH = 2048
-SEEN, HIDE = 4, 0.2  # documents of the sample that hold a known word; share of words hidden in a training step
+STEPS = 150  # training steps at least
+SEEN, HIDE = 3, 0.2  # documents of the sample that hold a known word; share of words hidden in a training step
 
 
 def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +45,7 @@ class Network:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
         normal = lambda s, *shape: rng.normal(0, s, shape).astype(np.float32)
-        self.p = {"chars": normal(0.1, TRIGRAMS, DIM), "attend": normal(0.3, 2 * HIDDEN, ATTEND), "query": normal(0.3, ATTEND), "out": normal(0.3, 2 * HIDDEN), "level": np.zeros(1, np.float32)}
+        self.p = {"chars": normal(0.1, TRIGRAMS, DIM), "attend": normal(0.3, 2 * HIDDEN, ATTEND), "query": normal(0.3, ATTEND), "out": normal(0.3, 2 * HIDDEN), "peak": normal(0.3, 2 * HIDDEN), "level": np.zeros(1, np.float32)}
         for way in "fb":
             self.p |= {f"in_{way}": normal(0.4, DIM, 3 * HIDDEN), f"bias_{way}": np.zeros(3 * HIDDEN, np.float32), f"rec_{way}": normal(0.3, HIDDEN, 3 * HIDDEN)}
         self.vocabulary = np.zeros(0, np.uint64)
@@ -86,13 +88,15 @@ class Network:
         weight = np.exp(energy - energy.max(0)) * mask
         weight = weight / np.maximum(weight.sum(0), 1e-9)
         context = np.einsum("tn,tnh->nh", weight, states)
-        return context @ self.p["out"] + self.p["level"][0], (states, hidden, weight, context, kept)
+        place = np.where(mask[:, :, None] > 0, states, -2).argmax(0)
+        peak = np.take_along_axis(states, place[None], 0)[0]
+        return context @ self.p["out"] + peak @ self.p["peak"] + self.p["level"][0], (states, hidden, weight, context, place, peak, kept)
 
     def backward(self, vectors, ids, mask, cache, d):
         """Gradients of the parameters and of the input vectors."""
-        states, hidden, weight, context, kept = cache
+        states, hidden, weight, context, place, peak, kept = cache
         steps, n = ids.shape
-        g = {"out": context.T @ d, "level": np.array([d.sum()], np.float32)}
+        g = {"out": context.T @ d, "peak": peak.T @ d, "level": np.array([d.sum()], np.float32)}
         dc = d[:, None] * self.p["out"]
         ds = weight[:, :, None] * dc
         dw = np.einsum("tnh,nh->tn", states, dc)
@@ -101,6 +105,7 @@ class Network:
         dh = de[:, :, None] * self.p["query"] * (1 - hidden**2)
         g["attend"] = states.reshape(-1, 2 * HIDDEN).T @ dh.reshape(-1, ATTEND)
         ds = ds + (dh.reshape(-1, ATTEND) @ self.p["attend"].T).reshape(states.shape)
+        ds[place, np.arange(n)[:, None], np.arange(2 * HIDDEN)] += d[:, None] * self.p["peak"]
         dv = np.zeros_like(vectors)
         for way, order, half in (("f", range(steps - 1, -1, -1), slice(0, HIDDEN)), ("b", range(steps), slice(HIDDEN, 2 * HIDDEN))):
             rec = self.p[f"rec_{way}"]
@@ -176,9 +181,10 @@ class Network:
         suspicion = sums[at + n] - sums[at]
         of_doc = np.searchsorted(row, np.arange(len(texts) + 1))
         adam = Adam(self.p, 0.01)
-        for epoch in range(epochs):
-            adam.rate = 0.01 * 0.5 ** max(0, epoch - 1)
-            if epoch >= 2:
+        rounds = max(epochs, -(-STEPS * docs_a_batch // len(texts)))  # small samples are gone through more often
+        for epoch in range(rounds):
+            adam.rate = 0.01 * 0.5 ** max(0, epochs * epoch // rounds - 1)
+            if epochs * epoch // rounds >= 2:
                 suspicion = self.window_logits(data, offsets)[0]
             order = rng.permutation(len(texts))
             for k in range(0, len(order), docs_a_batch):
@@ -189,8 +195,10 @@ class Network:
                     pick += [*worst, *([] if y[i] else rng.choice(own, 1))]
                 pick = np.unique(pick)
                 target = y[row[pick]]
-                mask = (np.arange(WINDOW)[:, None] < n[pick]).astype(np.float32)
-                these = np.where(mask > 0, padded[np.minimum(at[pick] + np.arange(WINDOW)[:, None], len(padded) - 1)], len(distinct))
+                inside = np.arange(WINDOW)[:, None] < n[pick]
+                these = np.where(inside, padded[np.minimum(at[pick] + np.arange(WINDOW)[:, None], len(padded) - 1)], len(distinct))
+                these, target = pasted(these, n[pick], target, len(distinct), rng)
+                mask = (these < len(distinct)).astype(np.float32)
                 used, local = np.unique(these, return_inverse=True)
                 real = used[used < len(distinct)]
                 grams, owners = _lists_of(real, owner, len(distinct))
@@ -198,7 +206,7 @@ class Network:
                 vectors = self.inputs(shown, gram[grams], owners)
                 local = np.where(these < len(distinct), local.reshape(these.shape), len(real))
                 logit, cache = self.forward(vectors, local, mask, keep=True)
-                d = ((sigmoid(logit) - target) / len(pick)).astype(np.float32)
+                d = ((sigmoid(logit) - target) / len(target)).astype(np.float32)
                 g, dv = self.backward(vectors, local, mask, cache, d)
                 dv = dv[:-1]
                 per_gram = (dv / grams_of[real])[owners]
@@ -210,18 +218,34 @@ class Network:
         return self
 
 
+def pasted(these: np.ndarray, n: np.ndarray, target: np.ndarray, padding: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (as columns of word ids) and labels, with more of both kinds: every toxic text of at most half a window at a
+    random place among words of clean windows, and these words alone."""
+    short, clean = np.flatnonzero((target > 0) & (n > 0) & (n <= WINDOW // 2)), np.flatnonzero((target == 0) & (n > 0))
+    if not len(short) or not len(clean):
+        return these, target
+    made = np.full((WINDOW, 2 * len(short)), padding, these.dtype)
+    for j, k in enumerate(short):
+        around = np.concatenate([these[: n[c], c] for c in rng.choice(clean, WINDOW)])[:WINDOW]
+        length = rng.integers(n[k], WINDOW + 1)
+        place = rng.integers(0, length - n[k] + 1)
+        made[:length, 2 * j] = np.concatenate([around[:place], these[: n[k], k], around[place: length - n[k]]])
+        made[:length, 2 * j + 1] = around[:length]
+    return np.concatenate([these, made], 1), np.concatenate([target, np.tile([1, 0], len(short)).astype(target.dtype)])
+
+
 def _lists_of(wanted: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in `owner` (sorted) of the wanted owners, and the number of the wanted owner."""
     bounds = np.searchsorted(owner, np.arange(n + 1))
     return ranges(bounds[wanted], bounds[wanted + 1] - bounds[wanted])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> Network:
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> Network:
     """A network fitted on a sample of at most `most` labelled documents that are not held out."""
     return fit_on_sample(Network(), docs, labels, "toxic", folds, fold, most)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, folds: int = FOLDS, fold: int = FOLD) -> DataFrame:
     """`docs` with held_out, score (probability of toxic 1) and predicted.
 
     All windows of every whole text are scored; null texts and texts without words have one empty

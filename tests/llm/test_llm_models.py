@@ -16,7 +16,7 @@ SF = f"{BASE}/sf0.1"
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
-@pytest.mark.parametrize(("name", "label", "folds", "fold", "least"), [("op4_score_toxicity", "toxic", 5, 0, 0.85), ("op5_score_quality", "quality", 3, 1, 0.93)])
+@pytest.mark.parametrize(("name", "label", "folds", "fold", "least"), [("op4_score_toxicity", "toxic", 5, 0, 0.97), ("op5_score_quality", "quality", 3, 1, 0.96)])
 def test_held_out_accuracy(spark, name, label, folds, fold, least):
     rows = QUERIES[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     for r in rows:
@@ -45,7 +45,7 @@ def test_toxicity_gradients():
 
     logit, cache = net.forward(vectors, ids, mask, keep=True)
     grads, dv = net.backward(vectors, ids, mask, cache, 1 / (1 + np.exp(-logit)) - y)
-    for name in ("out", "query", "attend", "in_f", "rec_f", "bias_b", "rec_b"):
+    for name in ("out", "peak", "query", "attend", "in_f", "rec_f", "bias_b", "rec_b"):
         flat = net.p[name].reshape(-1)
         for k in rng.integers(0, len(flat), 4):
             old = flat[k]
@@ -62,10 +62,11 @@ def test_toxicity_gradients():
     assert dv[2, 3] == pytest.approx((up - loss()) / 2e-3, abs=2e-3)
 
 
-def test_every_window_counts():
+@pytest.mark.parametrize("seed", [3, 4, 5, 6])
+def test_every_window_counts(seed):
     """A long text with one bad passage near its end scores like the passage."""
     good, bad = [b"calm words in a row here"] * 60, [b"calm words vile nasty here"] * 60
-    net = toxicity.Network().fit(good + bad, np.array([0] * 60 + [1] * 60, np.float32), epochs=6)
+    net = toxicity.Network(seed).fit(good + bad, np.array([0] * 60 + [1] * 60, np.float32), epochs=6)
     raw = b"calm words in a row here " * 400 + b"calm words vile nasty here " + b"calm words in a row here " * 7
     score = net(np.frombuffer(raw + good[0], np.uint8), np.array([0, len(raw), len(raw) + len(good[0])]))
     assert score[0] > 0.5 > score[1]
