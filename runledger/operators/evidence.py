@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.ordered import SLICE, position, scan
 from runledger.functions.payload import canonical_json, fields, iso_millis
+from runledger.messages import text
 from runledger.operators.lineage import data_flow_edges, graph_edges, graph_nodes
 from runledger.operators.redact import redaction_hits
 from runledger.operators.runs import page_size
@@ -198,8 +199,8 @@ def assemble_bundles(ev: DataFrame, runs: DataFrame, requests: DataFrame, chain:
         out = out.join(part, "run_id", "left")
     meta = F.col("run_metadata")
     problem = (
-        F.when(meta.isNull(), F.concat(F.lit("Run "), "run_id", F.lit(" not found")))
-        .when(meta["tenantId"] != F.col("tenant_id"), F.concat(F.lit("Run "), "run_id", F.lit(" does not belong to tenant "), "tenant_id"))
+        F.when(meta.isNull(), text("run_unknown"))
+        .when(meta["tenantId"] != F.col("tenant_id"), text("run_of_other_tenant"))
     )
     out = out.withColumn("error_message", problem)
     good = F.col("error_message").isNull()
@@ -209,8 +210,8 @@ def assemble_bundles(ev: DataFrame, runs: DataFrame, requests: DataFrame, chain:
     def count(name: str) -> Column:
         return F.when(good, F.coalesce(name, zero)).otherwise(zero).alias(name)
 
-    note = F.concat(F.lit("Run "), "run_id", F.lit(" was still in progress (status: running) at assembly time "), iso_millis("created_at"))
-    return out.select(
+    note = text("run_unfinished")
+    return out.withColumn("made_at", iso_millis("created_at")).select(
         F.sha2(F.concat_ws("|", "run_id", "tenant_id", iso_millis("created_at")), 256).alias("id"), "run_id", "tenant_id",
         F.when(good, "complete").otherwise("failed").alias("status"), "created_at",
         F.when(good, F.col("created_at")).alias("completed_at"), F.when(good, meta).alias("run_metadata"),

@@ -7,6 +7,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.messages import text
 from runledger.operators.timeline import ancestor_hops
 from runledger.session import cut_lineage
 
@@ -159,34 +160,28 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return chain.join(ends.withColumnRenamed("node_id", "start_id"), "start_id").select("run_id", "position", "node_id")
 
 
-def _issue(kind: str, message: Column, nodes: list[str], edges: list[str]) -> list[Column]:
+def _issue(kind: str, nodes: list[str], edges: list[str]) -> list[Column]:
     def ids(names: list[str]) -> Column:
         return F.array(*[F.col(n) for n in names]) if names else F.array().cast("array<string>")
 
-    return [F.lit(kind).alias("issue_type"), message.alias("message"),
+    return [F.lit(kind).alias("issue_type"), text(kind).alias("message"),
             ids(nodes).alias("related_node_ids"), ids(edges).alias("related_edge_ids")]
 
 
-def _say(*parts: str) -> Column:
-    """Text with `{column}` parts filled in."""
-    return F.concat(*[F.col(p[1:-1]) if p.startswith("{") else F.lit(p) for p in parts])
-
-
 def integrity_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose source or target does not exist."""
     known = nodes.select("node_id")
 
     def side(end: str) -> DataFrame:
         return edges.join(known.withColumnRenamed("node_id", end), end, "left_anti").select(*_issue(
-            f"dangling_edge_{end}",
-            _say("Edge ", "{edge_id}", f" has {end} ", f"{{{end}}}", " which does not exist in graph"), [end], ["edge_id"]))
+            f"dangling_edge_{end}", [end], ["edge_id"]))
 
     return side("source").unionByName(side("target"))
 
 
 def integrity_self_loop(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("source") == F.col("target")).select(*_issue(
-        "self_loop", _say("Edge ", "{edge_id}", " is a self-loop on node ", "{source}"), ["source"], ["edge_id"]))
+        "self_loop", ["source"], ["edge_id"]))
 
 
 def integrity_duplicate(edges: DataFrame) -> DataFrame:
@@ -197,8 +192,7 @@ def integrity_duplicate(edges: DataFrame) -> DataFrame:
     keys = ["edge_type", "source", "target"]
     copied = edges.groupBy(*keys).agg(F.min("edge_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return edges.join(copied, keys).where(F.col("edge_id") != F.col("first_id")).select(*_issue(
-        "duplicate_edge", _say("Duplicate ", "{edge_type}", " edge from ", "{source}", " to ", "{target}"),
-        ["source", "target"], ["edge_id"]))
+        "duplicate_edge", ["source", "target"], ["edge_id"]))
 
 
 def integrity_missing_run(nodes: DataFrame) -> DataFrame:
@@ -206,15 +200,14 @@ def integrity_missing_run(nodes: DataFrame) -> DataFrame:
     runs = nodes.where(F.col("node_type") == "run").select("run_id")
     events = nodes.where((F.col("node_type") == "event") & F.col("run_id").isNotNull())
     return events.join(runs, "run_id", "left_anti").select(*_issue(
-        "missing_run_node",
-        _say("Event node ", "{node_id}", " references run ", "{run_id}", " but no run node exists"), ["node_id"], []))
+        "missing_run_node", ["node_id"], []))
 
 
 def integrity_orphan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Event and side-effect nodes without any edge."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
     return nodes.where(~F.col("node_type").isin("run", "external_system")).join(ends, "node_id", "left_anti").select(
-        *_issue("orphan_node", _say("Node ", "{node_id}", " has no edges"), ["node_id"], []))
+        *_issue("orphan_node", ["node_id"], []))
 
 
 def causal_cycles(edges: DataFrame) -> DataFrame:
@@ -240,7 +233,7 @@ def causal_cycles(edges: DataFrame) -> DataFrame:
 def integrity_cycles(edges: DataFrame) -> DataFrame:
     """One row per node of a causal cycle; `message` names the cycle by its smallest node."""
     return causal_cycles(edges).select(*_issue(
-        "cycle_detected", _say("Causal cycle detected involving nodes: ", "{cycle_id}"), ["node_id"], []))
+        "cycle_detected", ["node_id"], []))
 
 
 def graph_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:

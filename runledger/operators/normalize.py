@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.payload import iso_millis
+from runledger.messages import TEXTS
+from runledger.messages import text as message_text
 from runledger.operators.otlp import whole_millis
 from runledger.operators.validate import validate_events
 from runledger.schemas import SCHEMA_VERSION, WIRE_EVENT_DDL
@@ -453,7 +455,7 @@ def _span_payloads() -> dict[str, Column]:
                             "configuration": F.when(F.to_json(config) != "{}", config)}),
         "run.end": _json({"status": F.when(F.col("s_failed"), "failure").otherwise("success"),
                           "durationMs": F.col("s_ms"), "summary": F.col("s_description")}),
-        "run.error": _json({"errorType": F.lit("SpanError"), "errorMessage": message("OTel span ended with ERROR status"),
+        "run.error": _json({"errorType": F.lit("SpanError"), "errorMessage": message(TEXTS["span_failed"]),
                             "stackTrace": F.col("s_stack"), "fatal": F.lit(False)}),
         "model.request": _json(model | {"temperature": number_field(attrs, "gen_ai.request.temperature")}),
         "model.response": _json(model | {
@@ -463,7 +465,7 @@ def _span_payloads() -> dict[str, Column]:
         "tool.call.end": _json(tool | {"output": present_field(attrs, "gen_ai.tool.output", "tool.output"),
                                        "durationMs": F.col("s_ms"), "success": ~F.col("s_failed")}),
         "tool.call.error": _json(tool | {"errorType": F.lit("ToolCallError"),
-                                         "errorMessage": message("OTel tool span ended with ERROR status")}),
+                                         "errorMessage": message(TEXTS["tool_span_failed"])}),
         "annotation": _json({"key": F.lit("otel.span"), "value": F.struct(
             name.alias("name"), top["kind"].alias("kind"), attributes.alias("attributes")),
             "annotatedBy": F.lit("opentelemetry")}),
@@ -510,15 +512,15 @@ def _results(routed: DataFrame, vendors: list[Vendor], otel: bool = False, canon
     follow = F.col("step") != "start"
 
     titles = {v.vendor_id: v.title for v in vendors}
-    reasons = {v: F.when(F.col("x_kind") == "", F.lit(f'Missing "type" field in {t} trace event')).when(
-        F.col("mapped").isNull(), F.concat(F.lit(f"Unsupported {t} trace type: "), "x_kind")) for v, t in titles.items()}
+    reasons = {v: F.when(F.col("x_kind") == "", message_text("type_missing", title=t)).when(
+        F.col("mapped").isNull(), message_text("type_unknown", title=t)) for v, t in titles.items()}
     payloads = {v.vendor_id: _cases(F.col("mapped"), {
         t: _json({n: _value(spec, F.col("x_data"), F.col("x_agent")) for n, spec in fields.items()})
         for t, fields in v.payloads.items()}) for v in vendors}
     metas = {v: _vendor_meta() for v in titles}
     tags = {v: F.array(F.lit(v)) for v in titles}
     if otel:
-        reasons[OTEL] = F.when(F.col("x_kind").isNull(), F.lit('Missing "name" field in OTel span data'))
+        reasons[OTEL] = F.when(F.col("x_kind").isNull(), message_text("name_missing"))
         payloads[OTEL] = _cases(F.col("mapped"), _span_payloads())
         metas[OTEL] = _span_meta()
         tags[OTEL] = F.array_compact(F.array(
@@ -526,11 +528,12 @@ def _results(routed: DataFrame, vendors: list[Vendor], otel: bool = False, canon
             F.when(F.col("s_class") == "annotation", "unmapped")))
     if canonical:
         problems = F.array_join(F.transform(w["issues"], lambda i: F.concat_ws(": ", i["path"], i["code"])), "; ")
-        reasons[CANONICAL] = F.when(~w["is_valid"], F.concat(F.lit("Passthrough validation failed: "), problems))
+        rows = rows.withColumn("problems", problems)
+        reasons[CANONICAL] = F.when(~w["is_valid"], message_text("event_invalid"))
         payloads[CANONICAL] = w["payload"]
         metas[CANONICAL] = F.coalesce(w["rawMeta"], _json({"normalizedBy": F.lit(CANONICAL), "receivedAt": iso_millis("received_at")}))
         tags[CANONICAL] = w["tags"]
-    no_adapter = F.concat(F.lit('No adapter found for vendor "'), F.coalesce("vendor", F.lit("")), F.lit('"'))
+    no_adapter = F.when(F.col("vendor").isNull(), message_text("adapter_missing", vendor="")).otherwise(message_text("adapter_missing"))
     typed = F.when(adapter == CANONICAL, w["type"]).otherwise(F.col("mapped")) if canonical else F.col("mapped")
     untyped = F.when(typed.isNull(), F.lit("No event type found"))  # an event without a type is never a success
     rows = rows.withColumn("reason", F.coalesce(_cases(adapter, reasons, no_adapter), untyped))
@@ -658,9 +661,12 @@ def dead_letters(results: DataFrame) -> DataFrame:
         F.col("received_at").alias("failed_at"))
 
 
-def normalization_stats(results: DataFrame) -> DataFrame:
-    """Raw events processed, succeeded, failed and sent to the dead letters."""
+def stats_columns() -> list[Column]:
+    """Raw events processed, succeeded, failed and sent to the dead letters, as aggregates over results; `observe` takes them too."""
     first = F.col("step") == "start"
     failed = F.count_if(first & (F.col("status") == "error"))
-    return results.agg(F.count_if(first).alias("processed"), F.count_if(first & (F.col("status") == "success")).alias("succeeded"),
-                       failed.alias("failed"), failed.alias("dead_lettered"))
+    return [F.count_if(first).alias("processed"), F.count_if(first & (F.col("status") == "success")).alias("succeeded"), failed.alias("failed"), failed.alias("dead_lettered")]
+
+
+def normalization_stats(results: DataFrame) -> DataFrame:
+    return results.agg(*stats_columns())

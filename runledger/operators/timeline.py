@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from runledger.functions.ordered import SLICE, following, lists, max_before, position, scan
 from runledger.functions.payload import fields, millis_between
+from runledger.messages import text
 from runledger.schemas import ERROR_TYPES, EVENT_TYPES, TOOL_TYPES
 from runledger.session import cut_lineage
 
 LAST_SEQUENCE = 2_147_483_647
+SKETCH = 12  # 4,096 registers a sketch
 
 
 def timeline_order() -> list[Column]:
@@ -60,10 +62,9 @@ def tool_durations(calls: DataFrame) -> DataFrame:
     return calls.where(closed & (ms >= 0)).select("run_id", "id", "tool_key", ms.alias("duration_ms"))
 
 
-def _gap(kind: str, message: Column | str, related: Column, index: Column) -> list[Column]:
-    text = F.lit(message) if isinstance(message, str) else message
+def _gap(kind: str, related: Column, index: Column) -> list[Column]:
     return [
-        F.col("run_id"), F.lit(kind).alias("gap_type"), text.alias("message"),
+        F.col("run_id"), F.lit(kind).alias("gap_type"), text(kind).alias("message"),
         related.alias("related_event_ids"), index.cast("bigint").alias("detected_at_index"),
     ]
 
@@ -82,28 +83,24 @@ def _run_ends(tl: DataFrame) -> DataFrame:
 
 def gap_missing_run_start(tl: DataFrame) -> DataFrame:
     return _run_ends(tl).where(~F.col("has_start")).select(
-        *_gap("missing_run_start", "No run.start event found in the timeline.", _no_ids(), F.lit(0)))
+        *_gap("missing_run_start", _no_ids(), F.lit(0)))
 
 
 def gap_missing_run_end(tl: DataFrame) -> DataFrame:
     return _run_ends(tl).where(~F.col("has_end")).select(
-        *_gap("missing_run_end",
-              "No run.end event found — the run may still be in progress or telemetry was lost.",
-              _no_ids(), F.col("last_idx")))
+        *_gap("missing_run_end", _no_ids(), F.col("last_idx")))
 
 
 def gap_unclosed_tool(calls: DataFrame) -> DataFrame:
     """A start that is the last event of its run and key."""
-    message = F.concat(F.lit('Tool call "'), "tool_key", F.lit('" was started but never completed or errored.'))
     return calls.where((F.col("type") == "tool.call.start") & F.col("next_event").isNull()).select(
-        *_gap("unclosed_tool_call", message, F.array("id"), F.col("idx")))
+        *_gap("unclosed_tool_call", F.array("id"), F.col("idx")))
 
 
 def gap_orphan_tool_end(calls: DataFrame) -> DataFrame:
     """An end with no earlier start of its run and key."""
-    message = F.concat(F.lit('Tool call end for "'), "tool_key", F.lit('" has no matching start event.'))
     orphan = (F.col("type") == "tool.call.end") & (F.coalesce("started", F.lit(0)) == 0)
-    return calls.where(orphan).select(*_gap("orphan_tool_end", message, F.array("id"), F.col("idx")))
+    return calls.where(orphan).select(*_gap("orphan_tool_end", F.array("id"), F.col("idx")))
 
 
 def gap_unclosed_approval(tl: DataFrame) -> DataFrame:
@@ -117,8 +114,7 @@ def gap_unclosed_approval(tl: DataFrame) -> DataFrame:
     still_open = requests.join(decided, ["run_id", "id"], "left").where(
         F.col("decided_idx").isNull() | (F.col("decided_idx") <= F.col("idx")))
     return still_open.select(
-        *_gap("unclosed_approval", "Approval was requested but no granted or denied event was found.",
-              F.array("id"), F.col("idx")))
+        *_gap("unclosed_approval", F.array("id"), F.col("idx")))
 
 
 def timeline_gaps(tl: DataFrame) -> DataFrame:
@@ -127,11 +123,11 @@ def timeline_gaps(tl: DataFrame) -> DataFrame:
     ends = _run_ends(tl).withColumn("gap", F.explode(F.array_compact(F.array(
         F.when(~F.col("has_start"), F.struct(
             F.lit("missing_run_start").alias("kind"),
-            F.lit("No run.start event found in the timeline.").alias("message"),
+            text("missing_run_start").alias("message"),
             F.lit(0).cast("bigint").alias("idx"))),
         F.when(~F.col("has_end"), F.struct(
             F.lit("missing_run_end").alias("kind"),
-            F.lit("No run.end event found — the run may still be in progress or telemetry was lost.").alias("message"),
+            text("missing_run_end").alias("message"),
             F.col("last_idx").alias("idx"))),
     )))).select("run_id", F.col("gap.kind").alias("gap_type"), F.col("gap.message").alias("message"),
                 _no_ids().alias("related_event_ids"), F.col("gap.idx").alias("detected_at_index"))
@@ -140,9 +136,7 @@ def timeline_gaps(tl: DataFrame) -> DataFrame:
     tools = calls.where(starts | orphans).select(
         "run_id",
         F.when(starts, "unclosed_tool_call").otherwise("orphan_tool_end").alias("gap_type"),
-        F.when(starts, F.concat(F.lit('Tool call "'), "tool_key", F.lit('" was started but never completed or errored.')))
-        .otherwise(F.concat(F.lit('Tool call end for "'), "tool_key", F.lit('" has no matching start event.')))
-        .alias("message"),
+        F.when(starts, text("unclosed_tool_call")).otherwise(text("orphan_tool_end")).alias("message"),
         F.array("id").alias("related_event_ids"), F.col("idx").alias("detected_at_index"))
     return ends.unionByName(tools).unionByName(gap_unclosed_approval(tl))
 
@@ -159,8 +153,25 @@ def gaps_by_index(gaps: DataFrame) -> DataFrame:
         F.count("*").alias("gap_count"), F.array_sort(F.collect_list("gap_type")).alias("gap_types"))
 
 
-def run_summary(tl: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """One row per run, as the head of a replay view."""
+def tool_sketches(tl: DataFrame, keys: list[str] | None = None, precision: int = SKETCH) -> DataFrame:
+    """One HyperLogLog sketch of the tools started per run, or per other `keys` such as run and batch; kept, they merge later."""
+    started = tl.where(F.col("type") == "tool.call.start")
+    # a start without a tool name counts as one more tool
+    return started.groupBy(*(keys or ["run_id"])).agg(F.hll_sketch_agg(F.coalesce(F.concat(F.lit("t:"), "tool_name"), F.lit("none")), precision).alias("tools"))
+
+
+def merge_tool_sketches(sketches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sketches of slices or batches as one per run, and the estimated number of tools."""
+    merged = sketches.groupBy(*(keys or ["run_id"])).agg(F.hll_union_agg("tools").alias("tools"))
+    return merged.withColumn("tool_count", F.hll_sketch_estimate("tools"))
+
+
+def run_summary(tl: DataFrame, gaps: DataFrame | None = None, approx: bool = False) -> DataFrame:
+    """One row per run, as the head of a replay view.
+
+    With `approx`, tools are counted by sketches: one aggregate instead of two with all names shuffled, for an error of about
+    1.6 % (one standard deviation); counts of a few hundred are nearly always exact.
+    """
     is_end = F.col("type") == "run.end"
     per_run = tl.groupBy("run_id").agg(
         F.min_by("tenant_id", "idx").alias("tenant_id"),
@@ -174,6 +185,8 @@ def run_summary(tl: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
         tl.where(F.col("type") == "tool.call.start").select("run_id", "tool_name").distinct()
         .groupBy("run_id").agg(F.count("*").alias("tool_count"))
     )
+    if approx:
+        tools = merge_tool_sketches(tool_sketches(tl)).select("run_id", "tool_count")
     with_gaps = (timeline_gaps(tl) if gaps is None else gaps).groupBy("run_id").agg(F.count("*").alias("gap_count"))
     zero = F.lit(0).cast("bigint")
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runledger.messages import sql
 from runledger.operators import graph as G
 from runledger.operators import lineage as L
 from runledger.plans.lineage_queries import EDGES_SQL, GRAPH_SQL, j
@@ -135,14 +136,14 @@ BROKEN_SQL = f"""{GRAPH_SQL}, bn AS (SELECT * FROM nodes WHERE node_id NOT IN (S
  be AS (SELECT edge_id, edge_type, source, target FROM edges WHERE edge_type<>'temporal'
   UNION ALL SELECT edge_id || '+copy', edge_type, source, target FROM edges WHERE edge_type='data_flow'
   UNION ALL SELECT edge_id || '+loop', edge_type, source, source FROM edges WHERE edge_type='delegation'),
- i1 AS (SELECT 'dangling_edge_source' AS issue_type, 'Edge ' || edge_id || ' has source ' || source || ' which does not exist in graph' AS message, source AS node_ids, edge_id AS edge_ids FROM be WHERE source NOT IN (SELECT node_id FROM bn)
-  UNION ALL SELECT 'dangling_edge_target', 'Edge ' || edge_id || ' has target ' || target || ' which does not exist in graph', target, edge_id FROM be WHERE target NOT IN (SELECT node_id FROM bn)),
- i2 AS (SELECT 'self_loop' AS issue_type, 'Edge ' || edge_id || ' is a self-loop on node ' || source AS message, source AS node_ids, edge_id AS edge_ids FROM be WHERE source=target),
- i3 AS (SELECT 'duplicate_edge' AS issue_type, 'Duplicate ' || edge_type || ' edge from ' || source || ' to ' || target AS message, source || ',' || target AS node_ids, edge_id AS edge_ids
+ i1 AS (SELECT 'dangling_edge_source' AS issue_type, {sql('dangling_edge_source')} AS message, source AS node_ids, edge_id AS edge_ids FROM be WHERE source NOT IN (SELECT node_id FROM bn)
+  UNION ALL SELECT 'dangling_edge_target', {sql('dangling_edge_target')}, target, edge_id FROM be WHERE target NOT IN (SELECT node_id FROM bn)),
+ i2 AS (SELECT 'self_loop' AS issue_type, {sql('self_loop')} AS message, source AS node_ids, edge_id AS edge_ids FROM be WHERE source=target),
+ i3 AS (SELECT 'duplicate_edge' AS issue_type, {sql('duplicate_edge')} AS message, source || ',' || target AS node_ids, edge_id AS edge_ids
    FROM (SELECT *, row_number() OVER (PARTITION BY edge_type, source, target ORDER BY edge_id) AS n FROM be) WHERE n>1),
- i4 AS (SELECT 'missing_run_node' AS issue_type, 'Event node ' || node_id || ' references run ' || run_id || ' but no run node exists' AS message, node_id AS node_ids, '' AS edge_ids
+ i4 AS (SELECT 'missing_run_node' AS issue_type, {sql('missing_run_node')} AS message, node_id AS node_ids, '' AS edge_ids
    FROM bn WHERE node_type='event' AND 'run:' || run_id NOT IN (SELECT node_id FROM bn WHERE node_type='run')),
- i5 AS (SELECT 'orphan_node' AS issue_type, 'Node ' || node_id || ' has no edges' AS message, node_id AS node_ids, '' AS edge_ids
+ i5 AS (SELECT 'orphan_node' AS issue_type, {sql('orphan_node')} AS message, node_id AS node_ids, '' AS edge_ids
    FROM bn WHERE node_type IN ('event','side_effect') AND node_id NOT IN (SELECT source FROM be UNION ALL SELECT target FROM be)),
  allissues AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3 UNION ALL SELECT * FROM i4 UNION ALL SELECT * FROM i5)"""
 
@@ -183,6 +184,6 @@ _PARENT_SQL = "CASE p_partkey%10 " + " ".join(
 @query("integrity_cycles", f"""WITH RECURSIVE f AS (SELECT p_partkey AS k, {_PARENT_SQL} AS p FROM part),
   w AS (SELECT k, p, 1 AS n, least('part:' || CAST(k AS VARCHAR), 'part:' || CAST(p AS VARCHAR)) AS low FROM f WHERE p IS NOT NULL
     UNION ALL SELECT w.k, f.p, n+1, least(low, 'part:' || CAST(f.p AS VARCHAR)) FROM w JOIN f ON f.k=w.p WHERE n<10 AND f.p IS NOT NULL AND w.p<>w.k)
-  SELECT 'cycle_detected' AS issue_type, 'Causal cycle detected involving nodes: ' || low AS message, 'part:' || CAST(k AS VARCHAR) AS node_ids, '' AS edge_ids FROM w WHERE k=p""", raw=True)
+  SELECT 'cycle_detected' AS issue_type, {sql('cycle_detected').replace('cycle_id', 'low')} AS message, 'part:' || CAST(k AS VARCHAR) AS node_ids, '' AS edge_ids FROM w WHERE k=p""", raw=True)
 def _(spark, sf_dir):
     return _flat(G.integrity_cycles(_part_edges(spark, sf_dir)))

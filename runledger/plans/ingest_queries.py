@@ -37,7 +37,10 @@ def _(ev):
 
 @on_events("match_value_rules", f"WITH {HITS_SQL} SELECT run_id, id, field_path, rule_id, action FROM hits WHERE rule_id LIKE '%value'")
 def _(ev):
-    return X.redaction_hits(ev).where(F.col("rule_id").endswith("value")).drop("position")
+    rules = X.load_rules()
+    of = lambda name: F.element_at(F.array(*[F.lit(r[name]) for r in rules]), F.col("value_hit") + 1).alias({"id": "rule_id"}.get(name, name))
+    nodes = X.match_value_rules(X.match_path_rules(X.flatten_payload(ev), rules), rules)
+    return nodes.where("value_hit IS NOT NULL").select("run_id", "id", F.col("path").alias("field_path"), of("id"), of("action"))
 
 
 _OTHER_RULES = [X.path_rule("gone", "inputParameters.items"), X.value_rule("hashed", "^plan step", "hash"),
@@ -152,14 +155,15 @@ def _(ev):
     return validate_events(_wire(ev)).select("eid", "is_valid", _issue_text().alias("issues"))
 
 
-_BATCHES = f"""{WIRE_SQL}, ba AS (SELECT *, eid//CASE WHEN eid%2000<1000 THEN 4 ELSE 200 END + CASE WHEN eid%2000<1000 THEN 0 ELSE 1000000000 END AS batch_id, {ISSUES_SQL} AS issues FROM wi),
+# Batches of one event, of four and of 200, each kind with numbers of its own; those of one are accepted if the event is valid.
+_SIZE = "CASE WHEN eid%2000<500 THEN 1 WHEN eid%2000<1000 THEN 4 ELSE 200 END"
+_SHIFT = "CASE WHEN eid%2000<500 THEN 2000000000 WHEN eid%2000<1000 THEN 0 ELSE 1000000000 END"
+_BATCHES = f"""{WIRE_SQL}, ba AS (SELECT *, eid//{_SIZE} + {_SHIFT} AS batch_id, {ISSUES_SQL} AS issues FROM wi),
   ve AS (SELECT batch_id, count(*) AS n, count(*) FILTER (WHERE issues<>'') AS bad FROM ba GROUP BY batch_id)"""
 
 
 def _batched(ev):
-    return _wire(ev).withColumn("batch_id", F.expr(
-        "eid div (CASE WHEN eid%2000<1000 THEN 4 ELSE 200 END) + CASE WHEN eid%2000<1000 THEN 0 ELSE 1000000000 END")).withColumn(
-        "batch_index", F.col("eid"))
+    return _wire(ev).withColumn("batch_id", F.expr(f"eid div ({_SIZE}) + {_SHIFT}")).withColumn("batch_index", F.col("eid"))
 
 
 @on_events("split_batch_accepted", f"WITH {_BATCHES} SELECT eid, batch_id FROM ba JOIN ve USING (batch_id) WHERE n<=100 AND bad=0")

@@ -117,6 +117,21 @@ DATA_FLOW_SQL = f"""pairs AS ({_PAIRS}),
  fe AS ({edge_sql('data_flow', "('event:' || id)", "('event:' || hit)", '''('{"description":"' || d || '"}')''', 'df0 WHERE hit IS NOT NULL')})"""
 EDGES_SQL = f"""{TL_SQL}, {EFFECTS_SQL}, {RUN_NODES_SQL}, {PRODUCES_SQL}, {CAUSAL_SQL}, {TEMPORAL_SQL}, {DELEGATION_SQL}, {DATA_FLOW_SQL},
  edges AS (SELECT * FROM pe UNION ALL SELECT * FROM ce UNION ALL SELECT * FROM te UNION ALL SELECT * FROM de UNION ALL SELECT * FROM fe)"""
+_ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+def meta_sql(**values: str) -> str:
+    """A JSON object of the values that are not null, in the given order."""
+    return "('{' || substr(" + " || ".join(f"""coalesce(',"{k}":' || CAST(to_json({v}) AS VARCHAR), '')""" for k, v in values.items()) + ", 2) || '}')"
+
+
+RUN_META = meta_sql(agentId="agent_id", runName="run_name", triggerSource="trigger_source", status="status", startTime=_ISO("start_time"), endTime=_ISO("end_time"),
+                    durationMs="duration_ms", parentRunId="parent_run_id")
+EVENT_META = meta_sql(eventType="type", sourceAgent="source_agent", sourceFramework="source_framework", timestamp=_ISO('"timestamp"'), sequence="sequence", label=LABEL_SQL)
+EFFECT_META = meta_sql(effectType="effect_type", targetSystem="target_system", description="description", reversible="reversible", success="success", errorMessage="error_message")
+SYSTEM_META = meta_sql(systemName="target_system", effectCount="count(*)")
+NODE_META_SQL = f"""node_meta AS (SELECT node_id, {RUN_META} AS meta FROM rn UNION ALL SELECT 'event:' || id, {EVENT_META} FROM ev UNION ALL SELECT 'side_effect:' || id, {EFFECT_META} FROM fx
+  UNION ALL SELECT 'external_system:' || tenant_id || '/' || target_system, {SYSTEM_META} FROM fx GROUP BY tenant_id, target_system)"""
 NODES_SQL = """nodes AS (SELECT node_id, 'run' AS node_type, run_id, tenant_id, NULL AS source_event_id, start_time AS "timestamp" FROM rn
   UNION ALL SELECT 'event:' || id, 'event', run_id, tenant_id, id, "timestamp" FROM ev
   UNION ALL SELECT 'side_effect:' || id, 'side_effect', run_id, tenant_id, id, "timestamp" FROM fx
@@ -129,9 +144,9 @@ for _name, _build, _table in [("produces_edges", L.produces_edges, "pe"), ("caus
     on_events(_name, f"WITH {EDGES_SQL} SELECT * FROM {_table}", stored=_name == "graph_edges")(_build)
 
 
-@on_events("graph_nodes", f"WITH {GRAPH_SQL} SELECT * FROM nodes", stored=True)
+@on_events("graph_nodes", f"WITH {GRAPH_SQL}, {NODE_META_SQL} SELECT nodes.*, meta FROM nodes JOIN node_meta USING (node_id)", stored=True)
 def _(ev):
-    return L.graph_nodes(ev).drop("meta")
+    return L.graph_nodes(ev)
 
 
 def _sums(kind: str, table: str, names: list[str]) -> str:

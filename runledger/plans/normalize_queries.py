@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runledger.functions.payload import canonical_json
+from runledger.messages import TEXTS
+from runledger.messages import sql as sql_text
 from runledger.operators import normalize as N
 from runledger.operators import otlp as O
 from runledger.plans.registry import query
@@ -122,7 +124,7 @@ def vendor_sql(vendor_id: str) -> str:
     n = len(cases)
     ctype = _choice([f"'{c[2]}'" if c[2] else "NULL" for c in cases], n)
     payload = _choice([_quoted(c[3]) if c[3] else "NULL" for c in cases], n).replace("{str}", "VARCHAR")
-    reason = _choice(["NULL" if c[2] else (f"'Unsupported {vendor.title} trace type: {c[0]}'" if c[0] else f"'Missing \"type\" field in {vendor.title} trace event'") for c in cases], n)
+    reason = _choice(["NULL" if c[2] else (sql_text("type_unknown", title=vendor.title, x_kind=c[0]) if c[0] else sql_text("type_missing", title=vendor.title)) for c in cases], n)
     return f"""SELECT CASE WHEN ctype IS NULL THEN 'error' ELSE 'success' END AS status, reason, ctype AS type, payload,
       CASE WHEN ctype IS NOT NULL AND k%4<>0 THEN 's' || CAST(eid AS VARCHAR) END AS span_id,
       CASE WHEN ctype IS NOT NULL THEN CASE WHEN eid%2=0 THEN 'given-' || CAST(u AS VARCHAR) ELSE run_id END END AS run_id, 'tenant-' || CAST(u%3 AS VARCHAR) AS tenant_id,
@@ -145,13 +147,30 @@ for _id in CASES:
     query(f"normalize_{_id.replace('-', '_')}", f"WITH {BASE_SQL} {vendor_sql(_id)}", raw=True)(_one)
 
 
-@query("normalize_envelope", f"""WITH {BASE_SQL} SELECT 'claude-code' AS normalized_by, strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS received,
-   {_choice([repr(c[0]) for c in CASES["claude-code"]], len(CASES['claude-code']))} AS original_type, run_id AS trace, k%4=0 AS is_new_id FROM bs WHERE eid%{len(CASES['claude-code'])} <> {len(CASES['claude-code']) - 1}""", raw=True)
+def _envelope_sql(vendor_id: str) -> str:
+    n = len(CASES[vendor_id])
+    good = f"NOT {_bad(vendor_id)}"
+    return f"""SELECT CASE WHEN {good} THEN 'success' ELSE 'error' END AS status, CASE WHEN {good} THEN '{vendor_id}' END AS normalized_by,
+      CASE WHEN {good} THEN strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS received,
+      CASE WHEN {good} THEN {_choice([repr(c[0]) for c in CASES[vendor_id]], n)} END AS original_type, CASE WHEN {good} THEN run_id END AS trace, CASE WHEN {good} THEN k%4=0 END AS is_new_id FROM bs"""
+
+
+def _bad(vendor_id: str) -> str:
+    n = len(CASES[vendor_id])
+    bad = [str(i) for i, c in enumerate(CASES[vendor_id]) if not c[2]]
+    return f"eid%{n} IN ({', '.join(bad)})"
+
+
+@query("normalize_envelope", f"WITH {BASE_SQL} {' UNION ALL '.join(_envelope_sql(v) for v in CASES)}", raw=True)
 def _(spark, sf_dir):
-    results = N.normalize_claude_code(vendor_rows(spark, sf_dir, "claude-code")).where("status = 'success'")
     at = lambda n: F.get_json_object("raw_meta", f"$.{n}")
-    return results.select(at("normalizedBy").alias("normalized_by"), at("receivedAt").alias("received"), at("originalType").alias("original_type"),
-                          at("conversation_id").alias("trace"), (F.length("id") == 32).alias("is_new_id"))
+    out = None
+    for vendor_id, vendor in ((v, VENDORS[v]) for v in CASES):
+        results = N.normalize_vendor(vendor_rows(spark, sf_dir, vendor_id), vendor)
+        part = results.select("status", at("normalizedBy").alias("normalized_by"), at("receivedAt").alias("received"), at("originalType").alias("original_type"),
+                              at(vendor.names["trace"]).alias("trace"), (F.length("id") == 32).alias("is_new_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---- spans ---------------------------------------------------------------------------------
@@ -223,12 +242,12 @@ _ATTRS = f"""'{{"flag":true,' || CASE WHEN model='null' THEN '' ELSE '"gen_ai.re
 OTEL_SQL = f"""{SPANS_SQL}, cl AS (SELECT *, CASE WHEN eid%8 IN (0,1) THEN 'agent' WHEN eid%8 IN (2,3,7) THEN 'chat' WHEN eid%8 IN (4,5) THEN 'tool' ELSE 'annotation' END AS cls FROM sn),
  oe AS (SELECT span_id AS id, 'run.start' AS type, '{{"runName":"' || service || '","triggerSource":"agent"}}' AS payload, false AS follow, vendor || ',otel' AS tags, cl.* FROM cl WHERE cls='agent'
   UNION ALL SELECT span_id || ':end', 'run.end', '{{"durationMs":' || {_D} || ',"status":"' || CASE WHEN failed THEN 'failure' ELSE 'success' END || '"}}', true, vendor || ',otel', cl.* FROM cl WHERE cls='agent' AND ended
-  UNION ALL SELECT span_id || ':error', 'run.error', '{{"errorMessage":"' || CASE WHEN k%10=0 THEN 'bad' ELSE 'OTel span ended with ERROR status' END || '","errorType":"SpanError","fatal":false,"stackTrace":"st"}}', true, vendor || ',otel,error', cl.* FROM cl WHERE cls='agent' AND ended AND failed
+  UNION ALL SELECT span_id || ':error', 'run.error', '{{"errorMessage":"' || CASE WHEN k%10=0 THEN 'bad' ELSE '{TEXTS['span_failed']}' END || '","errorType":"SpanError","fatal":false,"stackTrace":"st"}}', true, vendor || ',otel,error', cl.* FROM cl WHERE cls='agent' AND ended AND failed
   UNION ALL SELECT span_id, 'model.request', '{{' || {_M.format(k=_K, lat='')}, false, vendor || ',otel', cl.* FROM cl WHERE cls='chat'
   UNION ALL SELECT span_id || ':end', 'model.response', '{{' || {_M.format(k=_K, lat='"latencyMs":' + "' || " + _D + " || '" + ',')}, true, vendor || ',otel', cl.* FROM cl WHERE cls='chat' AND ended
   UNION ALL SELECT span_id, 'tool.call.start', '{{"inputParameters":{{"query":[' || {_K} || ',"x"]}},"toolName":"' || {_TOOLNAME} || '"}}', false, vendor || ',otel', cl.* FROM cl WHERE cls='tool'
   UNION ALL SELECT span_id || ':end', 'tool.call.end', '{{"durationMs":' || {_D} || ',"success":' || CASE WHEN failed THEN 'false' ELSE 'true' END || ',"toolName":"' || {_TOOLNAME} || '"}}', true, vendor || ',otel', cl.* FROM cl WHERE cls='tool' AND ended
-  UNION ALL SELECT span_id || ':error', 'tool.call.error', '{{"errorMessage":"' || CASE WHEN k%10=0 THEN 'bad' ELSE 'OTel tool span ended with ERROR status' END || '","errorType":"ToolCallError","toolName":"' || {_TOOLNAME} || '"}}', true, vendor || ',otel,error', cl.* FROM cl WHERE cls='tool' AND ended AND failed
+  UNION ALL SELECT span_id || ':error', 'tool.call.error', '{{"errorMessage":"' || CASE WHEN k%10=0 THEN 'bad' ELSE '{TEXTS['tool_span_failed']}' END || '","errorType":"ToolCallError","toolName":"' || {_TOOLNAME} || '"}}', true, vendor || ',otel,error', cl.* FROM cl WHERE cls='tool' AND ended AND failed
   UNION ALL SELECT span_id, 'annotation', '{{"annotatedBy":"opentelemetry","key":"otel.span","value":{{"attributes":' || {_ATTRS} || ',"kind":1,"name":"' || name || '"}}}}', false, vendor || ',otel,unmapped', cl.* FROM cl WHERE cls='annotation')"""
 OTEL_SQL = OTEL_SQL.replace("}}'", "}'").replace("'{{", "'{").replace("{{", "{").replace("}}", "}") if "{{" in OTEL_SQL else OTEL_SQL
 
@@ -251,7 +270,7 @@ def wire_rows(spark, sf_dir):
 
 
 @query("normalize_passthrough", """WITH b AS (SELECT event_id, user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)
-  SELECT CASE WHEN k%7=0 THEN 'error' ELSE 'success' END AS status, CASE WHEN k%7=0 THEN 'Passthrough validation failed: payload.key: invalid_type' END AS reason,
+  SELECT CASE WHEN k%7=0 THEN 'error' ELSE 'success' END AS status, CASE WHEN k%7=0 THEN 'Not a valid event: payload.key: invalid_type' END AS reason,
    CASE WHEN k%7<>0 THEN '00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') END AS id, CASE WHEN k%7<>0 THEN '{"key":"k' || CAST(k AS VARCHAR) || '"}' END AS payload,
    CASE WHEN k%7<>0 THEN 'canonical' END AS normalized_by FROM b""", raw=True)
 def _(spark, sf_dir):
@@ -285,12 +304,6 @@ def _(spark, sf_dir):
     return routed.groupBy("vendor", F.coalesce("adapter", F.lit("none")).alias("adapter")).agg(F.count("*").alias("n"))
 
 
-def _bad(vendor_id: str) -> str:
-    n = len(CASES[vendor_id])
-    bad = [str(i) for i, c in enumerate(CASES[vendor_id]) if not c[2]]
-    return f"eid%{n} IN ({', '.join(bad)})"
-
-
 @query("normalization_stats", f"""WITH {BASE_SQL}, r AS (SELECT k%7=0 AS bad FROM bs UNION ALL SELECT false FROM bs {' '.join(f'UNION ALL SELECT {_bad(v)} FROM bs' for v in CASES)})
   SELECT count(*) AS processed, count(*) FILTER (WHERE NOT bad) AS succeeded, count(*) FILTER (WHERE bad) AS failed, count(*) FILTER (WHERE bad) AS dead_lettered FROM r""", raw=True)
 def _(spark, sf_dir):

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from runledger.messages import sql as sql_text
 from runledger.operators import evidence as E
 from runledger.operators import normalize as N
 from runledger.operators.ingest import rows_to_events
 from runledger.operators.runs import build_runs
 from runledger.plans.evidence_queries import _requests
-from runledger.plans.normalize_queries import BASE_SQL, CASES, _bad, all_raw, otlp_rows
+from runledger.plans.normalize_queries import BASE_SQL, CASES, OTEL_SQL, SPANS_SQL, _bad, all_raw, otlp_rows
 from runledger.plans.registry import on_events, plain_times, query
 from runledger.plans.timeline_queries import GAPS_SQL, CALLS_SQL, DURATIONS_SQL, RUNS_SQL, SUMMARY_SQL
 from runledger.schemas import EVENT_DDL
@@ -47,10 +48,14 @@ def _raw_json(raw):
                       F.col("tenant_id").alias("tenantId"), F.col("run_id").alias("runId"))
 
 
-@query("read_raw_events", f"WITH {BASE_SQL} SELECT 'sdk' AS vendor, received_at, 't' AS tenant_id, count(*) AS n FROM bs GROUP BY ALL", raw=True)
+_RAW_SQL = " UNION ALL ".join(f"SELECT CASE WHEN eid%2=0 THEN '{v}' ELSE 'other' END AS vendor, received_at, 'tenant-' || CAST(u%3 AS VARCHAR) AS tenant_id FROM bs" for v in CASES)
+
+
+@query("read_raw_events", f"""WITH {SPANS_SQL}, r AS (SELECT 'sdk' AS vendor, received_at, 't' AS tenant_id FROM bs UNION ALL SELECT vendor, TIMESTAMP '2024-03-01', 'tenant-x' FROM sn UNION ALL {_RAW_SQL})
+  SELECT vendor, received_at, tenant_id, count(*) AS n FROM r GROUP BY ALL""", raw=True)
 def _(spark, sf_dir):
     folder = _folder(spark)
-    _raw_json(all_raw(spark, sf_dir).where("vendor = 'sdk'")).write.json(folder)
+    _raw_json(all_raw(spark, sf_dir)).write.json(folder)
     rows = S.read_raw_events(spark, folder)
     return plain_times(rows.groupBy("vendor", "received_at", "tenant_id").agg(F.count("*").alias("n")))
 
@@ -68,13 +73,13 @@ def _reasons_sql(vendor: N.Vendor) -> str:
     whens = []
     for i, (kind, _, mapped, _) in enumerate(CASES[vendor.vendor_id]):
         if mapped is None and kind:
-            whens.append(f"WHEN {i} THEN 'Unsupported {vendor.title} trace type: {kind}'")
+            whens.append(f"WHEN {i} THEN {sql_text('type_unknown', title=vendor.title, x_kind=kind)}")
         elif mapped is None:
-            whens.append(f"""WHEN {i} THEN CASE WHEN eid%2=1 THEN 'No adapter found for vendor "other"' ELSE 'Missing "type" field in {vendor.title} trace event' END""")
+            whens.append(f"""WHEN {i} THEN CASE WHEN eid%2=1 THEN {sql_text('adapter_missing', vendor='other')} ELSE {sql_text('type_missing', title=vendor.title)} END""")
     return f"SELECT CASE eid%{len(CASES[vendor.vendor_id])} {' '.join(whens)} END FROM bs WHERE {_bad(vendor.vendor_id)}"
 
 
-@query("write_dead_letters", f"""WITH {BASE_SQL}, r AS (SELECT 'Passthrough validation failed: payload.key: invalid_type' AS reason FROM bs WHERE k%7=0
+@query("write_dead_letters", f"""WITH {BASE_SQL}, r AS (SELECT 'Not a valid event: payload.key: invalid_type' AS reason FROM bs WHERE k%7=0
    {' '.join('UNION ALL ' + _reasons_sql(v) for v in N.VENDORS)})
   SELECT reason, count(*) AS n FROM r GROUP BY reason""", raw=True)
 def _(spark, sf_dir):
@@ -118,21 +123,24 @@ def _finish(running):
     return running
 
 
-@query("stream_normalize", f"""WITH {BASE_SQL}, r AS (SELECT k%7=0 AS bad, 'sdk' AS source FROM bs {' '.join(f"UNION ALL SELECT {_bad(v)}, '{v}' FROM bs" for v in CASES)})
+@query("stream_normalize", f"""WITH {OTEL_SQL}, r AS (SELECT k%7=0 AS bad, 'sdk' AS source FROM bs {' '.join(f"UNION ALL SELECT {_bad(v)}, '{v}' FROM bs" for v in CASES)} UNION ALL SELECT false, 'opentelemetry' FROM oe)
   SELECT source, count(*) FILTER (WHERE NOT bad) AS events, count(*) FILTER (WHERE bad) AS dead FROM r GROUP BY source""", raw=True)
 def _(spark, sf_dir):
+    """Vendor events from one folder, spans in OTLP exports from another."""
     folder = _folder(spark)
-    raw = all_raw(spark, sf_dir).where("NOT vendor LIKE 'otel%'")
-    _raw_json(raw).repartition(3).write.json(f"{folder}/in")
+    _raw_json(all_raw(spark, sf_dir).where("NOT vendor LIKE 'otel%'")).repartition(3).write.json(f"{folder}/in")
+    otlp_rows(spark, sf_dir).repartition(3).write.json(f"{folder}/spans")
     _finish(J.stream_normalize(J.stream_raw_events(spark, f"{folder}/in", max_files=1), f"{folder}/out", f"{folder}/dead", f"{folder}/check"))
+    _finish(J.stream_normalize(J.stream_otlp(spark, f"{folder}/spans", "tenant-x", max_files=1), f"{folder}/out-spans", f"{folder}/dead-spans", f"{folder}/check-spans"))
     # Names of the envelope fields tell the formats apart.
-    events = spark.read.parquet(f"{folder}/out").select(F.coalesce("source_framework", F.lit("sdk")).alias("source"), F.lit(1).alias("e"), F.lit(0).alias("d"))
+    both = spark.read.parquet(f"{folder}/out").unionByName(spark.read.parquet(f"{folder}/out-spans"))
+    events = both.select(F.coalesce("source_framework", F.lit("sdk")).alias("source"), F.lit(1).alias("e"), F.lit(0).alias("d"))
     data = F.col("data")
     kind = F.get_json_object(data, "$.type")
     by_type = (F.when(kind.startswith("codex."), "openai-codex").when(kind.startswith("copilot."), "github-copilot")
                .when(kind.rlike("^(conversation|tool_use|inference|assistant|permission)[.]"), "claude-code")
                .when(F.get_json_object(data, "$.schemaVersion").isNotNull(), "sdk").otherwise("openai-agents"))
-    dead = spark.read.parquet(f"{folder}/dead").select(by_type.alias("source"), F.lit(0).alias("e"), F.lit(1).alias("d"))
+    dead = spark.read.parquet(f"{folder}/dead").unionByName(spark.read.parquet(f"{folder}/dead-spans")).select(by_type.alias("source"), F.lit(0).alias("e"), F.lit(1).alias("d"))
     return events.unionByName(dead).groupBy("source").agg(F.sum("e").alias("events"), F.sum("d").alias("dead"))
 
 

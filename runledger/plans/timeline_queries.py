@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runledger.messages import sql
 from runledger.operators import runs as R
 from runledger.operators import timeline as TL
 from runledger.plans.registry import on_events
@@ -17,16 +18,16 @@ CALLS_SQL = f"""{TL_SQL}, calls AS (SELECT *, lead(type) OVER w AS next_type, le
   FROM tl WHERE type LIKE 'tool.call.%' WINDOW w AS (PARTITION BY run_id, tool_key ORDER BY idx))"""
 DURATIONS_SQL = """durs AS (SELECT run_id, id, tool_key, epoch_ms(next_ts) - epoch_ms("timestamp") AS duration_ms FROM calls
   WHERE type='tool.call.start' AND next_type IN ('tool.call.end','tool.call.error'))"""
-GAPS_SQL = """
- g1 AS (SELECT run_id, 'missing_run_start' AS gap_type, 'No run.start event found in the timeline.' AS message, '' AS related, 0::BIGINT AS detected_at_index
+GAPS_SQL = f"""
+ g1 AS (SELECT run_id, 'missing_run_start' AS gap_type, {sql('missing_run_start')} AS message, '' AS related, 0::BIGINT AS detected_at_index
    FROM tl GROUP BY run_id HAVING NOT bool_or(type='run.start')),
- g2 AS (SELECT run_id, 'missing_run_end' AS gap_type, 'No run.end event found — the run may still be in progress or telemetry was lost.' AS message, '' AS related, max(idx) AS detected_at_index
+ g2 AS (SELECT run_id, 'missing_run_end' AS gap_type, {sql('missing_run_end')} AS message, '' AS related, max(idx) AS detected_at_index
    FROM tl GROUP BY run_id HAVING NOT bool_or(type='run.end')),
- g3 AS (SELECT run_id, 'unclosed_tool_call' AS gap_type, 'Tool call "' || tool_key || '" was started but never completed or errored.' AS message, id AS related, idx AS detected_at_index
+ g3 AS (SELECT run_id, 'unclosed_tool_call' AS gap_type, {sql('unclosed_tool_call')} AS message, id AS related, idx AS detected_at_index
    FROM calls WHERE type='tool.call.start' AND next_type IS NULL),
- g4 AS (SELECT run_id, 'orphan_tool_end' AS gap_type, 'Tool call end for "' || tool_key || '" has no matching start event.' AS message, id AS related, idx AS detected_at_index
+ g4 AS (SELECT run_id, 'orphan_tool_end' AS gap_type, {sql('orphan_tool_end')} AS message, id AS related, idx AS detected_at_index
    FROM calls WHERE type='tool.call.end' AND coalesce(started,0)=0),
- g5 AS (SELECT run_id, 'unclosed_approval' AS gap_type, 'Approval was requested but no granted or denied event was found.' AS message, id AS related, idx AS detected_at_index
+ g5 AS (SELECT run_id, 'unclosed_approval' AS gap_type, {sql('unclosed_approval')} AS message, id AS related, idx AS detected_at_index
    FROM tl r WHERE type='approval.requested' AND NOT EXISTS (SELECT 1 FROM tl d WHERE d.run_id=r.run_id AND d.parent_event_id=r.id
      AND d.type IN ('approval.granted','approval.denied') AND d.idx>r.idx)),
  gaps AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4 UNION ALL SELECT * FROM g5)"""

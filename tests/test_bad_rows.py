@@ -14,7 +14,7 @@ def test_malformed_lines_are_dead_letters(spark, tmp_path):
     (tmp_path / "raw.json").write_text('{"vendor":"odd","data":{"type":"x"}}\nnot json at all\n')
     results = N.normalize(T.read_raw_events(spark, str(tmp_path)))
     assert collected(N.dead_letters(results), "data", "reason") == [
-        ("not json at all", 'No adapter found for vendor ""'), ('{"type":"x"}', 'No adapter found for vendor "odd"')]
+        ("not json at all", 'No format fits data of vendor ""'), ('{"type":"x"}', 'No format fits data of vendor "odd"')]
     assert N.canonical_rows(results).count() == 0
 
 

@@ -32,7 +32,7 @@ def test_bad_requests_and_documents(spark):
         "*", "timestamp'2024-06-01 00:00:00' AS created_at")
     bundles = E.assemble_bundles(ev, runs, requests)
     assert collected(bundles, "status", "error_message") == [
-        ("complete", None), ("failed", "Run none not found"), ("failed", "Run r1 does not belong to tenant other")]
+        ("complete", None), ("failed", "No such run: none"), ("failed", "Tenant other has no run r1")]
     lines = E.export_lines(bundles, ev, runs)
     documents = E.export_documents(lines)
     assert documents.count() == 1
@@ -62,6 +62,42 @@ def test_documents_do_not_depend_on_each_other(spark):
     assert export("c")["c"] == both["c"] and export("p")["p"] == both["p"]
 
 
+def test_document_hashes(spark):
+    """Hashes of all sections and documents against the same tree in plain Python, on the registered query's tables."""
+    from compare import BASE
+
+    from runledger.plans.catalog import QUERIES
+    from runledger.plans.evidence_queries import _bundles
+    from runledger.plans.testbed import canonical_events
+    from runledger.session import cut_to_table
+
+    sf = f"{BASE}/sf0.001"
+    ev = cut_to_table(canonical_events(spark, sf))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    found = {}
+    for r in E.export_lines(_bundles(ev), ev, build_runs(ev)).collect():
+        found.setdefault((r["bundle_id"], r["section"]), []).append(sha(f"{r['position']}|{r['line']}"))
+
+    def tree(hashes):
+        for digits in (6, 3, 0):
+            groups = {}
+            for key, h in hashes if digits < 6 else [(h, h) for h in hashes]:
+                groups.setdefault(key[:digits], []).append(h)
+            hashes = [(key, sha("".join(sorted(group)))) for key, group in groups.items()]
+        return hashes[0][1]
+
+    sections = {key: tree(hashes) for key, hashes in found.items()}
+    documents = {}
+    for (bundle, section), h in sorted(sections.items(), key=lambda x: E.SECTIONS.index(x[0][1])):
+        documents.setdefault(bundle, []).append(f"{section}:{h}")
+    rows = QUERIES["export_integrity"](spark, sf).collect()
+    assert {(r["bundle_id"], r["section"]): (r["section_hash"], r["section_lines"]) for r in rows} == {k: (sections[k], len(found[k])) for k in found}
+    for r in rows:
+        assert r["integrity_hash"] == sha("|".join(documents[r["bundle_id"]]))
+        assert r["line_count"] == sum(len(h) for (b, _), h in found.items() if b == r["bundle_id"])
+    assert len({r["section"] for r in rows}) == len(E.SECTIONS)
+
+
 def _edges(spark, pairs):
     rows = [("causal", s, t, f"{s}-{t}") for s, t in pairs]
     return spark.createDataFrame(rows, "edge_type string, source string, target string, edge_id string")
