@@ -9,23 +9,20 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runledger.functions.ordered import with_slices
-from runledger.functions.payload import millis_between
-from runledger.operators.normalize import canonical_rows, dead_letters, normalize
+from runledger.operators.normalize import canonical_rows, dead_letters, normalize, stats_columns
 from runledger.operators.runs import _lifecycle, run_columns
-from runledger.operators.timeline import run_summary, timeline_index, tool_calls
-from runledger.schemas import EVENT_DDL, RAW_EVENT_DDL, TOOL_TYPES
+from runledger.operators.timeline import run_summary, timeline_index
+from runledger.operators.otlp import flatten_otlp, spans_to_raw
+from runledger.schemas import EVENT_DDL, OTLP_DDL, RAW_EVENT_DDL
 from runledger.sources.tables import raw_event_rows
-from runledger.session import cut_to_table
+from runledger.streaming.state import CALLS_DDL, first_arrivals, tool_call_changes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
-PARTS = 16  # folders of stored events, by hash
-
 
 def stream_raw_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Raw vendor events from files as they come."""
@@ -33,6 +30,19 @@ def stream_raw_events(spark: SparkSession, path: str, max_files: int = 100) -> D
     return raw_event_rows(raw)
 
 
+def stream_otlp(spark: SparkSession, path: str, tenant: str, max_files: int = 100, whole_files: bool = False) -> DataFrame:
+    """Spans of OTLP/JSON trace exports as raw events, from files as they come: one export a line, or a file with `whole_files`.
+
+    A span arrives when its file is read. What is not JSON comes as a raw event without vendor and ends as a dead letter.
+    """
+    exports = spark.readStream.schema(OTLP_DDL + ", _corrupt_record STRING").option("maxFilesPerTrigger", max_files).option("multiLine", whole_files).json(path)
+    spans = spans_to_raw(flatten_otlp(exports.where(F.col("_corrupt_record").isNull())), tenant)
+    nothing = F.lit(None).cast("string")
+    broken = exports.where(F.col("_corrupt_record").isNotNull() & F.col("resourceSpans").isNull()).select(
+        nothing.alias("vendor"), F.col("_corrupt_record").alias("data"), F.current_timestamp().alias("received_at"), F.lit(tenant).alias("tenant_id"), nothing.alias("run_id"))
+    return spans.unionByName(broken)
+
+
 def stream_events(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Canonical store rows from Parquet files as they come."""
     return spark.readStream.schema(EVENT_DDL).option("maxFilesPerTrigger", max_files).parquet(path)
@@ -43,48 +53,35 @@ def _start(df: DataFrame, sink, checkpoint: str, mode: str = "append", once: boo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_normalize(raw: DataFrame, out: str, dead: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Raw events to canonical events in `out` or dead letters in `dead`.
+def stream_normalize(raw: DataFrame, out: str, dead: str, checkpoint: str, once: bool = True, stats: str | None = None) -> StreamingQuery:
+    """Raw events to canonical events in `out` or dead letters in `dead`; with `stats`, counts of each batch there.
 
     Each batch replaces its own folder, so a batch that is run again after a failure
-    leaves one copy.
+    leaves one copy. The counts are observed while the batch is normalized, without a pass of their own.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        results = batch.persist()
+        seen = Observation()
+        results = batch.observe(seen, *stats_columns()).persist()
         canonical_rows(results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         dead_letters(results).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
         results.unpersist()
+        if stats:
+            batch.sparkSession.createDataFrame([seen.get], "processed long, succeeded long, failed long, dead_lettered long").coalesce(1).write.mode("overwrite").parquet(f"{stats}/batch={batch_id}")
 
     return _start(normalize(raw), sink, checkpoint, once=once)
 
 
 def stream_dedupe(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """First arrivals only. Nothing is dropped for being late: an id is new if neither the batch nor `out` has it before.
+    """First arrivals only, appended to `out`. Nothing is dropped for being late: the ids seen so far are keyed state, see `state.py`.
 
-    Stored events lie in parts by id, and only the id column of the parts of the batch is read.
+    Each batch replaces its own folder, so a batch that is run again after a failure leaves one copy.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = F.min_by(F.struct(*[c for c in batch.columns if c != "id"]), F.struct("received_at", "ingestion_order"))
-        fresh = batch.groupBy("id").agg(first.alias("e")).select("id", "e.*").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
-        known = _other_batches(spark, out, batch_id)
-        if known is not None:
-            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most PARTS numbers
-            fresh = fresh.join(known.where(F.col("part").isin(parts)).select("part", "id"), ["part", "id"], "left_anti")
-        fresh.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch_id}")
-
-    return _start(events, sink, checkpoint, once=once)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-
-def _other_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches stored; the folder of a batch that is being repeated is left out."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if batch_id == 0 or not files.exists(hadoop):
-        return None
-    return spark.read.schema(EVENT_DDL + ", batch BIGINT, part INT").parquet(path).where(F.col("batch") != batch_id)
+    return _start(first_arrivals(events), sink, checkpoint, once=once)
 
 
 def stream_runs(events: DataFrame, policy: str = "merge") -> DataFrame:
@@ -106,48 +103,34 @@ def stream_sessions(events: DataFrame, gap: str = "12 hours", delay: str | None
         "run_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "event_count")
 
 
-def stream_open_tools(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def stream_open_tools(events: DataFrame, out: str, checkpoint: str, once: bool = True, remind_ms: int | None = None) -> StreamingQuery:
     """Tool calls kept current in `out`; `open_tools` reads them.
 
-    A batch stores its tool events and pairs the calls of the runs it touches again, from all stored tool
-    events of these runs in source order. So the result does not depend on the order of arrival or on how
-    rows are batched, and an event that comes late changes the pairs instead of being dropped. Stored events
-    lie in parts by run, and only the parts of the batch are read.
+    The tool events of a run and tool are keyed state in timeline order. An event finds its place among
+    them and changes the pairs next to it, so the result does not depend on the order of arrival or on how
+    rows are batched. A batch stores the calls it changed and replaces its own folder when it is run again.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tools = batch.where(F.col("type").isin(TOOL_TYPES)).withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(PARTS)).cast("int"))
-        tools.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/events/batch={batch_id}")
-        stored = spark.read.schema(EVENT_DDL + ", batch BIGINT, part INT").parquet(f"{out}/events").where(F.col("batch") <= batch_id)
-        own = stored.where(F.col("batch") == batch_id)
-        touched = cut_to_table(own.select("part", "run_id").distinct())
-        parts = [r["part"] for r in touched.select("part").distinct().collect()]  # at most PARTS numbers
-        first = F.min_by(F.struct("run_id", "tenant_id", "type", "sequence", "parent_event_id", "payload", "timestamp", "ingestion_order"), F.struct("batch", "ingestion_order"))
-        mine = stored.where(F.col("part").isin(parts)).join(touched, ["part", "run_id"], "left_semi").groupBy("id").agg(first.alias("e")).select("id", "e.*")
-        calls = tool_calls(timeline_index(with_slices(cut_to_table(mine), ["run_id"], "timestamp")))
-        ended = F.col("next_event.type").isin("tool.call.end", "tool.call.error") & (F.col("next_event.timestamp") >= F.col("timestamp"))
-        starts = calls.where((F.col("type") == "tool.call.start") & (ended | F.col("next_event").isNull())).select(
-            "run_id", "tool_key", F.col("id").alias("start_id"), "timestamp", F.col("next_event.id").alias("end_id"),
-            millis_between("timestamp", "next_event.timestamp").alias("duration_ms"))
-        starts.write.mode("overwrite").parquet(f"{out}/calls/batch={batch_id}")
-        touched.select("run_id").write.mode("overwrite").parquet(f"{out}/runs/batch={batch_id}")
-
-    return _start(events, sink, checkpoint, once=once)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(tool_call_changes(events, remind_ms), sink, checkpoint, mode="update", once=once)
 
 
 def open_tools(spark: SparkSession, out: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """The newest calls of each run: `closed`, `open`, or `unclosed` where the newest event of all is `timeout_ms` past the start."""
-    newest = spark.read.parquet(f"{out}/runs").groupBy("run_id").agg(F.max("batch").alias("batch"))
-    calls = spark.read.parquet(f"{out}/calls").join(newest, ["run_id", "batch"])
-    last = spark.read.schema(EVENT_DDL).parquet(f"{out}/events").agg(F.max(F.unix_millis("timestamp"))).first()[0]
-    state = F.when(F.col("end_id").isNotNull(), "closed").when(F.unix_millis("timestamp") + timeout_ms < F.lit(last), "unclosed").otherwise("open")
-    return calls.select("run_id", "tool_key", "start_id", "end_id", "duration_ms", state.alias("state"))
+    """The calls as last stored: `closed`, `open`, or `unclosed` where the newest event of all is `timeout_ms` past the start."""
+    stored = spark.read.schema(CALLS_DDL + ", batch BIGINT").parquet(out)
+    last = stored.agg(F.max(F.unix_millis("newest"))).first()[0]
+    now = F.struct("run_id", "tool_key", "timestamp", "end_id", "duration_ms", "state")
+    calls = stored.where(F.col("start_id").isNotNull()).groupBy("start_id").agg(F.max_by(now, "batch").alias("c")).select("start_id", "c.*").where("state <> 'none'")
+    late = (F.col("state") == "open") & (F.unix_millis("timestamp") + timeout_ms < F.lit(last))
+    return calls.select("run_id", "tool_key", "start_id", "end_id", "duration_ms", F.when(late, "unclosed").otherwise(F.col("state")).alias("state"))
 
 
 def rebuild_touched_runs(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Run summaries of the runs a late batch touches, from all their events in source order."""
     touched = batch.select("run_id").distinct()
-    fresh = batch.join(stored.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*batch.columns)
+    first = F.min_by(F.struct(*[c for c in batch.columns if c != "id"]), F.struct("received_at", "ingestion_order"))  # of an id that comes twice
+    fresh = batch.join(stored.select("id"), "id", "left_anti").groupBy("id").agg(first.alias("e")).select("id", "e.*").select(*batch.columns)
     everything = stored.select(*batch.columns).unionByName(fresh)
     return run_summary(timeline_index(everything.join(touched, "run_id", "left_semi")))
