@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 DEFAULT_MASK = "[REDACTED]"
+GONE = object()
+TOO_DEEP_RULE = "nested-too-deep"  # names the mask of a payload that cannot be parsed for its depth
 
 
 def path_rule(rule_id: str, path: str, action: str = "mask", replacement: str | None = None) -> dict:
@@ -64,30 +66,44 @@ def path_regex(glob: str) -> str:
 
 
 NODE_TYPE = ("array<struct<path:string,is_key:boolean,kind:string,text:string,above:array<string>>>")
+NOT_JSON, TOO_DEEP = object(), object()
 _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
 
 
-def _walk(value, path: str, above: list[str], out: list[dict]) -> None:
-    members = (
-        [(f"{path}.{k}" if path else k, v, True) for k, v in value.items()] if isinstance(value, dict)
-        else [(f"{path}[{i}]", v, False) for i, v in enumerate(value)]
-    )
-    for where, item, is_key in members:
-        kind = _KINDS.get(type(item), "number")
-        text = item if kind == "string" else None if kind in ("object", "array", "null") else json.dumps(item)
-        out.append({"path": where, "is_key": is_key, "kind": kind, "text": text, "above": above})
-        if kind in ("object", "array"):
-            _walk(item, where, [*above, where] if is_key else above, out)
+def _members(value, path: str):
+    if isinstance(value, dict):
+        return iter([(f"{path}.{k}" if path else k, v, True) for k, v in value.items()])
+    return iter([(f"{path}[{i}]", v, False) for i, v in enumerate(value)])
+
+
+def parsed(text: str):
+    """The value of a JSON text, `NOT_JSON`, or `TOO_DEEP` for what nests deeper than the parser goes (some thousand levels)."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return NOT_JSON
+    except RecursionError:
+        return TOO_DEEP
 
 
 def _nodes_of(text: str | None) -> list[dict]:
+    """Nodes in document order, with a stack of open objects and arrays instead of recursion."""
+    value = None if text is None else parsed(text)
+    if value is NOT_JSON or value is TOO_DEEP:  # one string value
+        return [{"path": "", "is_key": False, "kind": "string" if value is NOT_JSON else "too_deep", "text": text, "above": []}]
     found: list[dict] = []
-    try:
-        value = None if text is None else json.loads(text)
-    except ValueError:  # a payload that is not JSON is one string value
-        return [{"path": "", "is_key": False, "kind": "string", "text": text, "above": []}]
-    if isinstance(value, (dict, list)):
-        _walk(value, "", [], found)
+    stack = [(_members(value, ""), [])] if isinstance(value, (dict, list)) else []
+    while stack:
+        members, above = stack[-1]
+        for where, item, is_key in members:
+            kind = _KINDS.get(type(item), "number")
+            shown = item if kind == "string" else None if kind in ("object", "array", "null") else json.dumps(item)
+            found.append({"path": where, "is_key": is_key, "kind": kind, "text": shown, "above": above})
+            if kind in ("object", "array"):
+                stack.append((_members(item, where), [*above, where] if is_key else above))
+                break
+        else:
+            stack.pop()
     return found
 
 
@@ -137,24 +153,18 @@ def match_value_rules(nodes: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def redaction_hits(ev: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """One row per redacted field: field path, rule and action."""
+    """One row per redacted field in document order: field path, rule and action. It is the log of `redact_events`."""
     rules = load_rules() if rules is None else rules
-    nodes = match_value_rules(match_path_rules(flatten_payload(ev), rules), rules)
-    hit = F.coalesce("path_hit", "value_hit")
-
-    def of_rule(name: str) -> Column:
-        return F.element_at(F.array(*[F.lit(r[name]) for r in rules]), hit + 1)
-
     if not rules:
-        return nodes.limit(0).select("run_id", "id", "position", F.col("path").alias("field_path"),
-                                     F.lit("").alias("rule_id"), F.lit("").alias("action"))
-    return nodes.where(hit.isNotNull()).select(
-        "run_id", "id", "position", F.col("path").alias("field_path"),
-        of_rule("id").alias("rule_id"), of_rule("action").alias("action"))
+        return ev.limit(0).select("run_id", "id", F.lit(0).alias("position"), F.lit("").alias("field_path"), F.lit("").alias("rule_id"), F.lit("").alias("action"))
+    # no filter on the payload: pushed below, it would have every payload made twice where it is computed
+    log = ev.select("run_id", "id", _redactor(rules)(F.when(may_hit("payload", rules), F.col("payload")))["redacted_fields"].alias("log"))
+    return log.select("run_id", "id", F.posexplode("log").alias("position", "f")).select("run_id", "id", "position", "f.*")
 
 
 def _redactor(rules: list[dict]):
-    paths = [(r, re.compile(path_regex(r["path"]))) for r in rules if r["path"]]
+    tail = lambda path: "" if path.split(".")[-1] in ("*", "**") else path.split(".")[-1]
+    paths = [(r, tail(r["path"]), re.compile(path_regex(r["path"]))) for r in rules if r["path"]]
     values = [(r, re.compile(r["value"])) for r in rules if r["value"]]
 
     def apply(rule: dict, value):
@@ -167,46 +177,107 @@ def _redactor(rules: list[dict]):
         log.append({"field_path": where, "rule_id": rule["id"], "action": rule["action"]})
         return rule
 
-    def member(value, where: str, is_key: bool, log: list):
-        """The new value and whether the key goes."""
-        rule = next((r for r, p in paths if p.match(where + ".")), None) if is_key else None
+    def hit(value, where: str, is_key: bool) -> dict | None:
+        rule = next((r for r, end, p in paths if where.endswith(end) and p.match(where + ".")), None) if is_key else None
         if rule is None and isinstance(value, str):
             rule = next((r for r, p in values if p.search(value)), None)
-        if rule is not None:
-            found(rule, where, log)
-            return (None, True) if rule["action"] == "remove" else (apply(rule, value), False)
-        return rebuild(value, where, log), False
-
-    def rebuild(value, where: str, log: list):
-        if isinstance(value, dict):
-            done = {k: member(v, f"{where}.{k}" if where else k, True, log) for k, v in value.items()}
-            return {k: v for k, (v, gone) in done.items() if not gone}
-        if isinstance(value, list):
-            return [member(v, f"{where}[{i}]", False, log)[0] for i, v in enumerate(value)]
-        return value
+        return rule
+
+    def rebuild(value, log: list):
+        """A copy without what rules take, made with a stack of open objects and arrays."""
+        if not isinstance(value, (dict, list)):
+            return value
+        whole = type(value)()
+        stack = [(_members(value, ""), iter(value), whole)]
+        while stack:
+            members, keys, out = stack[-1]
+            for (where, item, is_key), key in zip(members, keys):  # noqa: B905
+                rule = hit(item, where, is_key)
+                if rule is not None:
+                    found(rule, where, log)
+                    item = GONE if rule["action"] == "remove" else apply(rule, item)
+                    if item is GONE and is_key:
+                        continue
+                    item = None if item is GONE else item
+                    inner = None
+                else:
+                    inner = type(item)() if isinstance(item, (dict, list)) else None
+                new = item if inner is None else inner
+                if is_key:
+                    out[key] = new
+                else:
+                    out.append(new)
+                if inner is not None:
+                    stack.append((_members(item, where), iter(item), inner))
+                    break
+            else:
+                stack.pop()
+        return whole
+
+    def whole_text(text: str, log: list):
+        rule = hit(text, "", False)
+        if rule is None:
+            return text
+        found(rule, "", log)
+        return None if rule["action"] == "remove" else apply(rule, text)
 
     @F.pandas_udf("payload string, redacted_fields array<struct<field_path:string,rule_id:string,action:string>>")
     def redact(payload: pd.Series) -> pd.DataFrame:
         rows = []
         for text in payload:
             log: list[dict] = []
+            value = None if text is None else parsed(text)
             try:
-                value = None if text is None else json.loads(text)
-            except ValueError:  # not JSON: value rules apply to the whole text
-                rows.append((member(text, "", False, log)[0], log))
-                continue
-            new = None if text is None else json.dumps(rebuild(value, "", log), separators=(",", ":"), ensure_ascii=False)
-            rows.append((new, log))
+                if text is None:
+                    rows.append((None, log))
+                elif value is NOT_JSON:  # value rules apply to the whole text
+                    rows.append((whole_text(text, log), log))
+                elif value is TOO_DEEP and (paths or values):
+                    raise RecursionError
+                elif value is TOO_DEEP:
+                    rows.append((text, log))
+                else:
+                    rows.append((json.dumps(rebuild(value, log), separators=(",", ":"), ensure_ascii=False), log))
+            except RecursionError:  # nothing is known about what lies inside, so nothing of it goes out
+                rows.append((DEFAULT_MASK, [{"field_path": "", "rule_id": TOO_DEEP_RULE, "action": "mask"}]))
         return pd.DataFrame(rows, columns=["payload", "redacted_fields"])
 
     return redact
 
 
+def may_hit(payload: str | Column, rules: list[dict]) -> Column:
+    """Whether some rule may take something of the payload, told from its text inside the JVM; false is certain.
+
+    A path rule needs a key that ends like its last segment, a value rule a match somewhere in the text. Texts with
+    escapes, and patterns whose matches depend on where a value begins or ends, may always hit.
+    """
+    if not rules:
+        return F.lit(False)
+    patterns = [r"\\"]
+    for rule in rules:
+        if rule["path"]:
+            tail = rule["path"].split(".")[-1]
+            patterns.append("" if tail in ("*", "**") else re.escape(tail) + '"')
+        else:
+            placed = any(sign in rule["value"] for sign in ("^", "$", "(?", r"\A", r"\z", r"\Z", r"\G", r"\B"))
+            patterns.append("" if placed else rule["value"])
+    if "" in patterns:
+        return F.lit(True)
+    # one pattern, so that the payload is asked for once however it is made
+    return F.coalesce(F.regexp_like(F.col(payload) if isinstance(payload, str) else payload, F.lit("|".join(f"(?:{p})" for p in patterns))), F.lit(False))
+
+
 def redact_events(ev: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """Events with redacted payloads and the list of redacted fields."""
+    """Events with redacted payloads and the list of redacted fields.
+
+    Payloads that no rule can hit stay in the JVM and come through as they are. One that nests too deep to be parsed, and
+    might hold something to redact, is masked as a whole.
+    """
     rules = load_rules() if rules is None else rules
-    done = ev.withColumn("_r", _redactor(rules)("payload"))
-    return done.withColumns({"payload": F.col("_r.payload"), "redacted_fields": F.col("_r.redacted_fields")}).drop("_r")
+    done = ev.withColumn("_hit", may_hit("payload", rules)).withColumn("_r", _redactor(rules)(F.when(F.col("_hit"), F.col("payload"))))
+    nothing = F.array().cast("array<struct<field_path:string,rule_id:string,action:string>>")
+    return done.withColumns({"payload": F.when(F.col("_hit"), F.col("_r.payload")).otherwise(F.col("payload")),
+                             "redacted_fields": F.when(F.col("_hit"), F.col("_r.redacted_fields")).otherwise(nothing)}).drop("_r", "_hit")
 
 
 def redact_text(df: DataFrame, column: str, rules: list[dict] | None = None) -> DataFrame:

@@ -151,8 +151,9 @@ def search_page(hits: DataFrame, limit: int | None = None, cursor: tuple | None
     return page(hits, [("rank", True), ("id", False)], page_size(limit), list(cursor) if cursor else None)
 
 
-def search_total(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("total"))
+def search_total(hits: DataFrame, approx: bool = False) -> DataFrame:
+    """Number of hits. `approx` estimates the number of different ids by a sketch (about 1.6 % off), so hits may come from overlapping searches."""
+    return hits.agg((F.hll_sketch_estimate(F.hll_sketch_agg("id", 12)) if approx else F.count("*")).alias("total"))
 
 
 def search_batch(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:

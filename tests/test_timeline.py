@@ -148,3 +148,17 @@ def test_arrival_order_does_not_matter(both):
     ev = both[0]
     shuffled = ev.withColumn("ingestion_order", F.xxhash64("id")).orderBy(F.rand(1))
     assert collected(timeline.timeline_index(ev), "id", "idx") == collected(timeline.timeline_index(shuffled), "id", "idx")
+
+
+def test_tool_sketches(spark):
+    """Sketches of parts merge to the count of the whole; the exact summary is the same but for the way tools are counted."""
+    events = [event(0, "run.start", 0)] + [event(k, "tool.call.start", k, toolName=f"t{k % 37}") for k in range(1, 400)] + [event(900 + k, "tool.call.start", k, run="r2") for k in range(3)]
+    tl = timeline.timeline_index(frame(spark, events))
+    exact = {r["run_id"]: r["tool_count"] for r in timeline.run_summary(tl).collect()}
+    rough = {r["run_id"]: r["tool_count"] for r in timeline.run_summary(tl, approx=True).collect()}
+    assert exact == rough == {"r1": 37, "r2": 1}
+    halves = [timeline.tool_sketches(tl.where(f"idx % 2 = {k}")) for k in (0, 1)]
+    merged = {r["run_id"]: r["tool_count"] for r in timeline.merge_tool_sketches(halves[0].unionByName(halves[1])).collect()}
+    assert merged == exact
+    many = spark.range(200_000).selectExpr("'r' AS run_id", "'tool.call.start' AS type", "'n' || id AS tool_name")
+    assert abs(timeline.merge_tool_sketches(timeline.tool_sketches(many)).first()["tool_count"] / 200_000 - 1) < 0.06
