@@ -322,27 +322,117 @@ def validate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return broken(nodes, "node", "node_id", node_rules).unionByName(broken(edges, "edge", "edge_id", edge_rules))
 
 
+PEELED = 16  # layers that are taken one by one before chains are contracted
+
+
+def _anchored(single: DataFrame) -> DataFrame:
+    """Rows (node, anchor, floor, length) of nodes with one parent, followed up to the first node that has not one parent.
+
+    layer(node) = max(floor, layer(anchor) + length); two such steps make one, so each round doubles the part of a chain
+    that is done. Chains that run into a circle keep a node with one parent as their anchor.
+    """
+    single = cut_lineage(single)
+    moving = single.count() + 1
+    while moving:
+        up = single.select(F.col("node").alias("anchor"), F.col("anchor").alias("next"), F.col("floor").alias("up_floor"), F.col("length").alias("up_length"))
+        single = cut_lineage(single.join(up, "anchor", "left").select(
+            "node", F.coalesce("next", "anchor").alias("anchor"), F.greatest("floor", F.col("length") + F.coalesce("up_floor", F.lit(0))).alias("floor"),
+            (F.col("length") + F.coalesce("up_length", F.lit(0))).alias("length"), F.col("next").isNotNull().alias("moved")))
+        before, moving = moving, single.where("moved").count()
+        single = single.drop("moved")
+        if moving == before:  # a round in which no chain comes to its end leaves only circles and what hangs on them
+            break
+    return single
+
+
+def longest_paths(steps: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows (node_id, layer) of all targets of the distinct edges (source, target): most edges on a path to them.
+
+    `known` has layers of nodes that are no targets; the others that are none have layer 0.
+
+    A round takes out all nodes with one parent at once: whole chains are contracted by pointer doubling and their edges
+    moved up to where they begin. Nodes all of whose parents are settled get their layer. So rounds grow with how often
+    paths meet, and steps in a round with the logarithm of the longest chain. Layers of contracted
+    nodes are filled in at the end. Nodes on a cycle, or behind one, are not in the result.
+    """
+    edges = cut_lineage(steps.select(F.col("source").alias("s"), F.col("target").alias("t"), F.lit(1).cast("bigint").alias("w")))
+    floors = None  # (node, floor) of targets: what their settled parents ask for
+    settled = [_stacked([], steps.sparkSession) if known is None else known.select(F.col("node_id").alias("node"), "layer")]
+    hanging, left = [], edges.count()
+    while left:
+        heads = edges.groupBy("t").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.max("w").alias("w"))
+        heads = heads.withColumn("floor", F.lit(0).cast("bigint")) if floors is None else heads.join(floors, heads["t"] == floors["node"], "left").select("t", "n", "s", "w", F.coalesce("floor", F.lit(0)).alias("floor"))
+        heads = cut_lineage(heads)
+        single = _anchored(heads.where("n = 1").select(F.col("t").alias("node"), F.col("s").alias("anchor"), "floor", F.col("w").alias("length")))
+        many = heads.where("n > 1").select(F.col("t").alias("node"), F.col("floor").alias("own_floor"))
+        kinds = heads.select(F.col("t").alias("anchor"), (F.col("n") == 1).alias("circling"))
+        found = _stacked(settled, steps.sparkSession).select(F.col("node").alias("anchor"), F.col("layer").alias("anchor_layer"))
+        # An anchor that no edge leads to is settled, one with one parent lies on a circle, the others are open.
+        single = cut_lineage(single.join(kinds, "anchor", "left").join(found, "anchor", "left").select(
+            "node", "anchor", "floor", "length", "circling",
+            F.when(F.col("circling").isNull(), F.greatest("floor", F.coalesce("anchor_layer", F.lit(0)) + F.col("length"))).alias("layer")))
+        settled.append(single.where("circling IS NULL").select("node", "layer"))
+        hanging.append(single.where("NOT circling").select("node", "anchor", "floor", "length"))
+        moved = single.select(F.col("node").alias("s"), F.when(F.col("circling"), F.col("node")).otherwise(F.col("anchor")).alias("up"), "circling", "layer",
+                              F.when(F.col("circling"), 0).otherwise(F.col("floor")).alias("up_floor"), F.when(F.col("circling"), 0).otherwise(F.col("length")).alias("up_length"))
+        rest = edges.join(many, edges["t"] == many["node"], "left_semi").join(moved, "s", "left")
+        direct = kinds.select(F.col("anchor").alias("s"), F.lit(True).alias("is_head"))
+        first = found.select(F.col("anchor").alias("s"), "anchor_layer")
+        rest = rest.join(direct, "s", "left").join(first, "s", "left")
+        # What a parent asks for: its layer if that is known, else what its chain asks for whatever its anchor turns out to be.
+        is_open = F.coalesce(F.col("is_head") & F.col("layer").isNull(), F.lit(False))
+        asks = F.when(is_open, F.coalesce("up_floor", F.lit(0))).otherwise(F.coalesce("layer", "anchor_layer", F.lit(0))) + F.col("w")
+        pulled = cut_lineage(rest.select("t", F.when(is_open, F.coalesce("up", "s")).alias("s"), (F.col("w") + F.coalesce("up_length", F.lit(0))).alias("w"), asks.alias("ask"))
+                             .groupBy("t", "s").agg(F.max("w").alias("w"), F.max("ask").alias("ask")))
+        targets = cut_lineage(pulled.groupBy("t").agg(F.max("ask").alias("ask"), F.count("s").alias("open")).join(many, F.col("t") == many["node"])
+                              .select("node", F.greatest("ask", "own_floor").alias("floor"), "open"))
+        settled.append(targets.where("open = 0").select("node", F.col("floor").alias("layer")))
+        floors = targets.where("open > 0").select("node", "floor")
+        circles = single.where("circling").select(F.col("node").alias("s"), F.col("node").alias("t"), F.lit(1).cast("bigint").alias("w"))
+        edges = pulled.where("s IS NOT NULL").select("s", "t", "w").unionByName(circles)
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    out = cut_lineage(_stacked(settled[1:], steps.sparkSession))
+    for chained in reversed(hanging):
+        above = out.select(F.col("node").alias("anchor"), F.col("layer").alias("anchor_layer"))
+        more = chained.join(above, "anchor").select("node", F.greatest("floor", F.col("anchor_layer") + F.col("length")).alias("layer"))
+        out = cut_lineage(out.unionByName(more))
+    return out.select(F.col("node").alias("node_id"), "layer")
+
+
+def _stacked(parts: list[DataFrame], spark) -> DataFrame:
+    out = spark.createDataFrame([], "node string, layer bigint")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
 def layer_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Layer of each node (longest path from the roots, without temporal edges) and its row in the layer.
 
-    Round k takes the nodes whose last open edge was closed in round k - 1, so every node is in one
-    round. Nodes on a cycle, or behind one, never come up: their layer is null. `integrity_cycles` names them.
+    The first PEELED layers come one by one: round k takes the nodes whose last open edge was closed in round k - 1.
+    What lies deeper is contracted by `longest_paths`, so rounds do not grow with the length of chains.
+    Nodes on a cycle, or behind one, have no layer. `integrity_cycles` names them.
     """
-
     links = edges.where(F.col("edge_type") != "temporal").select("source", "target").distinct()
     ids = nodes.select("node_id").distinct()
     steps = cut_lineage(links.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi"))
     waiting = cut_lineage(steps.groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("open")))
     layers = cut_lineage(ids.join(waiting, "node_id", "left_anti").withColumn("layer", F.lit(0).cast("bigint")))
-    frontier = layers
-    depth = 0
-    while not frontier.isEmpty():
+    frontier, depth = layers, 0
+    while depth < PEELED and not frontier.isEmpty():
         depth += 1
         closed = frontier.join(steps, frontier["node_id"] == steps["source"]).groupBy(F.col("target").alias("node_id")).agg(F.count("*").alias("closed"))
         waiting = cut_lineage(waiting.join(closed, "node_id", "left").select("node_id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
         frontier = waiting.where("open = 0").select("node_id", F.lit(depth).cast("bigint").alias("layer"))
         layers = layers.unionByName(frontier)
         waiting = waiting.where("open > 0")
+    if not frontier.isEmpty():
+        layers = cut_lineage(layers)
+        deeper = steps.join(waiting.select(F.col("node_id").alias("target")), "target", "left_semi").select("source", "target")
+        layers = layers.unionByName(longest_paths(deeper, layers))
     rows = nodes.select(
         "node_id", "node_type", F.coalesce("run_id", "tenant_id").alias("graph_key"),
         F.when(F.col("node_type") == "event", F.col("timestamp")).alias("timestamp")).join(layers, "node_id", "left")
