@@ -33,6 +33,11 @@ COUNTERS, STRETCH = 1 << 22, 1 << 10
 LIST = 8192
 FIRST = 2
 ONCE = 32  # rarity of a word that occurs once
+SENT = 64 << 20  # bytes of a stored table that is sent to every task, at most
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return broadcast_if_small(df, size=SENT)
 
 
 def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +148,7 @@ def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int)
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
     """Word sets of the wanted lines (doc, th, line, s1)."""
-    per_doc = broadcast_if_small(cut_to_table(wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "s1")).alias("lines"))))
+    per_doc = _small(cut_to_table(wanted.groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("line", "s1")).alias("lines"))))
     joined = docs.join(per_doc, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th")))
 
     def run(batches):
@@ -160,7 +165,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
     return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>")
 
 
-def _candidates(key, n, pos, bits, num, den, first):
+def _candidates(key, n, pos, maps, num, den, first):
     """Within runs of one key: (later, earlier, more) for the earliest `first` partners of each that pass the filters."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     begin = np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
@@ -173,7 +178,7 @@ def _candidates(key, n, pos, bits, num, den, first):
         least = (num * total + num + den - 1) // (num + den)  # words in common
         ok = (num * n[a] <= den * n[b]) & (num * n[b] <= den * n[a]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
         a, b, apart = a[ok], b[ok], (total - 2 * least)[ok]
-        ok = np.bitwise_count(bits[a] ^ bits[b]) <= apart
+        ok = np.bitwise_count(maps[0][a] ^ maps[0][b]).astype(np.int64) + np.bitwise_count(maps[1][a] ^ maps[1][b]) <= apart
         a, b = a[ok], b[ok]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         count = np.searchsorted(a, a, "right") - np.searchsorted(a, a)
@@ -196,8 +201,8 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
                 continue
             part, held = _by_place(held.slice(0, done)), held.slice(done)
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
-            bits = column("bits").to_numpy().view(np.uint64)
-            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), bits, num, den, first):
+            maps = [column(c).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
+            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), maps, num, den, first):
                 if len(a):
                     a, b = pa.array(a), pa.array(b)
                     yield pa.RecordBatch.from_arrays([column("doc").take(a), column("line").take(a), column("doc").take(b), column("line").take(b), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
@@ -236,25 +241,24 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     found = _lines(docs, rarity, num, den, limit)
     rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
-    # half the bitmap in postings, which are many: bits of both halves folded differ in as many words at most
-    postings = classes.select("doc", "line", "n", F.col("bm0").bitwiseXOR(F.col("bm1")).alias("bits"), F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
-    postings = postings.select("doc", "line", "n", "bits", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
-    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bits", "doc", "line")
+    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
+    postings = postings.select("doc", "line", "n", "bm0", "bm1", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
+    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
     places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
-    places = broadcast_if_small(cut_to_table(places))
+    places = _small(cut_to_table(places))
     named = lambda k: classes.select(F.col("s1").alias(k), F.col("doc").alias(f"{k}_d"), F.col("line").alias(f"{k}_l"))
     same = lambda k: F.col(f"{k}_doc").eqNullSafe(F.col(f"{k}_d")) & (F.col(f"{k}_line") == F.col(f"{k}_l"))
-    pairs = cut_to_table(broadcast_if_small(cut_to_table(places.join(named("a"), same("a")))).join(named("b"), same("b")).where("a <> b").select("a", "b", "more"))
+    pairs = cut_to_table(_small(cut_to_table(places.join(named("a"), same("a")))).join(named("b"), same("b")).where("a <> b").select("a", "b", "more"))
     place = F.struct("doc", "line", "s1")
 
     def matched(pairs: DataFrame) -> DataFrame:
         """The later classes of the similar pairs."""
-        members = broadcast_if_small(cut_to_table(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()))
+        members = _small(cut_to_table(pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()))
         sets = cut_to_table(_sets_of(docs, classes.join(members, "s1", "left_semi").select("doc", "th", "line", "s1"), rarity))
         left, right = (sets.select(F.col("s1").alias(k), F.col("tokens").alias(f"{k}_tokens")) for k in "ab")
         both = F.size(F.array_intersect("a_tokens", "b_tokens"))
         similar = den * both >= num * (F.size("a_tokens") + F.size("b_tokens") - both)
-        return broadcast_if_small(cut_to_table(pairs.join(left, "a").join(right, "b").where(similar).select(F.col("a").alias("s1")).distinct()))
+        return _small(cut_to_table(pairs.join(left, "a").join(right, "b").where(similar).select(F.col("a").alias("s1")).distinct()))
 
     def side(rows: DataFrame, k: str, key: str) -> DataFrame:
         return rows.select(F.explode(key).alias("key"), *[F.col(c).alias(f"{k}_{c}") for c in ("s1", "n", "bm0", "bm1")], place.alias(f"{k}_at"))
@@ -263,12 +267,12 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     further = None
     for key, standing in (("prefix", pairs.where("more").select(F.col("a").alias("s1")).distinct()), ("hot", classes.where(F.size("hot") > 0).select("s1"))):
         standing = classes.join(standing, "s1", "left_semi").join(gone, "s1", "left_anti")
-        left = broadcast_if_small(cut_to_table(side(standing, "a", key)))
+        left = _small(cut_to_table(side(standing, "a", key)))
         found = left.join(side(classes, "b", key), "key").where((F.col("b_at") < F.col("a_at")) & _fits(num, den)).select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b"))
         further = found if further is None else further.union(found)
     further = cut_to_table(further.distinct().join(pairs, ["a", "b"], "left_anti"))
     if further.head(1):
-        gone = broadcast_if_small(cut_to_table(gone.union(matched(further))))
+        gone = _small(cut_to_table(gone.union(matched(further))))
     return classes.join(gone, "s1", "left_anti").select("doc", "th", "line")
 
 
