@@ -120,6 +120,66 @@ def impact_counts(impacts: DataFrame) -> DataFrame:
         for kind in ("event", "side_effect", "external_system")])
 
 
+KINDS = ("event", "side_effect", "external_system")
+
+
+def impact_totals(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """`impact_counts` of `impact`, without a row for each start and node it reaches.
+
+    Where every node has one cause, the counts are sums over subtrees: in round k a node adds the sums of the
+    nodes exactly 2**k below it, so all starts together take as many rounds as the logarithm of the longest chain.
+    Shared leaves (systems) are counted once per start through distinct (node, system) rows. Starts that reach a
+    node with several causes, or lie on or behind a circle, are walked by `impact`; nobody else is.
+    """
+    kinds = nodes.select("node_id", "node_type").distinct()
+    steps = edges.where(F.col("edge_type").isin("causal", "produces")).select("source", "target").distinct()
+    targets = steps.groupBy("target").agg(F.count("*").alias("causes"), F.min("source").alias("cause"))
+    inner = steps.select(F.col("source").alias("target"), F.lit(True).alias("inner")).distinct()
+    targets = cut_lineage(
+        targets.join(kinds.withColumnRenamed("node_id", "target"), "target", "left").join(inner, "target", "left")
+        .withColumn("leaf", F.col("inner").isNull() & F.col("node_type").eqNullSafe("external_system")))
+    single = targets.where((F.col("causes") == 1) & ~F.col("leaf"))
+    links = cut_lineage(single.select(F.col("target").alias("id"), F.col("cause").alias("parent"), "node_type", F.col("inner").isNotNull().alias("inner")))
+    # Only nodes with something below take part in the rounds; the others are counted at their cause.
+    hops = ancestor_hops(links.where("inner").select("id", "parent"), [])
+    circular = cut_lineage(hops.where(F.col("hops").isNull()).select(F.col("id").alias("node_id")))
+    jump = cut_lineage(links.where("inner").select("id", "parent").join(circular.withColumnRenamed("node_id", "id"), "id", "left_anti"))
+
+    tangled = steps.join(targets.where((F.col("causes") > 1) & ~F.col("leaf")).select("target"), "target", "left_semi")
+    counts = [F.count_if(F.col("node_type") == kind).alias(f"{kind}_count") for kind in KINDS]
+    below = links.groupBy(F.col("parent").alias("node_id")).agg(*counts, F.count("node_type").alias("reached"), F.lit(0).cast("bigint").alias("tangled"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in below.columns[1:-1]]
+    sums = below.unionByName(tangled.groupBy(F.col("source").alias("node_id")).agg(*zero, F.count("*").alias("tangled")))
+    names = sums.columns[1:]
+
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node_id").agg(*[F.sum(c).alias(c) for c in names])
+
+    leaves = steps.join(targets.where("leaf").select("target"), "target", "left_semi").select(F.col("source").alias("node_id"), F.col("target").alias("leaf"))
+    # A node with nothing but leaves below has rows of its own and hands them to its cause like all inner nodes.
+    sums, leaves = cut_lineage(added(sums)), cut_lineage(leaves)
+    while not jump.isEmpty():
+        up = jump.withColumnRenamed("id", "node_id")
+        sums = cut_lineage(added(sums.unionByName(
+            up.join(sums, "node_id").drop("node_id").withColumnRenamed("parent", "node_id"))))
+        leaves = cut_lineage(leaves.unionByName(
+            up.join(leaves, "node_id").select(F.col("parent").alias("node_id"), "leaf")).distinct())
+        second = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next_parent"))
+        jump = cut_lineage(jump.join(second, "parent").select("id", F.col("next_parent").alias("parent")))
+
+    starts = starts.select("node_id").distinct()
+    systems = leaves.groupBy("node_id").agg(F.count("*").alias("leaves"))
+    found = cut_lineage(
+        starts.join(sums, "node_id", "left").join(systems, "node_id", "left")
+        .join(circular.withColumn("circular", F.lit(True)), "node_id", "left").na.fill(0)
+        .withColumn("hard", F.col("circular").isNotNull() | (F.col("tangled") > 0)))
+    out = found.where(~F.col("hard") & (F.col("reached") + F.col("leaves") > 0)).select(
+        F.col("node_id").alias("start_id"), "event_count", "side_effect_count",
+        (F.col("external_system_count") + F.col("leaves")).alias("external_system_count"))
+    hard = found.where("hard").select("node_id")
+    return out if hard.isEmpty() else out.unionByName(impact_counts(impact(nodes, edges, hard)))
+
+
 def subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The given nodes and the edges with both ends among them."""
     wanted = ids.select("node_id")

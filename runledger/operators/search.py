@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from zlib import crc32
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.payload import json_values
@@ -13,20 +15,21 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "if", "in", "is", "it", "no", "not", "of",
               "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 WORD = "[a-z0-9]+"
+ANY_WORD = r"[\p{L}\p{M}\p{N}]+"  # words of all scripts, for `word`
 
 
-def words(text: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
+def words(text: str | Column, word: str = WORD) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(word), 0)
 
 
-def build_search_index(ev: DataFrame) -> DataFrame:
+def build_search_index(ev: DataFrame, word: str = WORD) -> DataFrame:
     """One row per word of an event: term, weight class, place.
 
     A: type and agent; B: framework and tags; C: string and number values of the payload.
     Places count the words of one field, stop words included.
     """
     def field(weight: str, text: Column) -> Column:
-        return F.struct(F.lit(weight).alias("weight"), words(text).alias("words"))
+        return F.struct(F.lit(weight).alias("weight"), words(text, word).alias("words"))
 
     parts = F.array(
         field("A", F.coalesce("type", F.lit(""))), field("A", F.coalesce("source_agent", F.lit(""))),
@@ -39,13 +42,44 @@ def build_search_index(ev: DataFrame) -> DataFrame:
     return terms.where(~F.col("term").isin(STOP_WORDS))
 
 
-def build_text_index(df: DataFrame, key: str, text: str) -> DataFrame:
+def build_text_index(df: DataFrame, key: str, text: str, word: str = WORD) -> DataFrame:
     """The same for plain text rows, all of weight C."""
     terms = df.select(F.col(key).alias("id"), F.lit("C").alias("weight"), F.lit(0).alias("field_no"),
-                      F.posexplode(words(text)).alias("pos", "term"))
+                      F.posexplode(words(text, word)).alias("pos", "term"))
     return terms.where(~F.col("term").isin(STOP_WORDS))
 
 
+STORE = ["batch", "buckets", "bucket"]  # folders of a stored index
+
+
+def write_search_index(index: DataFrame, path: str, batch: int, buckets: int = 256) -> None:
+    """Store the index rows of one batch: a folder per bucket of terms, rows in order of the term.
+
+    The same batch again replaces its own folders only. Files of hot buckets are split, small ones joined at run
+    time. Batches may have other numbers of buckets.
+    """
+    rows = index.withColumns({
+        "batch": F.lit(batch).cast("bigint"), "buckets": F.lit(buckets), "bucket": F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")})
+    rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*STORE).parquet(path)
+
+
+def read_search_index(spark: SparkSession, path: str, schema, terms: list[str] | None = None) -> DataFrame:
+    """A stored index, `schema` as of the rows written; with `terms` only their rows, from the files of their buckets.
+
+    Give all words a search names, those of `none_of` too. Without `terms` the index is read whole.
+    """
+    columns = list(schema.fieldNames())
+    for name, kind in zip(STORE, ("bigint", "int", "int"), strict=True):
+        schema = type(schema)([*schema.fields]).add(name, kind)
+    rows = spark.read.schema(schema).parquet(path)
+    if terms is not None:
+        terms = sorted({t.lower() for t in terms})
+        codes = F.array(*[F.lit(crc32(t.encode())).cast("bigint") for t in terms]) if terms else F.array().cast("array<bigint>")
+        rows = rows.where(F.exists(codes, lambda c: F.pmod(c, F.col("buckets")) == F.col("bucket"))).where(F.col("term").isin(terms))
+    return rows.select(*columns)
+
+
 def search_match(index: DataFrame, all_of: list[str] | None = None, any_of: list[str] | None = None,
                  none_of: list[str] | None = None, phrases: list[list[str]] | None = None) -> DataFrame:
     """Ids of events with all of these words, any of these, none of these, and all phrases.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runledger.operators import checks as C
@@ -10,6 +12,7 @@ from runledger.plans.lineage_queries import j
 from runledger.plans.registry import on_events, query
 from runledger.plans.testbed import events_table
 from runledger.plans.timeline_queries import TL_SQL
+from runledger.session import shared_dir
 
 _ERR = "type IN ('run.error','tool.call.error','side_effect.failed')"
 FINDINGS_SQL = f"""{TL_SQL},
@@ -133,6 +136,18 @@ def _(ev):
     return S.search_rank(index, ids, ["tool", "start", "error"])
 
 
+@on_events("stored_search", f"WITH {MATCH_SQL} SELECT * FROM rk", stored=True)
+def _(ev):
+    """The same from an index that was stored in two batches."""
+    folder = f"{shared_dir(ev.sparkSession)}/index-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        part = S.build_search_index(ev.where(F.pmod(F.xxhash64("run_id"), F.lit(2)) == batch))
+        S.write_search_index(part, folder, batch, 16)
+    asked = ["tool", "start", "error"]
+    index = S.read_search_index(ev.sparkSession, folder, part.schema, [*asked, "t1"])
+    return S.search_rank(index, S.search_match(index, all_of=["tool"], any_of=["start", "error"], none_of=["t1"]), asked)
+
+
 @on_events("search_filters", "SELECT id FROM ev WHERE tenant_id='tenant-2' AND type IN ('tool.call.start','run.end') AND \"timestamp\" >= TIMESTAMP '2024-01-05' AND \"timestamp\" <= TIMESTAMP '2024-01-15'")
 def _(ev):
     day = lambda d: F.to_timestamp(F.lit(f"2024-01-{d} 00:00:00"))

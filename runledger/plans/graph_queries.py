@@ -89,14 +89,23 @@ def _(ev):
     return G.side_effects(L.graph_nodes(ev)).select("node_id", "run_id")
 
 
-@on_events("impact", f"""WITH RECURSIVE {GRAPH_SQL}, {_walk('tool.call.start', repr('causal') + ',' + repr('produces'), True)}
+_IMPACT = f"""WITH RECURSIVE {GRAPH_SQL}, {_walk('tool.call.start', repr('causal') + ',' + repr('produces'), True)}
   SELECT start_id, count(*) FILTER (WHERE node_type='event') AS event_count, count(*) FILTER (WHERE node_type='side_effect') AS side_effect_count,
-   count(*) FILTER (WHERE node_type='external_system') AS external_system_count FROM wk JOIN nodes USING (node_id) GROUP BY start_id""", stored=True)
+   count(*) FILTER (WHERE node_type='external_system') AS external_system_count FROM wk JOIN nodes USING (node_id) GROUP BY start_id"""
+
+
+@on_events("impact", _IMPACT, stored=True)
 def _(ev):
     nodes, edges = L.build_graph(ev)
     return G.impact_counts(G.impact(nodes, edges, _starts(ev, "tool.call.start")))
 
 
+@on_events("impact_totals", _IMPACT, stored=True)
+def _(ev):
+    nodes, edges = (cut_to_table(x) for x in L.build_graph(ev))
+    return G.impact_totals(nodes, edges, _starts(ev, "tool.call.start"))
+
+
 @on_events("subgraph", f"""WITH {EDGES_SQL}, ids AS (SELECT 'event:' || id AS node_id FROM ev WHERE tenant_id='tenant-1')
   SELECT edge_type, count(*) AS n FROM edges WHERE source IN (SELECT node_id FROM ids) AND target IN (SELECT node_id FROM ids) GROUP BY edge_type
   UNION ALL SELECT 'nodes', count(*) FROM ids""", stored=True)

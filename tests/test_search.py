@@ -1,5 +1,6 @@
 """Search words that an index does not hold, and signs in terms."""
 
+from pyspark.sql import functions as F
 from rows import collected
 
 from runledger.operators import search as S
@@ -33,3 +34,23 @@ def test_none_of_alone(spark):
 def test_signs_in_terms(spark):
     text = spark.createDataFrame([("use C++ now (x|y)",)], "t string")
     assert text.select(S.mark("t", ["c++", "(x|y)"]).alias("m")).first()["m"] == "use <mark>C++</mark> now <mark>(x|y)</mark>"
+
+
+def test_stored_index_reads_files_of_its_words(spark, tmp_path):
+    rows = [(str(i), f"common word{i % 50} only{i}") for i in range(400)]
+    index = S.build_text_index(spark.createDataFrame(rows, "k string, t string"), "k", "t")
+    path = str(tmp_path / "index")
+    for batch in (0, 1, 1):  # the last one again
+        S.write_search_index(index.where(F.pmod(F.col("id").cast("int"), F.lit(2)) == batch), path, batch, buckets=64 if batch else 16)
+    whole = S.read_search_index(spark, path, index.schema)
+    assert whole.exceptAll(index).isEmpty() and index.exceptAll(whole).isEmpty()
+    part = S.read_search_index(spark, path, index.schema, ["Word7", "only57"])
+    assert len(part.inputFiles()) <= 4 < len(whole.inputFiles()) // 4
+    assert _ids(S.search_match(part, all_of=["word7"], none_of=["only57"])) == sorted(str(i) for i in range(7, 400, 50) if i != 57)
+    assert S.read_search_index(spark, path, index.schema, []).isEmpty()
+
+
+def test_words_of_other_scripts(spark):
+    rows = spark.createDataFrame([("1", "Größe мир 東京 tool")], "k string, t string")
+    assert {r["term"] for r in S.build_text_index(rows, "k", "t", S.ANY_WORD).collect()} == {"größe", "мир", "東京", "tool"}
+    assert {r["term"] for r in S.build_text_index(rows, "k", "t").collect()} == {"gr", "e", "tool"}
