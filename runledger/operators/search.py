@@ -70,7 +70,7 @@ def read_search_index(spark: SparkSession, path: str, schema, terms: list[str] |
     Give all words a search names, those of `none_of` too. Without `terms` the index is read whole.
     """
     columns = list(schema.fieldNames())
-    for name, kind in zip(STORE, ("bigint", "int", "int"), strict=True):
+    for name, kind in zip(STORE, ("long", "integer", "integer"), strict=True):
         schema = type(schema)([*schema.fields]).add(name, kind)
     rows = spark.read.schema(schema).parquet(path)
     if terms is not None:
