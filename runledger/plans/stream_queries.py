@@ -203,7 +203,18 @@ def _(ev):
     return J.open_tools(spark, f"{out}/out").select("run_id", "start_id", "duration_ms", "state")
 
 
-@on_events("late_data", f"WITH {CALLS_SQL}, {GAPS_SQL.strip()}, {SUMMARY_SQL} SELECT * FROM sums WHERE run_id IN (SELECT run_id FROM ev WHERE type='side_effect.failed')", stored=True)
+_LATE = f"WITH {CALLS_SQL}, {GAPS_SQL.strip()}, {SUMMARY_SQL} SELECT * FROM sums WHERE run_id IN (SELECT run_id FROM ev WHERE type='side_effect.failed')"
+
+
+@on_events("late_data_by_run", _LATE, stored=True)
+def _(ev):
+    """The same with a store that keeps runs apart."""
+    folder = f"{shared_dir(ev.sparkSession)}/runs-{uuid.uuid4().hex}"
+    S.store_events_by_run(ev.where("type <> 'side_effect.failed' OR tenant_id = 'tenant-1'"), folder, 0)
+    return J.rebuild_late_runs(ev.where("type = 'side_effect.failed'"), folder, 1)
+
+
+@on_events("late_data", _LATE, stored=True)
 def _(ev):
     """Failed side effects arrive late, some of them twice: the runs they touch are rebuilt."""
     late = ev.where("type = 'side_effect.failed'")

@@ -18,7 +18,7 @@ from runledger.operators.runs import _lifecycle, run_columns
 from runledger.operators.timeline import run_summary, timeline_index
 from runledger.operators.otlp import flatten_otlp, spans_to_raw
 from runledger.schemas import EVENT_DDL, OTLP_DDL, RAW_EVENT_DDL
-from runledger.sources.tables import raw_event_rows
+from runledger.sources.tables import raw_event_rows, read_runs, store_events_by_run
 from runledger.streaming.state import CALLS_DDL, first_arrivals, tool_call_changes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
@@ -134,3 +134,9 @@ def rebuild_touched_runs(stored: DataFrame, batch: DataFrame) -> DataFrame:
     fresh = batch.join(stored.select("id"), "id", "left_anti").groupBy("id").agg(first.alias("e")).select("id", "e.*").select(*batch.columns)
     everything = stored.select(*batch.columns).unionByName(fresh)
     return run_summary(timeline_index(everything.join(touched, "run_id", "left_semi")))
+
+
+def rebuild_late_runs(batch: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Add a late batch to a store by run; summaries of the runs it touches, in source order, from their buckets alone."""
+    store_events_by_run(batch, store, batch_id)
+    return run_summary(timeline_index(read_runs(batch.sparkSession, store, batch.schema, batch)))
