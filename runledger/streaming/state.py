@@ -13,6 +13,9 @@ import sys
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -35,25 +38,32 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-class FirstArrival(StatefulProcessor):
-    """The row of an id that came first, once; the state of an id is that it was seen."""
+BUCKETS = 512  # groups of ids a batch is sorted in
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield min(rows, key=lambda r: tuple((v is not None, v) for v in (r["received_at"], r["ingestion_order"])))
+def _first_rows(rows: pa.Table) -> pa.Table:
+    """Of each id the row that was received first, missing times and numbers before others."""
+    order = [("id", "ascending"), ("received_at", "ascending"), ("ingestion_order", "ascending")]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+    codes = rows["id"].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]])))
 
-    def close(self) -> None:
-        pass
+
+def _first_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _first_rows(pa.Table.from_batches([batch])).to_batches()
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:
-    """Of a stream of events, the first row of each id: by batch, in a batch by time of receipt and arrival number."""
+    """Of a stream of events, the first row of each id: by batch, in a batch by time of receipt and arrival number.
+
+    Only ids are state. A batch is cut down to one row an id before, first in the pieces it comes in, so that many
+    copies of one id do not meet in one group.
+    """
     keep_state_in_rocksdb(events.sparkSession)
-    return events.groupBy("id").transformWithState(statefulProcessor=FirstArrival(), outputStructType=events.schema, outputMode="append", timeMode="None")
+    few = events.mapInArrow(_first_in_pieces, events.schema)
+    once = few.groupBy(F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).applyInArrow(_first_rows, events.schema)
+    return once.dropDuplicates(["id"])
 
 
 CALLS_DDL = ("run_id STRING, tool_key STRING, start_id STRING, timestamp TIMESTAMP, end_id STRING, duration_ms BIGINT, "

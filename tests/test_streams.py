@@ -117,6 +117,31 @@ def test_dedupe_takes_the_first_arrival(spark, tmp_path):
     assert collected(spark.read.parquet(f"{tmp}/out"), "id", "ingestion_order") == [("e1", 2), ("e2", 2)]
 
 
+def test_dedupe_keeps_ids_alone_as_state(spark, tmp_path):
+    """Copies of one id in many pieces, an id that is missing, numbers beyond 2^53; no Python state call per id."""
+    tmp, big = str(tmp_path), 2**60
+    batch = [event(1, "custom", 5, arrival=big + 1 + k, tag=k) for k in (*range(1, 300), 0)] + [event(2, "custom", 5, arrival=k) for k in (9, 8)]
+    batch += [(None, *event(0, "custom", 1, arrival=k)[1:]) for k in (4, 3)]
+    folder = f"{tmp}/in"
+    frame(spark, batch).repartition(7).write.parquet(folder)
+    query = J.stream_dedupe(J.stream_events(spark, folder), f"{tmp}/out", f"{tmp}/check")
+    query.awaitTermination()
+    assert collected(spark.read.parquet(f"{tmp}/out"), "id", "ingestion_order") == sorted([("e1", big + 1), ("e2", 8), (None, 3)], key=repr)
+    assert {p["stateOperators"][0]["operatorName"] for p in map(json.loads, (p.json for p in query.recentProgress)) if p["numInputRows"]} == {"dedupe"}
+
+
+def test_more_rows_make_more_files_not_more_batches(spark, monkeypatch):
+    from runledger.plans import stream_queries as Q
+
+    ev = frame(spark, [event(k, "custom", k) for k in range(500)])
+    assert Q._event_files(ev)[1] == 1
+    monkeypatch.setattr(Q, "FILE_ROWS", 20)
+    folder, files = Q._event_files(ev)
+    assert files == 5 and spark.read.parquet(folder).count() == 500
+    written = len([n for n in os.listdir(folder) if n.endswith(".parquet")])
+    assert 6 * files - 6 <= written <= 6 * files
+
+
 def test_otlp_inlet(spark, tmp_path):
     """Exports come as span events; text that is not JSON ends as a dead letter."""
     tmp = str(tmp_path)
