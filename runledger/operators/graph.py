@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,21 +271,23 @@ def integrity_orphan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def causal_cycles(edges: DataFrame) -> DataFrame:
     """Nodes that lie on causal cycles, rows (cycle_id, node_id); the cycle id is its smallest node.
 
-    A node has one causal parent, so after as many parent steps as there are unresolved nodes every
-    walk is on a cycle, and each cycle node is the end of some walk.
+    A node has one causal parent. Each round doubles the length of the walks and drops nodes whose walk ends or that
+    no walk comes to. A round that drops none leaves nodes that walk onto each other, each on a cycle; if it finds no
+    smaller node either, every walk has been round its cycle. So the number of rounds is the logarithm of the longest
+    chain or cycle, whatever the number of nodes.
     """
-    links = cut_lineage(_causal_parent(edges))
-    hops = ancestor_hops(links, [])
-    walk = cut_lineage(
-        hops.where(F.col("hops").isNull()).select("id").join(links, "id")
-        .select("id", F.col("parent").alias("anc"), F.least("id", "parent").alias("low")))
-    open_nodes = walk.count()
-    for _ in range(ceil(log2(open_nodes)) + 1 if open_nodes else 0):
+    walk = cut_lineage(_causal_parent(edges).select("id", F.col("parent").alias("anc"), F.least("id", "parent").alias("low")))
+    nodes = walk.count()
+    while nodes:
+        reached = walk.select(F.col("anc").alias("id")).distinct()
         step = walk.select(F.col("id").alias("anc"), F.col("anc").alias("next_anc"), F.col("low").alias("next_low"))
-        walk = cut_lineage(walk.join(step, "anc").select(
-            "id", F.col("next_anc").alias("anc"), F.least("low", "next_low").alias("low")))
-    on_cycle = walk.select(F.col("anc").alias("id")).distinct()
-    return walk.join(on_cycle, "id", "left_semi").select(F.col("low").alias("cycle_id"), F.col("id").alias("node_id"))
+        walk = cut_lineage(walk.join(reached, "id", "left_semi").join(step, "anc").select(
+            "id", F.col("next_anc").alias("anc"), F.least("low", "next_low").alias("low"), (F.col("next_low") < F.col("low")).alias("moved")))
+        left, moved = walk.agg(F.count("*"), F.count_if("moved")).first()
+        if left == nodes and not moved:
+            break
+        nodes = left
+    return walk.select(F.col("low").alias("cycle_id"), F.col("id").alias("node_id"))
 
 
 def integrity_cycles(edges: DataFrame) -> DataFrame:
