@@ -76,10 +76,13 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataF
     Each round doubles the part of the chain that is known, so the number of rounds is the
     logarithm of the longest chain. A chain that runs into a cycle stops before it repeats.
     """
-    jump = cut_lineage(_causal_parent(edges))
-    chain = cut_lineage(
-        starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi")
-        .select(F.col("node_id").alias("start_id"), "node_id", F.lit(0).cast("bigint").alias("up")))
+    starts = starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi")
+    return _chain(cut_lineage(_causal_parent(edges)), starts)
+
+
+def _chain(jump: DataFrame, starts: DataFrame) -> DataFrame:
+    chain = cut_lineage(starts.select("node_id").distinct().select(
+        F.col("node_id").alias("start_id"), "node_id", F.lit(0).cast("bigint").alias("up")))
     reach = 1
     while True:
         # A node that the chain holds already lies on a cycle, and so does all above it.
@@ -90,8 +93,7 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataF
         if further.isEmpty():
             break
         chain = chain.unionByName(further)
-        second = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next_parent"))
-        jump = cut_lineage(jump.join(second, "parent").select("id", F.col("next_parent").alias("parent")))
+        jump = _twice(jump)
         reach *= 2
     longest = chain.groupBy("start_id").agg(F.max("up").alias("top"))
     return chain.join(longest, "start_id").select("start_id", (F.col("top") - F.col("up")).alias("position"), "node_id")
@@ -196,26 +198,50 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col("edge_type") == "causal").select("edge_type", "edge_id", "source", "target")
     src = events.select(F.col("node_id").alias("source"), F.col("run_id").alias("source_run"))
     tgt = events.select(F.col("node_id").alias("target"), F.col("run_id").alias("target_run"))
-    inside = cut_lineage(
+    links = cut_lineage(_causal_parent(
         pairs.join(src, "source").join(tgt, "target").where(F.col("source_run") == F.col("target_run"))
-        .select("edge_type", "edge_id", "source", "target"))
+        .select("edge_type", "edge_id", "source", "target")))
     # Only nodes that are parents take part in the rounds; a leaf is one hop below its parent.
-    parents = inside.select(F.col("source").alias("id")).distinct()
-    links = _causal_parent(inside)
+    parents = links.select(F.col("parent").alias("id")).distinct()
     hops = ancestor_hops(links.join(parents, "id", "left_semi"), []).select(F.col("id").alias("parent"), "hops", F.lit(True).alias("known"))
     # A parent without a row is a root; one with a null lies on a cycle or above none, and has no depth.
     depth = (
         links.join(hops, "parent", "left")
         .select(F.col("id").alias("node_id"), F.when(F.col("known").isNull(), 1).otherwise(F.col("hops") + 1).alias("depth"), F.lit(True).alias("linked"))
     )
-    ends = (
-        events.join(depth, "node_id", "left")
-        .groupBy("run_id")
-        .agg(F.min_by("node_id", F.struct(F.col("linked").isNotNull() & F.col("depth").isNull(), -F.coalesce("depth", F.lit(0)), F.col("timestamp"), F.col("node_id"))).alias("node_id"))
-    )
-    ends = cut_lineage(ends)
-    chain = causal_chain(nodes, inside, ends)
-    return chain.join(ends.withColumnRenamed("node_id", "start_id"), "start_id").select("run_id", "position", "node_id")
+    place = F.struct(
+        (F.col("linked").isNotNull() & F.col("depth").isNull()).alias("circular"),
+        (-F.coalesce("depth", F.lit(0))).cast("bigint").alias("up"), "timestamp", "node_id")
+    ends = cut_lineage(
+        events.join(depth, "node_id", "left").groupBy("run_id").agg(F.min(place).alias("e"))
+        .select("run_id", "e.node_id", (-F.col("e.up")).alias("position"), "e.circular").where(F.col("node_id").isNotNull()))
+    path = _climb(links, ends.where(~F.col("circular")).drop("circular"))
+    circular = ends.where("circular").select("run_id", F.col("node_id").alias("start_id"))
+    if circular.isEmpty():
+        return path
+    chain = _chain(links, circular.select(F.col("start_id").alias("node_id")))
+    return path.unionByName(chain.join(circular, "start_id").select("run_id", "position", "node_id"))
+
+
+def _climb(jump: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (run_id, position, node_id) with all nodes above theirs, for nodes `position` hops below a root."""
+    longest, reach = rows.agg(F.max("position")).first()[0] or 0, 1
+    path = rows.select("run_id", "position", "node_id")
+    while reach <= longest:
+        # Rows further than `reach` from their end have `reach` nodes in the path already, each hands on to one above.
+        above = path.where(F.col("position") >= reach).join(jump, F.col("node_id") == F.col("id")).select(
+            "run_id", (F.col("position") - reach).alias("position"), F.col("parent").alias("node_id"))
+        path = path.unionByName(cut_lineage(above))
+        reach *= 2
+        if reach <= longest:
+            jump = _twice(jump)
+    return path
+
+
+def _twice(jump: DataFrame) -> DataFrame:
+    """Links of double the length."""
+    second = jump.select(F.col("id").alias("parent"), F.col("parent").alias("next_parent"))
+    return cut_lineage(jump.join(second, "parent").select("id", F.col("next_parent").alias("parent")))
 
 
 def _issue(kind: str, nodes: list[str], edges: list[str]) -> list[Column]:
