@@ -7,6 +7,7 @@ follow a pattern. Two words of a text that nobody made for it are mistaken for e
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, after which the Python worker hands free memory back: workers stay for further tasks and stages."""
+
+    def then_release(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return then_release
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     x = x ^ (x >> np.uint64(32))
@@ -137,7 +151,7 @@ def add_columns(df: DataFrame, text_col: str, new: dict[str, T.DataType], build:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made],
                                                  names=names + list(new))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 300_000, size: int = 16 << 20) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import ALNUM_WORDS, add_columns, mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import ALNUM_WORDS, add_columns, lean, mix64, pieces, prepare, ranges, words
 from runledger.session import cut_to_table
 
 WIDTH, SHINGLE, BLOCK_WINDOWS = 10, 3, 100_000
@@ -53,7 +53,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, width: int = WIDT
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(h[values].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), lists], names=["item", "words"])
 
-    found = source.mapInArrow(run, "item string, words array<bigint>")
+    found = source.mapInArrow(lean(run), "item string, words array<bigint>")
     return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -124,7 +124,7 @@ def _counts(docs: DataFrame, text_col: str, block: Block) -> dict[int, np.ndarra
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(n[some])], names=["k", "i", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
     counts = {k: np.zeros(len(v), np.int64) for k, v in keys.items()}
     got = rows.toArrow()  # one number per shingle of the block
     for k in keys:

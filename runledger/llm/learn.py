@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import add_columns, prepare
+from runledger.llm.arrow import add_columns, lean, prepare
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -41,10 +41,12 @@ def fit_on_sample(network, docs: DataFrame, labels: DataFrame, label_col: str, f
         sample = sorted((r["id"], r["text"], r["label"]) for batch in batches for r in batch.to_pylist())
         y = np.array([label for _, _, label in sample], np.float32)
         shift = np.log(everyone[1] / everyone[0]) - np.log(y.sum() / (len(y) - y.sum())) if 0 < y.sum() < len(y) else 0.0
-        network.fit([text.encode() for _, text, _ in sample], y, float(shift), **settings)
+        texts = [text.encode() for _, text, _ in sample]
+        del sample
+        network.fit(texts, y, float(shift), **settings)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network.__dict__)], pa.binary())], names=["weights"])
 
-    fitted = rows.mapInArrow(train, "weights binary").first()
+    fitted = rows.mapInArrow(lean(train), "weights binary").first()
     if fitted is None:  # no labelled documents
         return network.fit([], np.zeros(0, np.float32))
     network.__dict__.update(pickle.loads(fitted["weights"]))

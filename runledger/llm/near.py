@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import broadcast_if_small, mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import broadcast_if_small, lean, mix64, pieces, prepare, ranges, words
 from runledger.llm.components import components
 from runledger.session import cut_to_table
 
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     names=["doc", "th", "n", "cls", "cls2", "bits0", "bits1", "keys"])
 
     fields = [("th", T.LongType()), ("n", T.LongType()), ("cls", T.LongType()), ("cls2", T.LongType()), ("bits0", T.LongType()), ("bits1", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc"], *(T.StructField(*f) for f in fields)]))
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema["doc"], *(T.StructField(*f) for f in fields)]))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -135,7 +135,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets, at = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), _as_lists(sets, at)], names=["cls", "tokens"])
 
-    return joined.mapInArrow(run, "cls long, tokens array<bigint>")
+    return joined.mapInArrow(lean(run), "cls long, tokens array<bigint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells[some])], names=["cell", "n"])
 
     cells = np.zeros(CELLS, np.int64)
-    got = sets.select("tokens").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one number per cell
+    got = sets.select("tokens").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # one number per cell
     cells[got.column("cell").to_numpy()] = got.column("n").to_numpy()
 
     def prefix(batches):
@@ -187,7 +187,7 @@ def _across(near: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(tokens[order][at]), pa.array(n[row], pa.int32()), pa.array(pos, pa.int32())],
                                              names=["cls", "root", "token", "n", "pos"])
 
-    postings = sets.select("cls", "tokens", "root").mapInArrow(prefix, "cls long, root long, token long, n int, pos int")
+    postings = sets.select("cls", "tokens", "root").mapInArrow(lean(prefix), "cls long, root long, token long, n int, pos int")
     shared = postings.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("token")
     postings = cut_to_table(postings.join(shared, "token", "left_semi"))
     a, b = (postings.select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("cls", "root", "n", "pos")]) for k in "ab")
@@ -218,7 +218,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], names=["key", "cls"])
             held = int(key[-1]), int(cls[-1]), bool(keep[-1])
 
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, cls long")
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "key long, cls long")
 
 
 def near_duplicates(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH) -> DataFrame:

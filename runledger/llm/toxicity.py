@@ -20,6 +20,7 @@ FOLDS, FOLD = 5, 0
 WINDOW, STRIDE, DIM, HIDDEN, ATTEND = 48, 36, 12, 10, 8
 TRIGRAMS = 1 << 12
 BATCH = 2048
+STRETCH_BYTES, STRETCH_WORDS = 1 << 20, 1 << 18  # of the sample looked at together
 STEPS = 150  # training steps at least
 SEEN, HIDE = 3, 0.2  # documents of the sample that hold a known word; share of words hidden in a training step
 
@@ -131,16 +132,19 @@ class Network:
         h, starts, ends, rows = words(data, offsets)
         distinct, first, ids = np.unique(h, return_index=True, return_inverse=True)
         gram, owner = trigrams(data, starts[first], ends[first])
-        vectors = self.inputs(self.word_rows(distinct), gram, owner)
         at, n, row = windows(rows)
-        ids = np.concatenate([ids, np.full(WINDOW, len(distinct))])
+        return self.logits_of(self.inputs(self.word_rows(distinct), gram, owner), ids, at, n), row
+
+    def logits_of(self, vectors: np.ndarray, ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Logits of windows from the input vectors of distinct words (the last for padding) and the word ids."""
         out = np.empty(len(at), np.float32)
         for k in range(0, len(at), BATCH):
             place = at[k: k + BATCH] + np.arange(WINDOW)[:, None]
             mask = (np.arange(WINDOW)[:, None] < n[k: k + BATCH]).astype(np.float32)
             used = int(mask.sum(0).max()) or 1
-            out[k: k + BATCH] = self.forward(vectors, np.where(mask > 0, ids[np.minimum(place, len(ids) - 1)], len(distinct))[:used], mask[:used])[0]
-        return out, row
+            these = np.where(mask > 0, ids[np.minimum(place, max(len(ids) - 1, 0))], len(vectors) - 1) if len(ids) else np.full(place.shape, len(vectors) - 1)
+            out[k: k + BATCH] = self.forward(vectors, these[:used], mask[:used])[0]
+        return out
 
     def largest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         logit, row = self.window_logits(data, offsets)
@@ -155,14 +159,13 @@ class Network:
             self.scale = np.array([0, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))])
             return self
         data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        h, starts, ends, rows = words(data, offsets)
-        distinct, first, ids = np.unique(h, return_index=True, return_inverse=True)
-        starts, ends, ids = starts[first], ends[first], ids.astype(np.int32)
-        del h, first
-        pairs = np.unique(ids.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), np.diff(rows)))
-        word, of = pairs // len(texts), pairs % len(texts)
-        del pairs
-        count, toxic = np.bincount(word, minlength=len(distinct)), np.bincount(word, y[of], len(distinct))
+        distinct, starts, ends, ids, rows = _words_of(data, offsets)
+        count, toxic = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
+        for low, high in _stretches(rows, STRETCH_WORDS):  # words of each document once
+            of = np.repeat(np.arange(high - low), np.diff(rows[low: high + 1]))
+            pairs = np.unique(ids[rows[low]: rows[high]].astype(np.int64) * (high - low) + of)
+            count += np.bincount(pairs // (high - low), minlength=len(distinct))
+            toxic += np.bincount(pairs // (high - low), y[low + pairs % (high - low)], len(distinct))
         odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((count - toxic + 0.5) / (len(y) - y.sum() + 1))
         known = count >= SEEN
         odds = np.where(known, odds, 0).astype(np.float32)
@@ -176,16 +179,17 @@ class Network:
         word_row = self.word_rows(distinct)
         grams_of = np.bincount(owner)[:, None]
         at, n, row = windows(rows)
-        padded = np.concatenate([ids, np.full(WINDOW, len(distinct))])
+        padded = np.concatenate([ids, np.full(WINDOW, len(distinct), np.int32)])
         sums = np.concatenate([[0], np.cumsum(np.maximum(odds[ids], 0) ** 2)])
         suspicion = sums[at + n] - sums[at]
+        del sums
         of_doc = np.searchsorted(row, np.arange(len(texts) + 1))
         adam = Adam(self.p, 0.01)
         rounds = max(epochs, -(-STEPS * docs_a_batch // len(texts)))  # small samples are gone through more often
         for epoch in range(rounds):
             adam.rate = 0.01 * 0.5 ** max(0, epochs * epoch // rounds - 1)
             if epochs * epoch // rounds >= 2:
-                suspicion = self.window_logits(data, offsets)[0]
+                suspicion = self.logits_of(self.inputs(word_row, gram, owner), ids, at, n)
             order = rng.permutation(len(texts))
             for k in range(0, len(order), docs_a_batch):
                 pick = []
@@ -214,10 +218,42 @@ class Network:
                 g["words"] = np.stack([np.bincount(shown, dv[:, j], len(table)) for j in range(DIM)], 1).astype(np.float32)
                 g["words"][-1] = 0
                 adam.step(g)
-        self.scale = logistic(self.largest(data, offsets)[:, None], y) + np.array([0.0, shift])
+        largest = np.maximum.reduceat(self.logits_of(self.inputs(word_row, gram, owner), ids, at, n), of_doc[:-1])
+        self.scale = logistic(largest[:, None], y) + np.array([0.0, shift])
         return self
 
 
+def _stretches(offsets: np.ndarray, most: int):
+    """Runs (first row, row behind) of rows with at most `most` items, or one row."""
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a sample (hash, and first byte and end of one occurrence), number of each word in them, row offsets.
+
+    Texts are gone through in stretches, so what is held of all of them at once is a hash and a number a word.
+    """
+    found, hashes, counts = None, [], []
+    for low, high in _stretches(offsets, STRETCH_BYTES):
+        h, starts, ends, rows = words(data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low])
+        hashes.append(h)
+        counts.append(np.diff(rows))
+        distinct, first = np.unique(h, return_index=True)
+        own = (distinct, starts[first] + offsets[low], ends[first] + offsets[low])
+        if found is not None:
+            own = tuple(np.concatenate(pair) for pair in zip(found, own, strict=True))
+            distinct, first = np.unique(own[0], return_index=True)  # the first occurrence of all stretches
+            own = (distinct, own[1][first], own[2][first])
+        found = own
+    distinct, starts, ends = found
+    ids = np.concatenate([np.searchsorted(distinct, h).astype(np.int32) for h in hashes])
+    return distinct, starts, ends, ids, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def pasted(these: np.ndarray, n: np.ndarray, target: np.ndarray, padding: int, rng) -> tuple[np.ndarray, np.ndarray]:
     """Windows (as columns of word ids) and labels, with more of both kinds: every toxic text of at most half a window at a
     random place among words of clean windows, and these words alone."""
