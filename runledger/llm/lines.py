@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.arrow import SPACE_WORDS, add_columns, broadcast_if_small, mix64, pieces, prepare, ranges, words
+from runledger.llm.arrow import SPACE_WORDS, add_columns, broadcast_if_small, lean, mix64, pieces, prepare, ranges, words
 from runledger.session import cut_to_table
 
 NUM, DEN = 4, 5
@@ -51,6 +51,20 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, rows, np.arange(len(rows)) - np.searchsorted(rows, rows)
 
 
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the runs of `values` between neighbours of `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    """The cells that are not 0, as places in their stretch and counts; a task with few distinct words has few."""
+    at = np.flatnonzero(total)
+    bounds = np.searchsorted(at, np.arange(0, COUNTERS + 1, STRETCH))
+    some = np.flatnonzero(np.diff(bounds))
+    ends = np.concatenate([bounds[some], bounds[-1:]])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _bytes((at & (STRETCH - 1)).astype(np.uint16), ends), _bytes(total[at], ends)], names=["stretch", "cells", "counts"])
+
+
 def _token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """Rarity of words: 32 times the logarithm of their count, counted in a fixed number of cells.
 
@@ -61,22 +75,19 @@ def _token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for _, data, offsets in pieces(batch, "text"):
-                total += np.bincount((words(data, offsets)[0] & np.uint64(COUNTERS - 1)).view(np.int64), minlength=COUNTERS).astype(np.uint32)
-        stretches = total.reshape(-1, STRETCH)
-        for low in range(0, len(stretches), 256):
-            some = np.flatnonzero(stretches[low: low + 256].any(1)) + low
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([stretches[k].tobytes() for k in some], pa.binary())], names=["stretch", "counts"])
+                np.add.at(total, (words(data, offsets)[0] & np.uint64(COUNTERS - 1)).view(np.int64), np.uint32(1))
+        yield _cells(total)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+            for k, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums.setdefault(k, np.zeros(STRETCH, np.int64))[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["stretch", "counts"])
 
     out = np.zeros((COUNTERS // STRETCH, STRETCH), np.int64)
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "stretch int, counts binary").repartition("stretch")
-    for row in parts.mapInArrow(add, "stretch int, counts binary").collect():  # COUNTERS numbers
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "stretch int, cells binary, counts binary").repartition("stretch")
+    for row in parts.mapInArrow(lean(add), "stretch int, counts binary").collect():  # COUNTERS numbers
         out[row["stretch"]] = np.frombuffer(row["counts"], np.int64)
     return np.minimum(np.round(32 * np.log2(out.reshape(-1) + 1)), 1023).astype(np.int16)
 
@@ -110,7 +121,7 @@ def _sets(data, offsets, rarity):
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values.view(np.int64) if values.itemsize == 8 else values))
 
 
 def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int) -> DataFrame:
@@ -138,12 +149,12 @@ def _lines(docs: DataFrame, rarity: np.ndarray, num: int, den: int, limit: int)
                 keys = np.where(dealt, mix64(keys + np.uint64(0x9E3779B97F4A7C15) * (s1[owner] % parts + np.uint64(1))), keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(number, pa.int32()), part.column(1).take(pa.array(row)),
-                     pa.array(n, pa.int32()), *[pa.array(m.view(np.int64)) for m in maps], _lists(keys, length), _lists(place, length), _lists(h[values][dealt], np.bincount(owner[dealt], minlength=len(n)))],
+                     pa.array(n, pa.int32()), *[pa.array(m.view(np.int64)) for m in maps], _lists(keys, length), _lists(place.astype(np.int32), length), _lists(h[values][dealt], np.bincount(owner[dealt], minlength=len(n)))],
                     names=["s1", "s2", "doc", "line", "th", "n", "bm0", "bm1", "prefix", "places", "hot"])
 
     longs, ints = T.LongType(), T.IntegerType()
-    return docs.mapInArrow(run, T.StructType([T.StructField("s1", longs), T.StructField("s2", longs), docs.schema["doc"], T.StructField("line", ints), T.StructField("th", longs), T.StructField("n", ints),
-                                              T.StructField("bm0", longs), T.StructField("bm1", longs), T.StructField("prefix", T.ArrayType(longs)), T.StructField("places", T.ArrayType(longs)), T.StructField("hot", T.ArrayType(longs))]))
+    return docs.mapInArrow(lean(run), T.StructType([T.StructField("s1", longs), T.StructField("s2", longs), docs.schema["doc"], T.StructField("line", ints), T.StructField("th", longs), T.StructField("n", ints),
+                                              T.StructField("bm0", longs), T.StructField("bm1", longs), T.StructField("prefix", T.ArrayType(longs)), T.StructField("places", T.ArrayType(ints)), T.StructField("hot", T.ArrayType(longs))]))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
@@ -162,7 +173,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
                 values, _ = ranges(at[pick], length)
                 yield pa.RecordBatch.from_arrays([pa.array([want[int(row[i]), int(number[i])] for i in pick], pa.int64()), _lists(h[values], length)], names=["s1", "tokens"])
 
-    return joined.select("text", "lines").mapInArrow(run, "s1 long, tokens array<bigint>")
+    return joined.select("text", "lines").mapInArrow(lean(run), "s1 long, tokens array<bigint>")
 
 
 def _candidates(key, n, pos, maps, num, den, first):
@@ -202,13 +213,19 @@ def _probe(postings: DataFrame, num: int, den: int, first: int) -> DataFrame:
             part, held = _by_place(held.slice(0, done)), held.slice(done)
             column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: E731, B023
             maps = [column(c).to_numpy().view(np.uint64) for c in ("bm0", "bm1")]
-            for a, b, more in _candidates(column("key").to_numpy(), *(column(c).to_numpy().astype(np.int64) for c in ("n", "pos")), maps, num, den, first):
+            both = column("np").to_numpy()
+            for a, b, more in _candidates(column("key").to_numpy(), both >> 32, both & 0xFFFFFFFF, maps, num, den, first):
                 if len(a):
                     a, b = pa.array(a), pa.array(b)
                     yield pa.RecordBatch.from_arrays([column("doc").take(a), column("line").take(a), column("doc").take(b), column("line").take(b), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
 
     doc, line = postings.schema["doc"].dataType, postings.schema["line"].dataType
-    return postings.mapInArrow(run, T.StructType([T.StructField("a_doc", doc), T.StructField("a_line", line), T.StructField("b_doc", doc), T.StructField("b_line", line), T.StructField("more", T.BooleanType())]))
+    return postings.mapInArrow(lean(run), T.StructType([T.StructField("a_doc", doc), T.StructField("a_line", line), T.StructField("b_doc", doc), T.StructField("b_line", line), T.StructField("more", T.BooleanType())]))
+
+
+def _size_and_place(n: Column, place: Column) -> Column:
+    """Both numbers in one, as postings are shuffled and handed over by the million."""
+    return F.shiftleft(n.cast("bigint"), 32).bitwiseOR(place.cast("bigint"))
 
 
 def _by_place(lists: pa.RecordBatch) -> pa.RecordBatch:
@@ -241,9 +258,9 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     found = _lines(docs, rarity, num, den, limit)
     rest = [c for c in found.columns if c not in ("s1", "s2", "doc", "line")]
     classes = cut_to_table(found.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", *rest)).alias("first")).select("s1", "s2", "first.*"))
-    postings = classes.select("doc", "line", "n", "bm0", "bm1", F.explode(F.arrays_zip(F.col("prefix").alias("key"), F.col("places").alias("pos"))).alias("p"))
-    postings = postings.select("doc", "line", "n", "bm0", "bm1", F.col("p.key").alias("key"), F.col("p.pos").cast("int").alias("pos"))
-    lists = postings.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "bm0", "bm1", "doc", "line")
+    postings = classes.select("doc", "line", "n", "bm0", "bm1", "places", F.posexplode("prefix").alias("at", "key"))
+    postings = postings.select("key", _size_and_place(F.col("n"), F.get("places", "at")).alias("np"), "bm0", "bm1", "doc", "line")
+    lists = postings.repartition("key").sortWithinPartitions("key")
     places = _probe(lists, num, den, first).groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
     places = _small(cut_to_table(places))
     named = lambda k: classes.select(F.col("s1").alias(k), F.col("doc").alias(f"{k}_d"), F.col("line").alias(f"{k}_l"))
@@ -266,7 +283,8 @@ def duplicate_lines(docs: DataFrame, num: int = NUM, den: int = DEN, limit: int
     gone = matched(pairs)
     further = None
     for key, standing in (("prefix", pairs.where("more").select(F.col("a").alias("s1")).distinct()), ("hot", classes.where(F.size("hot") > 0).select("s1"))):
-        standing = classes.join(standing, "s1", "left_semi").join(gone, "s1", "left_anti")
+        # Few are left, so it is their ids that travel and not the lists of all lines.
+        standing = classes.join(_small(cut_to_table(standing.join(gone, "s1", "left_anti"))), "s1", "left_semi")
         left = _small(cut_to_table(side(standing, "a", key)))
         found = left.join(side(classes, "b", key), "key").where((F.col("b_at") < F.col("a_at")) & _fits(num, den)).select(F.col("a_s1").alias("a"), F.col("b_s1").alias("b"))
         further = found if further is None else further.union(found)
