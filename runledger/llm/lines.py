@@ -178,6 +178,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFram
 
 def _candidates(key, n, pos, maps, num, den, first):
     """Within runs of one key: (later, earlier, more) for the earliest `first` partners of each that pass the filters."""
+    kind = np.int32 if 2 * (num + den) * int(n.max(initial=0)) < 1 << 31 else np.int64
+    n, rest = n.astype(kind), (n - pos).astype(kind)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     begin = np.repeat(starts, np.diff(np.concatenate([starts, [len(key)]])))
     earlier = np.arange(len(key)) - begin
@@ -185,9 +187,11 @@ def _candidates(key, n, pos, maps, num, den, first):
     for low, high in zip(cuts, np.concatenate([cuts[1:], [len(key)]]), strict=True):
         b, i = ranges(begin[low:high], earlier[low:high])
         a = i + low
-        total = n[a] + n[b]
+        na, nb = n[a], n[b]
+        ok = np.flatnonzero((num * na <= den * nb) & (num * nb <= den * na))  # most pairs fail here, so the rest is not worked out for them
+        a, b, total = a[ok], b[ok], na[ok] + nb[ok]
         least = (num * total + num + den - 1) // (num + den)  # words in common
-        ok = (num * n[a] <= den * n[b]) & (num * n[b] <= den * n[a]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least)
+        ok = np.flatnonzero(np.minimum(rest[a], rest[b]) >= least)
         a, b, apart = a[ok], b[ok], (total - 2 * least)[ok]
         ok = np.bitwise_count(maps[0][a] ^ maps[0][b]).astype(np.int64) + np.bitwise_count(maps[1][a] ^ maps[1][b]) <= apart
         a, b = a[ok], b[ok]
