@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import re
+import time
 
 from pyspark.sql import functions as F
 from rows import collected, event, frame
@@ -115,3 +117,24 @@ def test_reachability_with_cycle(spark):
     nodes = spark.createDataFrame([(n,) for n in "abc"], "node_id string")
     assert collected(G.causal_chain(nodes, edges, starts), "start_id", "position", "node_id") == [
         ("a", 0, "b"), ("a", 1, "a"), ("c", 0, "a"), ("c", 1, "b"), ("c", 2, "c")]
+
+
+def test_stored_lines_leave_no_shuffle_files(spark):
+    """Lines are read from storage however often they are asked for, and the shuffle files they were made with are gone."""
+    ev = frame(spark, _events())
+    runs = build_runs(ev)
+    requests = runs.select(F.col("id").alias("run_id"), "tenant_id", F.lit("2024-06-01 00:00:00").cast("timestamp").alias("created_at"))
+    bundles = E.assemble_bundles(ev, runs, requests)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" "))}
+
+    before = shuffled()
+    lines = E.export_lines(bundles, ev, runs, keep=("created_at",))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert {r["created_at"] for r in lines.select("created_at").distinct().collect()} == {r["created_at"] for r in requests.collect()}
