@@ -138,3 +138,30 @@ def test_stored_lines_leave_no_shuffle_files(spark):
     assert not shuffled() - before
     assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
     assert {r["created_at"] for r in lines.select("created_at").distinct().collect()} == {r["created_at"] for r in requests.collect()}
+
+
+def test_verification_reads_stored_documents(spark, monkeypatch):
+    """The hashes that were sealed are stored before they are compared, so the hash trees of both are not on disk together."""
+    from compare import BASE
+
+    from runledger.plans.catalog import QUERIES
+
+    plans = []
+    verify = E.verify_exports
+
+    def seen(lines, documents):
+        plans.append(documents._jdf.queryExecution().executedPlan().toString())
+        return verify(lines, documents)
+
+    monkeypatch.setattr(E, "verify_exports", seen)
+    QUERIES["verify_exports"](spark, f"{BASE}/sf0.001")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_section_hashes_of_nulls_and_long_sections(spark):
+    """Sections are the same whether they count as long or not; a section without a name is one too."""
+    lines = spark.createDataFrame([(f"b{i % 3}" if i % 3 else None, "events" if i % 2 else None, i, f"line {i}") for i in range(60)],
+                                  "bundle_id string, section string, position long, line string")
+    names = ("bundle_id", "section", "line_count", "section_hash")
+    whole = collected(E.section_hashes(lines), *names)
+    assert len(whole) == 6 and whole == collected(E.section_hashes(lines, max_lines=5), *names)
