@@ -58,11 +58,13 @@ def stream_normalize(raw: DataFrame, out: str, dead: str, checkpoint: str, once:
 
     Each batch replaces its own folder, so a batch that is run again after a failure
     leaves one copy. The counts are observed while the batch is normalized, without a pass of their own.
+    Until both tables are written, a batch is held without what neither takes: raw data is held for dead letters alone.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         seen = Observation()
-        results = batch.observe(seen, *stats_columns()).persist()
+        dead_only = {c: F.when(F.col("status") == "error", F.col(c)) for c in ("vendor", "data", "raw_run_id")}
+        results = batch.observe(seen, *stats_columns()).withColumns(dead_only).drop("step", "adapter").persist()
         canonical_rows(results).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         dead_letters(results).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
         results.unpersist()

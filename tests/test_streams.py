@@ -204,3 +204,18 @@ def test_counts_of_batches(spark, tmp_path):
     whole = normalization_stats(normalize(read_raw_events(spark, f"{tmp}/in"))).first()
     assert [counts.groupBy().sum(n).first()[0] for n in names] == [whole[n] for n in names]
     assert whole["failed"] == 2
+
+
+def test_input_files_are_compressed_and_small(spark, tmp_path):
+    """Files a stream picks up have a bounded number of rows, come in as many batches as asked for, and hold every row once."""
+    from pyspark.sql import functions as F
+
+    from runledger.plans.stream_queries import LEAST_FILE_ROWS, _json_files
+
+    path = f"{tmp_path}/in"
+    files_each = _json_files(spark.range(0, 6 * LEAST_FILE_ROWS, 1, 3), 6 * LEAST_FILE_ROWS, path, 3)
+    files = spark.read.text(path).inputFiles()
+    assert all(f.endswith(".json.gz") for f in files) and -(-len(files) // files_each) == 3
+    rows = spark.read.schema("id BIGINT").json(path)
+    assert rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= LEAST_FILE_ROWS
+    assert rows.count() == rows.distinct().count() == 6 * LEAST_FILE_ROWS
